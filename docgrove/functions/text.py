@@ -3,6 +3,7 @@ not only the blank that `trim` knows."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -48,10 +49,10 @@ def prepare_text(content: Column, title: Column, max_chars: int | None = None) -
     return F.when(F.coalesce(title, F.lit("")) != "", headed).otherwise(body)
 
 
-def fill_template(template: str | Column, text: Column) -> Column:
-    """Put the prepared text where the template says `{text}`."""
-    template = F.lit(template) if isinstance(template, str) else template
-    return F.replace(template, F.lit("{text}"), text)
+def fill_template(template: str, **values: Column) -> Column:
+    """The template with a column in place of each `{name}`; anything else in braces stays as it is."""
+    pieces = re.split("(" + "|".join(re.escape(f"{{{name}}}") for name in values) + ")", template)
+    return F.concat(*[values[p[1:-1]] if p[1:-1] in values and p[0] == "{" else F.lit(p) for p in pieces if p])
 
 
 def clean_response(raw: Column) -> Column:

@@ -6,7 +6,7 @@ the bodies themselves are shuffled once, to the documents that need them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docgrove.functions.text import content_hash, has_body
@@ -66,7 +66,7 @@ def _answered(contents: DataFrame) -> DataFrame:
 
 
 def read_status(docs: DataFrame, contents: DataFrame, infos: DataFrame | None = None) -> DataFrame:
-    """`docs` (with `obj_key`, `node_token`) plus `response_id`, `read_status`, `content_hash`.
+    """`docs`, with `obj_key` and `node_token`, each pair once, plus `response_id`, `read_status`, `content_hash`.
 
     A document asks by its object, then by its node, then by the object its node resolves to. The first
     successful response counts, even if its body is blank. Bodies are at most hashed in the scan, not moved.
@@ -114,13 +114,24 @@ def read_contents(docs: DataFrame, contents: DataFrame, infos: DataFrame | None
     return attach_contents(read_status(docs, contents, infos), contents)
 
 
+def listings(leaves: DataFrame) -> DataFrame:
+    """`(obj_key, node_token, listed)`: how often each node of a document was listed. Every listing is read
+    by itself, so counts of reads are sums of `listed`."""
+    return with_obj_key(leaves).groupBy("obj_key", "node_token").agg(F.count(F.lit(1)).alias("listed"))
+
+
 def read_summary(status: DataFrame) -> DataFrame:
-    """One row: documents read, with a body, without."""
+    """One row from the `read_status` of `listings`: documents read, with a body, without, without a response."""
+
+    def total(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("listed"))), F.lit(0))
+
+    outcome = F.col("read_status")
     return status.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("read_status") == OK).alias("ok"),
-        F.count_if(F.col("read_status") != OK).alias("empty"),
-        F.count_if(F.col("read_status") == MISSING).alias("missing"),
+        total(F.lit(True)).alias("total"),
+        total(outcome == OK).alias("ok"),
+        total(outcome != OK).alias("empty"),
+        total(outcome == MISSING).alias("missing"),
     )
 
 

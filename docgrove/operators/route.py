@@ -28,19 +28,20 @@ def new_token(parent: Column, title: Column) -> Column:
     return F.sha2(F.concat_ws("/", parent, title), 256)
 
 
-def folder_plan(routes: DataFrame, nodes: DataFrame, target_root: str | None) -> DataFrame:
+def folder_plan(routes: DataFrame, nodes: DataFrame, target_root: str | None, base: str | None = None) -> DataFrame:
     """Every folder the routes need: `(level, folders, parent_token, title, node_token, created)`.
 
     A child of that title is taken, of whatever type; where there is none, a folder is to be created.
     Distinct label chains and the children with such titles are staged: `nodes` is read once, and
-    both stay as small as the label tree.
+    both stay as small as the label tree. They and the plan are written below `base`.
     """
-    base = scratch.new_folder(routes.sparkSession, "folders")
+    base = base or scratch.new_folder(routes.sparkSession, "folders")
+    upper = F.transform(F.sequence(F.lit(1), F.size("folders")), lambda n: F.slice("folders", 1, n))
     chains = scratch.stage(
         routes.filter("size(folders) > 0")
         .select("folders")
         .distinct()
-        .select(F.explode(F.transform(F.sequence(F.lit(1), F.size("folders")), lambda n: F.slice("folders", 1, n))).alias("folders"))
+        .select(F.explode(upper).alias("folders"))
         .distinct(),
         f"{base}/chains",
     )

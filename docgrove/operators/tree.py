@@ -55,23 +55,22 @@ def walk(nodes: DataFrame, root: str | None = None) -> Walk:
         F.lit(0).alias("depth"),
         F.array().cast("array<bigint>").alias("ord_path"),
     )
-    level = scratch.stage(start, f"{base}/level-0")
-    levels = [level]
+    level, folders = start, []
     while True:
-        seen = reduce(DataFrame.unionByName, levels).select("parent_key")
+        done = spark.read.schema(start.schema).parquet(*folders) if folders else None
+        expanded = start.unionByName(done) if folders else start
         below = (
             links.join(level, "parent_key")
             .groupBy(F.col("node_token").alias("parent_key"))
             .agg(F.min(F.concat("ord_path", F.array("ord"))).alias("ord_path"))
-            .join(seen, "parent_key", "left_anti")
-            .select("parent_key", F.lit(len(levels)).alias("depth"), "ord_path")
+            .join(expanded, "parent_key", "left_anti")
+            .select("parent_key", F.lit(len(folders) + 1).alias("depth"), "ord_path")
         )
-        level = scratch.stage(below, f"{base}/level-{len(levels)}")
+        folder = f"{base}/level-{len(folders) + 1}"
+        level = scratch.stage(below, folder)
         if level.isEmpty():
-            break
-        levels.append(level)
-    expanded = spark.read.schema(start.schema).parquet(*[f"{base}/level-{n}" for n in range(len(levels))])
-    return Walk(_placed(nodes, expanded), expanded)
+            return Walk(_placed(nodes, expanded), expanded)
+        folders.append(folder)
 
 
 def _placed(nodes: DataFrame, expanded: DataFrame) -> DataFrame:
@@ -177,20 +176,23 @@ def duplicate_titles(nodes: DataFrame) -> DataFrame:
     return titles_by_parent(nodes).filter("occurrences > 1")
 
 
+def title_counts(nodes: DataFrame) -> DataFrame:
+    """Number of different titles under each parent. Counted title by title first, so that a parent with
+    very many children is no single large group."""
+    return titles_by_parent(nodes).groupBy("parent_key").agg(F.count(F.lit(1)).alias("total_count"))
+
+
 def check_titles(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each wanted `(parent_key, title)`: is it taken, by which node, how often, and how many different
-    titles the parent has."""
-    taken = titles_by_parent(nodes)
-    sizes = taken.groupBy("parent_key").agg(F.count(F.lit(1)).alias("total_count"))
+    """For each different wanted `(parent_key, title)`: is it taken, by which node, and how often."""
     return (
-        wanted.join(taken, ["parent_key", "title"], "left")
-        .join(sizes, "parent_key", "left")
+        wanted.select("parent_key", "title")
+        .distinct()
+        .join(titles_by_parent(nodes), ["parent_key", "title"], "left")
         .select(
             "parent_key",
             "title",
             F.col("node_token").isNotNull().alias("is_duplicate"),
             "node_token",
             F.coalesce("occurrences", F.lit(0).cast("bigint")).alias("occurrences"),
-            F.coalesce("total_count", F.lit(0).cast("bigint")).alias("total_count"),
         )
     )

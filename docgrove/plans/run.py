@@ -93,7 +93,7 @@ def run(inputs: Inputs, settings: Settings) -> Result:
     outcomes = _outcomes(reads, labelled, folder)
 
     routes = route.route_columns(outcomes.filter(F.col("status") == route.SUCCESS))
-    folders = stage(route.folder_plan(routes, inputs.nodes, target_root), f"{folder}/folders")
+    folders = route.folder_plan(routes, inputs.nodes, target_root, f"{folder}/folders")
     line = route.tag_line(F.col("parts")) if settings.add_tags else F.lit(None).cast("string")
     routed = route.route_documents(routes.withColumn("tag_line", line), folders)
     bodies = reading.attach_contents(routed, inputs.contents, how="inner")

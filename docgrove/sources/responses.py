@@ -32,10 +32,10 @@ def _failure(response: Column) -> Column:
 
 def listing_nodes(responses: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     """Node table (`schemas.NODES`) of all successful listing calls."""
-    listed = (
-        _parsed(responses, schemas.LISTING_BODY)
-        .filter(F.col("response.code") == 0)
-        .select("parent_node_token", "page", F.posexplode("response.data.items").alias("pos", "item"))
+    # The condition on the code stands in the generator: as a filter it would parse every body twice.
+    items = F.when(F.col("response.code") == 0, F.col("response.data.items"))
+    listed = _parsed(responses, schemas.LISTING_BODY).select(
+        "parent_node_token", "page", F.posexplode(items).alias("pos", "item")
     )
     return listed.filter(F.coalesce(F.col("item.node_token"), F.lit("")) != "").select(
         "item.node_token",
@@ -61,16 +61,14 @@ def listing_errors(responses: DataFrame) -> DataFrame:
 def contents(responses: DataFrame) -> DataFrame:
     """Content table (`schemas.CONTENTS`): blank and failed bodies are null, the code tells them apart.
     Hashing at ingest lets later runs decide about documents without reading bodies."""
-    response = F.col("response")
     body = F.col("response.data.content")
-    kept = F.when((F.col("response.code") == 0) & has_body(body), body)
-    return _parsed(responses, schemas.CONTENT_BODY).select(
+    read = _parsed(responses, schemas.CONTENT_BODY).select(
         "doc_id",
         "response.code",
-        _failure(response).alias("msg"),
-        kept.alias("content"),
-        F.when(kept.isNotNull(), content_hash(kept)).alias("content_hash"),
+        _failure(F.col("response")).alias("msg"),
+        F.when((F.col("response.code") == 0) & has_body(body), body).alias("content"),
     )
+    return read.withColumn("content_hash", F.when(F.col("content").isNotNull(), content_hash(F.col("content"))))
 
 
 def titles(responses: DataFrame) -> DataFrame:
@@ -82,8 +80,6 @@ def titles(responses: DataFrame) -> DataFrame:
 
 def node_infos(responses: DataFrame) -> DataFrame:
     """`(node_token, obj_type, obj_token)` of the nodes that could be looked up."""
-    return (
-        _parsed(responses, schemas.NODE_BODY)
-        .filter(F.col("response.code") == 0)
-        .select("node_token", "response.data.node.obj_type", "response.data.node.obj_token")
-    )
+    found = F.when(F.col("response.code") == 0, F.array("response.data.node"))
+    nodes = _parsed(responses, schemas.NODE_BODY).select("node_token", F.explode(found).alias("node"))
+    return nodes.select("node_token", "node.obj_type", "node.obj_token")

@@ -263,11 +263,12 @@ QUERIES = {
               UNION ALL SELECT parent_node_token, title, node_token, ord FROM doc_nodes)
         GROUP BY 1, 2 HAVING count(*) > 1""",
     "name_check": """SELECT 'S' || d.lang || '/src0' AS parent_key, d.title, count(p.node_token) > 0 AS is_duplicate,
-            arg_max(p.node_token, p.ord) AS node_token, count(p.node_token) AS occurrences,
-            coalesce((SELECT count(DISTINCT q.title) FROM doc_places q
-                      WHERE q.parent_node_token = 'S' || d.lang || '/src0'), 0) AS total_count
+            arg_max(p.node_token, p.ord) AS node_token, count(p.node_token) AS occurrences
         FROM docs d LEFT JOIN doc_places p ON p.parent_node_token = 'S' || d.lang || '/src0' AND p.title = d.title
         GROUP BY d.lang, d.title""",
+    "title_counts": """SELECT coalesce(parent_node_token, '') AS parent_key, count(DISTINCT title) AS total_count
+        FROM (SELECT parent_node_token, title FROM tree_nodes UNION ALL SELECT parent_node_token, title FROM doc_nodes)
+        GROUP BY 1""",
     "nonblank_docs": f"SELECT doc_id, length(content) AS n_chars FROM contents WHERE {_has_body('content')}",
     "limit_then_pending": f"""SELECT node_token, obj_token, depth, ord_path
         FROM (SELECT * FROM leaves ORDER BY lang_ord, source_ord, ord LIMIT 100)
@@ -298,19 +299,19 @@ QUERIES = {
             sha256(head || substring(text, 1, {DEFAULT_REQUEST_CHARS})) AS limited_hash FROM prepared""",
     "taxonomy_outline": "SELECT ord_path, line FROM outline",
     "prompt_len": """SELECT obj_key, length(head || text) + length('Labels:') + length('Text:') + 5
-        + (SELECT sum(length(line)) + count(*) - 1 FROM outline) AS n_chars FROM prepared""",
+        + (SELECT sum(length(line)) + count(*) - 1 FROM outline)::BIGINT AS n_chars FROM prepared""",
     "classify_stub": "SELECT obj_key, raw_response, error, path, match_tier FROM labelled",
     "clean_response": "SELECT obj_key, raw_response, answer FROM cleaned",
     "validate_path": """SELECT answer, path, match_tier, count(*) AS documents FROM labelled
         GROUP BY answer, path, match_tier""",
-    "path_to_tags": """SELECT obj_key, len(parts) AS levels, '{' || array_to_string(list_transform(
+    "path_to_tags": """SELECT obj_key, len(parts)::INTEGER AS levels, '{' || array_to_string(list_transform(
             parts, lambda p, i: '"tag' || i || '":["' || p || '"]'), ',') || '}' AS tag_json,
         tag1, tag2, tag3, tag4 FROM routes""",
     "taxonomy_roots": "SELECT ord_path, path FROM catalogue WHERE depth = 1",
     "taxonomy_search": "SELECT ord_path, path FROM catalogue WHERE lower(path) LIKE '%size 1%'",
     "taxonomy_stats": """SELECT count(*) AS n_paths, count(*) FILTER (depth = 1) AS n_roots,
         count(*) FILTER (is_leaf) AS n_leaves, max(depth) AS max_depth FROM catalogue""",
-    "route_paths": """SELECT obj_key, path, len(parts) AS levels, least(len(parts), 3) AS folder_levels,
+    "route_paths": """SELECT obj_key, path, len(parts)::INTEGER AS levels, least(len(parts), 3)::INTEGER AS folder_levels,
         tag1, tag2, tag3 FROM routes""",
     "folder_plan": "SELECT level, path, parent_token, title, node_token, created FROM folders",
     "new_folders": """SELECT node_token, parent_token AS parent_node_token, title, 'docx' AS obj_type,

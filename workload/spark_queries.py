@@ -170,6 +170,11 @@ def name_check(spark: SparkSession, sf: str) -> DataFrame:
     return tree.check_titles(views.doc_nodes(spark, sf), wanted)
 
 
+@query
+def title_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return tree.title_counts(views.doc_nodes(spark, sf).unionByName(views.tree_nodes(spark, sf)))
+
+
 # Filters, limits, joins
 
 
@@ -218,8 +223,8 @@ def read_contents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def read_summary(spark: SparkSession, sf: str) -> DataFrame:
-    docs = reading.with_obj_key(_pending(spark, sf)).select("obj_key", "node_token")
-    return reading.read_summary(reading.read_status(docs, views.contents(spark, sf)))
+    listed = reading.listings(_pending(spark, sf))
+    return reading.read_summary(reading.read_status(listed, views.contents(spark, sf)))
 
 
 # Classification
@@ -280,10 +285,9 @@ def taxonomy_outline(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def prompt_len(spark: SparkSession, sf: str) -> DataFrame:
-    template = F.replace(
-        F.lit(rules.REQUEST_TEMPLATE), F.lit("{outline}"), taxonomy.outline(views.catalogue(spark, sf))
-    )
-    request = text.fill_template(template, text.prepare_text(F.col("content"), F.col("title")))
+    prepared = text.prepare_text(F.col("content"), F.col("title"))
+    outline = taxonomy.outline(views.catalogue(spark, sf))
+    request = text.fill_template(rules.REQUEST_TEMPLATE, outline=outline, text=prepared)
     return _titled(spark, sf).select("obj_key", F.length(request).cast("bigint").alias("n_chars"))
 
 
