@@ -6,14 +6,15 @@ A label tree is small by its nature, since all of it is put into every model req
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docgrove import scratch
 from docgrove.functions.labels import SEPARATOR
 
-MAX_DEPTH = 8
 MAX_TREE_BYTES = 8 * 1024 * 1024
 
 # Fixed value, equal to the reference's: between list items in the outline.
@@ -44,55 +45,71 @@ def from_paths(rows: DataFrame) -> DataFrame:
     )
 
 
-def from_adjacency(rows: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """From `(id, parent, label, ord)` rows, optionally with `listed`: one join per level down to `max_depth`."""
+def from_adjacency(rows: DataFrame) -> DataFrame:
+    """From `(id, parent, label, ord)` rows, optionally with `listed`."""
     if "listed" not in rows.columns:
         rows = rows.withColumn("listed", F.lit(False))
-    rows = rows.select("id", "parent", "label", F.col("ord").cast("bigint").alias("ord"), "listed")
-    level = rows.filter("parent is null").select(
+    base = scratch.new_folder(rows.sparkSession, "labels")
+    rows = scratch.stage(
+        rows.select("id", "parent", "label", F.col("ord").cast("bigint").alias("ord"), "listed"), f"{base}/rows"
+    )
+    top = rows.filter("parent is null").select(
         "id", F.array("ord").alias("ord_path"), F.col("label").alias("path"), "listed"
     )
-    levels = [level]
-    for _ in range(max_depth - 1):
+
+    def below(level: DataFrame) -> DataFrame:
         above = level.select(F.col("id").alias("parent"), "ord_path", "path")
-        level = rows.join(above, "parent").select(
+        return rows.join(above, "parent").select(
             "id",
             F.concat("ord_path", F.array("ord")).alias("ord_path"),
             F.concat("path", F.lit(SEPARATOR), "label").alias("path"),
             "listed",
         )
-        levels.append(level)
-    return _described(reduce(DataFrame.unionByName, levels).select("ord_path", "path", "listed"))
 
+    return _by_levels(top, below, base)
 
-def from_json(spark: SparkSession, path: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+
+def from_json(spark: SparkSession, path: str) -> DataFrame:
     """From a file with one nested object: keys are labels, `{}` and `[]` are leaves, list items too."""
-    return from_json_text(spark.read.text(path, wholetext=True), max_depth)
+    return from_json_text(spark.read.text(path, wholetext=True))
 
 
-def from_json_text(tree: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def from_json_text(tree: DataFrame) -> DataFrame:
     """Like `from_json`, from a column `value` that holds the object."""
-    level = tree.select(F.array().cast("array<bigint>").alias("ord_path"), F.lit("").alias("path"), "value")
-    levels = []
-    for _ in range(max_depth):
-        # A value is an object or a list; the other reading of it gives null and so no rows.
-        keyed = level.select(
-            "ord_path", "path", F.posexplode(F.from_json("value", "map<string,string>")).alias("pos", "label", "value")
-        ).withColumn("listed", F.lit(False))
-        items = level.filter(F.ltrim("value").startswith("[")).select(
-            "ord_path", "path", F.posexplode(F.from_json("value", "array<string>")).alias("pos", "label")
-        ).select("*", F.lit("{}").alias("value"), F.lit(True).alias("listed"))
-        level = keyed.unionByName(items).select(
-            F.concat("ord_path", F.array(F.col("pos").cast("bigint"))).alias("ord_path"),
-            F.when(F.col("path") == "", F.col("label"))
-            .otherwise(F.concat("path", F.lit(SEPARATOR), "label"))
-            .alias("path"),
-            "listed",
-            "value",
+
+    def children(value: Column) -> Column:
+        def child(label: Column, below: Column, listed: bool) -> Column:
+            return F.struct(label.alias("label"), below.alias("value"), F.lit(listed).alias("listed"))
+
+        items = F.transform(F.from_json(value, "array<string>"), lambda item: child(item, F.lit("{}"), True))
+        keys = F.transform(
+            F.map_entries(F.from_json(value, "map<string,string>")), lambda e: child(e["key"], e["value"], False)
         )
+        return F.when(F.ltrim(value).startswith("["), items).otherwise(keys)
+
+    def below(level: DataFrame) -> DataFrame:
+        position = F.array(F.col("pos").cast("bigint"))
+        return level.select("ord_path", "path", F.posexplode(children(F.col("value"))).alias("pos", "child")).select(
+            F.concat("ord_path", position).alias("ord_path"),
+            F.concat_ws(SEPARATOR, "path", "child.label").alias("path"),
+            "child.listed",
+            "child.value",
+        )
+
+    root = tree.select(
+        F.array().cast("array<bigint>").alias("ord_path"), F.lit(None).cast("string").alias("path"), "value"
+    )
+    return _by_levels(below(root), below, scratch.new_folder(tree.sparkSession, "labels"))
+
+
+def _by_levels(top: DataFrame, below: Callable[[DataFrame], DataFrame], base: str) -> DataFrame:
+    """Label tree from its top level and the step to the next one; each level is a small staged table."""
+    level = scratch.stage(top, f"{base}/level-0")
+    levels = []
+    while not level.isEmpty():
         levels.append(level.select("ord_path", "path", "listed"))
-        level = level.select("ord_path", "path", "value")
-    return _described(reduce(DataFrame.unionByName, levels))
+        level = scratch.stage(below(level), f"{base}/level-{len(levels)}")
+    return _described(reduce(DataFrame.unionByName, levels or [level.select("ord_path", "path", "listed")]))
 
 
 def label_array(taxonomy: DataFrame) -> Column:

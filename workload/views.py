@@ -219,7 +219,7 @@ def catalogue(spark: SparkSession, sf: str) -> DataFrame:
             "'size ' || p_size label", "ord", "true listed",
         ),
     )
-    return taxonomy.from_adjacency(rows, max_depth=3)
+    return taxonomy.from_adjacency(rows)
 
 
 def raw_responses(spark: SparkSession, sf: str) -> DataFrame:
