@@ -18,12 +18,16 @@ Provider = Callable[[], Callable[[str, str], str | None]]
 
 def cache_lookup(docs: DataFrame, cache: DataFrame, version: Column | str) -> DataFrame:
     """`docs` (with `obj_key`, `content_hash`) plus `cached_path`, null unless document, body and label
-    tree are all the same as when it was cached."""
+    tree are all the same as when it was cached. `cache` has one row per document: the join is by document
+    alone, as the newest rows of the cache are laid out already."""
     version = F.lit(version) if isinstance(version, str) else version
-    known = cache.filter(F.col("taxonomy_version") == version).select(
-        F.col("obj_token").alias("obj_key"), "content_hash", F.col("path").alias("cached_path")
+    known = cache.select(
+        F.col("obj_token").alias("obj_key"),
+        F.col("content_hash").alias("cached_hash"),
+        F.when(F.col("taxonomy_version") == version, F.col("path")).alias("cached"),
     )
-    return docs.join(known, ["obj_key", "content_hash"], "left").select(*docs.columns, "cached_path")
+    hit = F.when(F.col("content_hash") == F.col("cached_hash"), F.col("cached")).alias("cached_path")
+    return docs.join(known, "obj_key", "left").select(*docs.columns, hit)
 
 
 def model_requests(docs: DataFrame, max_chars: int | None = None) -> DataFrame:

@@ -81,7 +81,8 @@ def run(inputs: Inputs, settings: Settings) -> Result:
     if settings.max_documents:
         found = stage(tree.first_documents(leaves, settings.max_documents), f"{folder}/found")
 
-    ledger = tables.read_current(spark, f"{settings.state}/ledger", schemas.LEDGER)
+    # A repeated run does its documents again, since it replaces its output.
+    ledger = tables.read_log(spark, f"{settings.state}/ledger", schemas.LEDGER, without_run=settings.run_id)
     done_before = tables.processed_nodes(ledger, scan_root, settings.use_ledger, settings.force)
     pending = stage(reading.pending(found, done_before), f"{folder}/pending")
 
@@ -102,7 +103,7 @@ def run(inputs: Inputs, settings: Settings) -> Result:
         f"{folder}/routed",
     )
 
-    _remember(settings, outcomes, ledger, scan_root, target_root)
+    _remember(settings, outcomes, scan_root, target_root)
     return Result(
         scan_root,
         target_root,
@@ -134,7 +135,8 @@ def _scan(spark, nodes, settings, scan_root, folder):
 def _with_cache(spark, inputs, settings, status, folder):
     if not settings.use_cache:
         return stage(status.withColumn("cached_path", F.lit(None).cast("string")), f"{folder}/reads")
-    cache = tables.read_current(spark, f"{settings.state}/cache", schemas.CACHE)
+    log = tables.read_log(spark, f"{settings.state}/cache", schemas.CACHE)
+    cache = tables.latest(log, "obj_token", F.col("updated_at"))
     version = taxonomy.taxonomy_version(inputs.taxonomy)
     return stage(classify.cache_lookup(status, cache, version), f"{folder}/reads")
 
@@ -155,26 +157,21 @@ def _answers(spark, inputs, settings, reads, folder):
         labelled = classify.label_answers(answers, taxonomy.label_array(inputs.taxonomy))
         parts.append(labelled)
         if settings.use_cache:
-            _fill_cache(spark, inputs, settings, labelled.join(reads.select("obj_key", "content_hash"), "obj_key"))
+            hashed = labelled.join(reads.select("obj_key", "content_hash"), "obj_key")
+            fresh = classify.cache_rows(hashed, taxonomy.taxonomy_version(inputs.taxonomy))
+            tables.add_to_log(fresh, f"{settings.state}/cache", settings.run_id)
     return reduce(DataFrame.unionByName, parts)
 
 
-def _fill_cache(spark, inputs, settings, labelled):
-    path = f"{settings.state}/cache"
-    fresh = classify.cache_rows(labelled, taxonomy.taxonomy_version(inputs.taxonomy))
-    cache = tables.read_current(spark, path, schemas.CACHE)
-    tables.write_next(tables.upsert(cache, fresh, "obj_token", F.col("updated_at")), path)
-
-
 def _outcomes(reads, labelled, folder):
     new = labelled.select("obj_key", "error", F.col("path").alias("new_path"), "match_tier")
     joined = reads.join(new, "obj_key", "left").withColumn("path", F.coalesce("cached_path", "new_path"))
     return stage(route.copy_status(joined.drop("new_path")), f"{folder}/outcomes")
 
 
-def _remember(settings, outcomes, ledger, scan_root, target_root):
+def _remember(settings, outcomes, scan_root, target_root):
     """Last of all, so that a run that fails before is simply repeated: the ledger of routed documents.
     Empty and failed ones are tried again in the next run."""
     if settings.use_ledger:
         done = tables.ledger_rows(outcomes.filter(F.col("status") == route.SUCCESS), scan_root, target_root)
-        tables.write_next(tables.append_ledger(ledger, done), f"{settings.state}/ledger")
+        tables.add_to_log(done, f"{settings.state}/ledger", settings.run_id, replace=True)

@@ -41,3 +41,9 @@ NODE_SNAPSHOT = """
     has_child BOOLEAN, node_type STRING, scan_time TIMESTAMP
 """
 LEDGER = "node_token STRING, scan_root STRING, target_root STRING, processed_at TIMESTAMP"
+
+# The label columns are partitions and stay text, even if a label looks like a number.
+ROUTED = """
+    node_token STRING, obj_token STRING, title STRING, target_parent STRING, tag_line STRING, content STRING,
+    tag1 STRING, tag2 STRING, tag3 STRING
+"""

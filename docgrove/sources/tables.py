@@ -1,41 +1,66 @@
-"""State kept between runs as parquet: versioned tables, leaf sets, the ledger, run outputs.
+"""State kept between runs as parquet: logs, versioned tables, leaf sets, run outputs.
 
-Parquet has no merge. An upsert therefore writes the next version of the table into a folder of its
-own, and readers take the newest one: no folder is overwritten while it is read, and an interrupted
-write leaves the last version in place.
+Parquet has no merge. The cache and the ledger are logs: a run adds a part with its new rows only, and
+readers take the newest row of a key. The node snapshot, where most rows are renewed by each scan, is
+upserted into the next version of the table, in a folder of its own. Either way nothing is
+overwritten while it is read, and an interrupted write leaves the earlier state in place.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from docgrove import schemas
+
+
+def _part(path: str, **keys: str) -> str:
+    """Partition folder for these values; Spark reads `%2F` and the like back as the characters."""
+    escaped = {k: re.sub(r"[^\w.-]", lambda m: f"%{ord(m[0]):02X}" if m[0].isascii() else m[0], v) for k, v in keys.items()}
+    return "/".join([path, *[f"{k}={v}" for k, v in escaped.items()]])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """The table at `path`, or None if nothing was written there."""
+    reader = spark.read.schema(schema) if schema else spark.read
     try:
-        spark.read.parquet(path)
-        return True
+        return reader.parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return False
+            return None
         raise
 
 
-def _read_partitioned(spark: SparkSession, path: str, labels: list[str]) -> DataFrame:
-    """Read with the partition columns as text, so that a value such as `007` stays what it is."""
-    found = spark.read.parquet(path).schema
-    columns = [T.StructField(f.name, T.StringType() if f.name in labels else f.dataType) for f in found]
-    return spark.read.schema(T.StructType(columns)).parquet(path)
+def add_to_log(df: DataFrame, path: str, run_id: str, replace: bool = False) -> None:
+    """Add rows to the part of a run, or replace that part."""
+    df.write.mode("overwrite" if replace else "append").parquet(_part(path, run=run_id))
+
+
+def read_log(spark: SparkSession, path: str, schema: str, without_run: str | None = None) -> DataFrame:
+    """All rows of a log, without those of one run if named."""
+    rows = _read(spark, path, f"{schema}, run STRING")
+    if rows is None:
+        return spark.createDataFrame([], schema)
+    return (rows.filter(F.col("run") != without_run) if without_run else rows).drop("run")
+
+
+def latest(rows: DataFrame, key: str, newest: Column) -> DataFrame:
+    """One row per key, the one that is greatest in `newest`. Rows meet in partial aggregates, so a key that
+    is repeated very often does not fill one task."""
+    others = F.struct(*[F.col(c) for c in rows.columns if c != key])
+    newest_row = rows.groupBy(key).agg(F.max_by(others, newest).alias("row"))
+    return newest_row.select(key, "row.*").select(*rows.columns)
 
 
 def current_version(spark: SparkSession, path: str) -> int:
     """Newest finished version, 0 if there is none. Reads folder names and file footers only."""
-    if not _exists(spark, path):
+    versions = _read(spark, path)
+    if versions is None:
         return 0
-    newest = spark.read.parquet(path).agg(F.max(F.col("version").cast("int"))).first()[0]
-    return newest or 0
+    return versions.agg(F.max(F.col("version").cast("int"))).first()[0] or 0
 
 
 def read_current(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -52,16 +77,10 @@ def write_next(df: DataFrame, path: str) -> int:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, newest: Column) -> DataFrame:
-    """`old` with the rows of `new` in place of those with the same key; of several new rows the one
-    that is greatest in `newest` counts. The new rows meet in partial aggregates, so a key that is
-    repeated very often does not fill one task."""
-    latest = (
-        new.groupBy(key)
-        .agg(F.max_by(F.struct(*[F.col(c) for c in new.columns if c != key]), newest).alias("row"))
-        .select(key, "row.*")
-        .select(*old.columns)
-    )
-    return old.join(latest, key, "left_anti").unionByName(latest)
+    """`old` with the rows of `new` in place of those with the same key; of several new rows for a key the
+    newest counts."""
+    fresh = latest(new, key, newest).select(*old.columns)
+    return old.join(fresh, key, "left_anti").unionByName(fresh)
 
 
 def upsert_nodes(old: DataFrame, walked: DataFrame, scan_time: Column | None = None) -> DataFrame:
@@ -81,23 +100,12 @@ def upsert_nodes(old: DataFrame, walked: DataFrame, scan_time: Column | None = N
 
 def save_leaf_set(leaves: DataFrame, path: str, space_id: str, scan_root: str) -> None:
     """Keep the result of a finished walk; a repeated walk of the same root replaces it alone."""
-    (
-        leaves.withColumns({"space_id": F.lit(space_id), "scan_root": F.lit(scan_root)})
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("space_id", "scan_root")
-        .parquet(path)
-    )
+    leaves.write.mode("overwrite").parquet(_part(path, space_id=space_id, scan_root=scan_root))
 
 
 def load_leaf_set(spark: SparkSession, path: str, space_id: str, scan_root: str) -> DataFrame | None:
-    """The stored result of that walk, or None. Prunes to the one partition."""
-    if not _exists(spark, path):
-        return None
-    stored = _read_partitioned(spark, path, ["space_id", "scan_root"]).filter(
-        (F.col("space_id") == space_id) & (F.col("scan_root") == scan_root)
-    )
-    return None if stored.isEmpty() else stored.drop("space_id", "scan_root")
+    """The stored result of that walk, or None. Reads the one partition only."""
+    return _read(spark, _part(path, space_id=space_id, scan_root=scan_root))
 
 
 def ledger_rows(done: DataFrame, scan_root: str, target_root: str | None, at: Column | None = None) -> DataFrame:
@@ -110,11 +118,10 @@ def ledger_rows(done: DataFrame, scan_root: str, target_root: str | None, at: Co
     )
 
 
-def append_ledger(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Ledger with the new entries; the latest entry of a node in a scan root counts."""
-    both = old.unionByName(new)
+def newest_entries(ledger: DataFrame) -> DataFrame:
+    """The latest ledger entry of every node in a scan root."""
     return (
-        both.groupBy("node_token", "scan_root")
+        ledger.groupBy("node_token", "scan_root")
         .agg(F.max(F.struct("processed_at", "target_root")).alias("latest"))
         .select("node_token", "scan_root", "latest.target_root", "latest.processed_at")
     )
@@ -142,5 +149,5 @@ def write_routed(routed: DataFrame, path: str) -> None:
 
 
 def read_routed(spark: SparkSession, path: str) -> DataFrame:
-    """All routed documents, with their labels as text."""
-    return _read_partitioned(spark, path, ["tag1", "tag2", "tag3"])
+    """All routed documents."""
+    return spark.read.schema(schemas.ROUTED).parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrove import scratch
+from docgrove import schemas, scratch
 from docgrove.functions import labels, text
 from docgrove.operators import classify, reading, route, tree
 from docgrove.plans.run import Inputs, Settings, run
@@ -415,7 +415,10 @@ def annotated_docs(spark: SparkSession, sf: str) -> DataFrame:
 def ledger_append(spark: SparkSession, sf: str) -> DataFrame:
     done = _outcomes(spark, sf).filter(F.col("status") == route.SUCCESS)
     new = tables.ledger_rows(done, rules.DOCUMENT_ROOT, rules.TARGET, F.expr("timestamp'2024-02-01 00:00:00'"))
-    after = tables.append_ledger(views.ledger(spark, sf), new)
+    log = scratch.new_folder(spark, "ledger")
+    tables.add_to_log(views.ledger(spark, sf), log, "1")
+    tables.add_to_log(new, log, "2")
+    after = tables.newest_entries(tables.read_log(spark, log, schemas.LEDGER))
     return after.select("node_token", "scan_root", "target_root", F.month("processed_at").alias("processed_month"))
 
 
@@ -456,8 +459,8 @@ def end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     )
     tree_of_labels = views.labels(spark)
     known = views.cache(spark, sf, taxonomy.taxonomy_version(tree_of_labels))
-    tables.write_next(known, f"{settings.state}/cache")
-    tables.write_next(views.ledger(spark, sf), f"{settings.state}/ledger")
+    tables.add_to_log(known, f"{settings.state}/cache", "0")
+    tables.add_to_log(views.ledger(spark, sf), f"{settings.state}/ledger", "0")
     nodes = views.space_nodes(spark, sf)
     infos = nodes.select("node_token", "obj_type", "obj_token")
     result = run(Inputs(nodes, views.contents(spark, sf), tree_of_labels, stub_provider, infos), settings)
