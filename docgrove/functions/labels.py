@@ -75,6 +75,17 @@ def tag_json(parts: Column) -> Column:
     return F.to_json(tag_map(parts))
 
 
+def path_from_tags(json: Column) -> Column:
+    """Label path from `{"tag1": [label], ...}` as JSON text."""
+
+    def path(tags: Column) -> Column:
+        names = F.sequence(F.lit(1), F.size(tags))
+        parts = F.transform(names, lambda n: F.element_at(tags, F.concat(F.lit("tag"), n.cast("string")))[0])
+        return F.array_join(parts, SEPARATOR)
+
+    return once(F.from_json(json, "map<string,array<string>>"), path)
+
+
 def tag_message(parts: Column) -> Column:
     """Line that shows all levels: a newline, then ` | Tag1: ... | Tag2: ...`."""
     tags = F.transform(parts, lambda p, i: F.concat(F.lit("Tag"), (i + 1).cast("string"), F.lit(": "), p))

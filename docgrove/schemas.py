@@ -42,6 +42,12 @@ NODE_SNAPSHOT = """
 """
 LEDGER = "node_token STRING, scan_root STRING, target_root STRING, processed_at TIMESTAMP"
 
+# State as the reference keeps it, to start from.
+PROGRESS = """
+    processed_tokens ARRAY<STRING>, total_processed INT, last_update STRING, scan_root STRING, target_root STRING
+"""
+TAG_CACHE = "obj_token STRING, content_hash STRING, tag_json STRING, updated_at STRING"
+
 # The label columns are partitions and stay text, even if a label looks like a number.
 ROUTED = """
     node_token STRING, obj_token STRING, title STRING, target_parent STRING, tag_line STRING, content STRING,

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgrove import schemas
+from docgrove.functions.labels import path_from_tags
 
 
 def _part(path: str, **keys: str) -> str:
@@ -118,6 +119,30 @@ def ledger_rows(done: DataFrame, scan_root: str, target_root: str | None, at: Co
     )
 
 
+def ledger_from_progress(progress: DataFrame, target_root: str | None = None) -> DataFrame:
+    """Ledger from progress files as the reference writes them, one JSON object per file with `processed_tokens`,
+    `last_update`, `scan_root` and perhaps a target name; read them with `multiLine`."""
+    return progress.select(
+        F.explode("processed_tokens").alias("node_token"),
+        "scan_root",
+        F.lit(target_root).cast("string").alias("target_root"),
+        F.to_timestamp("last_update").alias("processed_at"),
+    )
+
+
+def cache_from_tags(rows: DataFrame, version: Column | str) -> DataFrame:
+    """Cache from rows `(obj_token, content_hash, tag_json, updated_at)` as the reference keeps them, taken to
+    belong to a label tree."""
+    return rows.select(
+        "obj_token",
+        "content_hash",
+        (F.lit(version) if isinstance(version, str) else version).alias("taxonomy_version"),
+        path_from_tags(F.col("tag_json")).alias("path"),
+        "tag_json",
+        F.to_timestamp("updated_at").alias("updated_at"),
+    )
+
+
 def newest_entries(ledger: DataFrame) -> DataFrame:
     """The latest ledger entry of every node in a scan root."""
     return (

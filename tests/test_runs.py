@@ -232,3 +232,16 @@ def test_snapshot_keeps_the_last_place(spark):
     old = spark.createDataFrame([("z", None, "kept", "docx", False, "origin", None)], schemas.NODE_SNAPSHOT)
     after = tables.upsert_nodes(old, tree.walk(nodes, "r").rows)
     assert {r["node_token"]: r["title"] for r in after.collect()} == {"z": "kept", "a": "last", "b": "b"}
+
+
+def test_state_of_the_reference_is_taken_over(spark, tmp_path):
+    (tmp_path / "progress.json").write_text(
+        '{"processed_tokens": ["K1", "K2"],\n "total_processed": 2, "last_update": "2024-02-01T10:00:00.5", "scan_root": "ROOT"}'
+    )
+    progress = spark.read.schema(schemas.PROGRESS).json(f"{tmp_path}/progress.json", multiLine=True)
+    ledger = tables.ledger_from_progress(progress, "TARGET")
+    assert sorted(r[0] for r in tables.processed_nodes(ledger, "ROOT").collect()) == ["K1", "K2"]
+    assert tables.processed_nodes(ledger, "OTHER").count() == 0
+    rows = [("D1", "h", '{"tag1": ["A"], "tag2": ["B C"]}', "2024-02-01T10:00:00.123456"), ("D2", "h", '{"tag1": ["Others"]}', "2024-02-01T10:00:00")]
+    cache = tables.cache_from_tags(spark.createDataFrame(rows, schemas.TAG_CACHE), "v")
+    assert {r["obj_token"]: r["path"] for r in cache.collect()} == {"D1": "A -> B C", "D2": "Others"}

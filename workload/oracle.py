@@ -285,6 +285,9 @@ QUERIES = {
                              LEFT JOIN ok_responses r2 ON r2.doc_id = p.node_token)""",
     "content_hash": "SELECT doc_id, sha256(coalesce(content, '')) AS content_hash FROM contents",
     "cache_lookup": "SELECT obj_key, node_token, read_status, cached_path FROM status",
+    "cache_import": """SELECT obj_key AS obj_token, path, '{' || array_to_string(list_transform(
+            parts, lambda p, i: '"tag' || i || '":["' || p || '"]'), ',') || '}' AS tag_json, 10 AS updated_hour
+        FROM routes""",
     "cache_upsert": f"""SELECT obj AS obj_token,
             CASE WHEN l.error IS NOT NULL AND NOT ({rules.CACHED_BODY_IS_CURRENT}) THEN sha256(text || '!')
                  ELSE sha256(text) END AS content_hash,

@@ -246,6 +246,17 @@ def cache_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return _looked_up(spark, sf).select("obj_key", "node_token", "read_status", "cached_path")
 
 
+@query
+def cache_import(spark: SparkSession, sf: str) -> DataFrame:
+    """Tags as JSON text, with the labels of `raw_responses`, taken over as cache rows."""
+    kept = _labelled(spark, sf).select(
+        F.col("obj_key").alias("obj_token"), F.lit("hash").alias("content_hash"),
+        labels.tag_json(F.col("parts")).alias("tag_json"), F.lit("2024-02-01T10:00:00.123456").alias("updated_at"),
+    )
+    taken = tables.cache_from_tags(kept, VERSION)
+    return taken.select("obj_token", "path", "tag_json", F.hour("updated_at").alias("updated_hour"))
+
+
 @query
 def cache_upsert(spark: SparkSession, sf: str) -> DataFrame:
     docs = views.table(spark, sf, "documents").select(
