@@ -35,14 +35,19 @@ def parent_key() -> Column:
     return F.coalesce("parent_node_token", F.lit(TOP))
 
 
-def walk(nodes: DataFrame, root: str | None = None) -> Walk:
+def in_space(nodes: DataFrame, space_id: str | None) -> DataFrame:
+    return nodes if space_id is None else nodes.filter(F.col("space_id") == space_id)
+
+
+def walk(nodes: DataFrame, root: str | None = None, space_id: str | None = None) -> Walk:
     """All nodes below `root`, or the whole space without one. The root itself is not among them
-    (unless a node below it lists it again).
+    (unless a node below it lists it again). `space_id` names the space if `nodes` holds several.
 
     A node that several parents list appears once for each of them, and is expanded at its first place
     in queue order. Expanded nodes are never expanded again, so cycles end.
     """
     spark = nodes.sparkSession
+    nodes = in_space(nodes, space_id)
     base = scratch.new_folder(spark, "walk")
     links = scratch.stage(
         nodes.filter("has_child and node_token <> ''").select(

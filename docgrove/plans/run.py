@@ -7,7 +7,7 @@ them. Bodies are joined in twice: to the requests, and to the routed documents;
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -70,6 +70,8 @@ class Result:
 
 def run(inputs: Inputs, settings: Settings) -> Result:
     spark = inputs.nodes.sparkSession
+    if "space_id" in inputs.nodes.columns:
+        inputs = replace(inputs, nodes=tree.in_space(inputs.nodes, settings.space_id).drop("space_id"))
     folder = f"{settings.output}/run={settings.run_id}"
     scan_root = tree.scan_root(inputs.nodes, settings.scan_root, settings.scan_name)
     target_root = tree.target_root(

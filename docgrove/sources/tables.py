@@ -99,6 +99,13 @@ def upsert_nodes(old: DataFrame, walked: DataFrame, scan_time: Column | None = N
     return upsert(old, seen, "node_token", F.col("place"))
 
 
+def save_contents(contents: DataFrame, table: str, buckets: int) -> None:
+    """Contents as a catalog table laid out by `doc_id`. Runs that read it (`spark.table`) join bodies where they
+    are: only ids and labels are shuffled."""
+    laid_out = contents.repartition(buckets, "doc_id").write.mode("overwrite")
+    laid_out.bucketBy(buckets, "doc_id").sortBy("doc_id").saveAsTable(table)
+
+
 def save_leaf_set(leaves: DataFrame, path: str, space_id: str, scan_root: str) -> None:
     """Keep the result of a finished walk; a repeated walk of the same root replaces it alone."""
     leaves.write.mode("overwrite").parquet(_part(path, space_id=space_id, scan_root=scan_root))

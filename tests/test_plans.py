@@ -119,3 +119,20 @@ def test_large_label_is_written_by_several_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
     assert len(glob.glob(f"{tmp_path}/routed/tag1=hot/*/*/*.parquet")) > 1
     assert tables.read_routed(spark, f"{tmp_path}/routed").count() == 60_000
+
+
+def test_bodies_in_buckets_stay_where_they_are(spark, sf):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tables.save_contents(views.contents(spark, sf), "laid_out_contents", 4)
+        contents = spark.table("laid_out_contents")
+        docs = views.doc_nodes(spark, sf).select(F.col("obj_token").alias("response_id"), "node_token")
+        joined = reading.attach_contents(docs, contents, how="inner")
+        assert joined.count() == reading.attach_contents(docs, views.contents(spark, sf), how="inner").count() > 0
+        plan = _plan(joined)
+        body_side = plan[plan.index("Sort [answered_by"):]
+        assert "Bucketed: true" in body_side and "Exchange" not in body_side
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE IF EXISTS laid_out_contents")

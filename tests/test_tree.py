@@ -72,6 +72,13 @@ def test_root_is_not_reached_and_cycles_end(spark):
     assert tree.walk(_nodes(spark, rows), "unknown").rows.count() == 0
 
 
+def test_one_of_several_spaces(spark):
+    rows = [("a", None, "A", "docx", "oa", True, 0), ("b", "a", "B", "docx", "ob", False, 0)]
+    both = _nodes(spark, rows).withColumn("space_id", F.lit("1")).union(_nodes(spark, rows[:1]).withColumn("space_id", F.lit("2")))
+    assert tree.walk(both, space_id="1").rows.count() == 2
+    assert tree.walk(both, space_id="2").rows.count() == 1
+
+
 def test_deep_chain(spark):
     rows = [(f"n{n}", f"n{n - 1}" if n else None, "t", "docx", "o", n < 30, 0) for n in range(31)]
     rows = tree.leaf_documents(tree.walk(_nodes(spark, rows), "n0").rows).collect()

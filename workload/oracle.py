@@ -46,14 +46,14 @@ VIEWS = {
                min(doc_id) OVER (PARTITION BY lang) AS lang_ord, min(doc_id) OVER (PARTITION BY lang, source) AS source_ord,
                min(source) OVER (PARTITION BY lang) AS first_source
         FROM documents""",
-    "first_sources": "SELECT DISTINCT lang, source, source_ord FROM docs WHERE source = first_source",
+    "first_sources": "SELECT DISTINCT lang, source_ord FROM docs WHERE source = first_source",
     "doc_places": f"""
-        SELECT node AS node_token, 'S' || lang || '/' || source AS parent_node_token, obj AS obj_token, title, doc_id,
+        SELECT node AS node_token, 'S' || lang || '/' || source AS parent_node_token, obj AS obj_token, title, doc_id, source,
                lang, lang_ord, source_ord, doc_id AS ord, 'origin' AS node_type FROM docs
         UNION ALL
-        SELECT {rules.SECOND_NODE}, 'S' || d.lang || '/' || d.first_source, d.obj, d.title, d.doc_id,
+        SELECT 'X' || d.doc_id, 'S' || d.lang || '/' || d.first_source, d.obj, d.title, d.doc_id, d.source,
                d.lang, d.lang_ord, f.source_ord, 1000000000000000 + d.doc_id, 'shortcut'
-        FROM docs d JOIN first_sources f ON f.lang = d.lang WHERE {rules.HAS_SECOND_NODE}""",
+        FROM docs d JOIN first_sources f ON f.lang = d.lang WHERE d.{rules.HAS_SECOND_NODE}""",
     "leaves": """
         SELECT *, coalesce(nullif(obj_token, ''), node_token) AS obj_key, 3 AS depth,
                lang_ord || '/' || source_ord || '/' || ord AS ord_path FROM doc_places""",
@@ -73,11 +73,11 @@ VIEWS = {
                         OR starts_with(parent_node_token, 'S' || (SELECT max(lang) FROM documents) || '/'), false) AS refused
         FROM doc_nodes""",
     "contents": f"""
-        SELECT obj AS doc_id, {rules.RESPONSE_CODE} AS code,
-               CASE WHEN doc_id % 41 = 0 THEN {rules.BLANK} WHEN ({rules.RESPONSE_CODE}) = 0 THEN text END AS content
+        SELECT obj AS doc_id, {rules.RESPONSE_CODE} AS code, {rules.ANSWERS_NO_JSON} AS broken,
+               CASE WHEN {rules.IS_BLANK} THEN {rules.BLANK} WHEN ({rules.RESPONSE_CODE}) = 0 THEN text END AS content
         FROM docs
         UNION ALL
-        SELECT node, 0, text FROM docs WHERE {rules.ANSWERS_BY_NODE}""",
+        SELECT node, 0, {rules.ANSWERS_NO_JSON}, text FROM docs WHERE {rules.ANSWERS_BY_NODE}""",
     "tokens": f"""
         SELECT node_token FROM doc_nodes UNION ALL SELECT node_token FROM tree_nodes WHERE obj_type = 'sheet'
         UNION ALL SELECT {rules.DOC_OBJECT} FROM documents""",
@@ -107,7 +107,7 @@ VIEWS = {
     "labels": f"SELECT * FROM (VALUES {_LABEL_ROWS}) AS t(ord, path)",
     "raw": f"""
         SELECT obj AS obj_key, doc_id, {rules.RAW_RESPONSE} AS raw_response,
-               CASE WHEN doc_id % 14 = {rules.FAILED_CASE} THEN 'RuntimeError: no answer' END AS error FROM docs""",
+               CASE WHEN {rules.FAILED} THEN 'RuntimeError: no answer' END AS error FROM docs""",
     "clean1": f"""
         SELECT obj_key, error, raw_response,
                regexp_replace(regexp_replace(regexp_replace({_strip("coalesce(raw_response, '')")},
@@ -153,7 +153,7 @@ VIEWS = {
         WHERE place = 1""",
     "ok_responses": f"SELECT *, {_has_body('content')} AS has_body FROM contents WHERE code = 0",
     "reads": """
-        SELECT p.obj_key, p.node_token, p.title, p.obj_token, p.doc_id,
+        SELECT p.obj_key, p.node_token, p.title, p.obj_token, p.source,
                CASE WHEN r1.doc_id IS NOT NULL THEN r1.doc_id ELSE r2.doc_id END AS response_id,
                CASE WHEN r1.doc_id IS NOT NULL THEN r1.has_body ELSE r2.has_body END AS has_body,
                CASE WHEN r1.doc_id IS NOT NULL THEN r1.content ELSE r2.content END AS content
@@ -161,7 +161,7 @@ VIEWS = {
                            LEFT JOIN ok_responses r2 ON r2.doc_id = p.node_token""",
     "status": f"""
         SELECT *, CASE WHEN response_id IS NULL THEN 'missing' WHEN has_body THEN 'ok' ELSE 'empty' END AS read_status,
-               CASE WHEN has_body AND doc_id % 5 = 0 THEN '{rules.CACHED_LABEL}' END AS cached_path,
+               CASE WHEN has_body AND {rules.CACHED_BODY_IS_CURRENT} THEN '{rules.CACHED_LABEL}' END AS cached_path,
                CASE WHEN has_body THEN sha256(content) END AS content_hash FROM reads""",
     "outcomes": """
         SELECT s.*, coalesce(s.cached_path, CASE WHEN s.read_status = 'ok' THEN l.path END) AS path,
@@ -196,7 +196,7 @@ VIEWS = {
         FROM outcomes o JOIN folders f ON f.path = CASE WHEN len(string_split(o.path, ' -> ')) > 3
             THEN array_to_string(string_split(o.path, ' -> ')[1:3], ' -> ') ELSE o.path END
         WHERE o.status = 'success'""",
-    "titled": "SELECT obj AS obj_key, CASE WHEN source = 'src2' THEN '' ELSE title END AS title, text FROM docs",
+    "titled": f"SELECT obj AS obj_key, CASE WHEN {rules.UNTITLED} THEN '' ELSE title END AS title, text FROM docs",
     "prepared": f"""
         SELECT obj_key, CASE WHEN title <> '' THEN '{TITLE_LABEL}' || title || chr(10) || chr(10) ELSE '' END AS head, text
         FROM titled""",
@@ -221,12 +221,12 @@ QUERIES = {
         (ord // 50) * 50 + pos AS ord FROM listed WHERE NOT refused""",
     "ingest_listing_errors": """SELECT DISTINCT parent_node_token, ord // 50 AS page, 1 AS code, 'denied' AS msg
         FROM listed WHERE refused""",
-    "ingest_content": f"""SELECT doc_id, CASE WHEN doc_number % 53 <> 0 THEN code END AS code,
-            CASE WHEN doc_number % 53 = 0 THEN 'body is not JSON' WHEN code = 0 THEN 'success' ELSE 'not found' END AS msg,
-            CASE WHEN doc_number % 53 <> 0 AND {_has_body("content")} THEN length(content) END AS n_chars,
-            CASE WHEN doc_number % 53 <> 0 AND {_has_body("content")} THEN sha256(content) END AS content_hash
-        FROM (SELECT *, substr(doc_id, 2)::BIGINT AS doc_number FROM contents)""",
-    "doc_title": """SELECT n.node_token, n.obj_token AS doc_id, CASE WHEN d.doc_id % 47 <> 0 THEN d.title END AS title
+    "ingest_content": f"""SELECT doc_id, CASE WHEN NOT broken THEN code END AS code,
+            CASE WHEN broken THEN 'body is not JSON' WHEN code = 0 THEN 'success' ELSE 'not found' END AS msg,
+            CASE WHEN NOT broken AND {_has_body("content")} THEN length(content) END AS n_chars,
+            CASE WHEN NOT broken AND {_has_body("content")} THEN sha256(content) END AS content_hash
+        FROM contents""",
+    "doc_title": f"""SELECT n.node_token, n.obj_token AS doc_id, CASE WHEN NOT (d.{rules.ANSWERS_NOTHING}) THEN d.title END AS title
         FROM doc_nodes n LEFT JOIN docs d ON d.obj = n.obj_token""",
     "resolve_strict": """SELECT t.node_token, CASE WHEN i.obj_type = 'docx' THEN i.obj_token END AS document_id
         FROM tokens t LEFT JOIN infos i ON i.node_token = t.node_token""",

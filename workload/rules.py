@@ -1,17 +1,22 @@
 """SQL expressions that mean the same in Spark and DuckDB: the rules by which the views of `views.py` and
-of `oracle.py` are derived from the given tables."""
+of `oracle.py` are derived from the given tables. They go by the source of a document: what is true of one
+source, such as that it was processed before, is true of all its documents."""
 
-# Title of a document node, and what a listing, a read and the model bring for it.
+# Title of a document node, and its tokens.
 TITLE = "lang || '/' || source || '/' || doc_id"
 DOC_NODE = "'K' || doc_id"
 DOC_OBJECT = "'D' || doc_id"
 SECOND_NODE = "'X' || doc_id"
-HAS_SECOND_NODE = "doc_id % 50 = 0"
+HAS_SECOND_NODE = "source IN ('src7', 'src12')"
+UNTITLED = "source = 'src2'"
+
+# What reading brings.
 BLANK = "chr(32) || chr(9) || chr(10) || '　'"
-RESPONSE_CODE = """
-    CASE WHEN doc_id % 41 = 0 THEN 0 WHEN doc_id % 43 = 0 THEN 1 WHEN doc_id % 47 = 0 THEN 1 ELSE 0 END
-"""
-ANSWERS_BY_NODE = "doc_id % 41 <> 0 AND doc_id % 43 = 0"
+IS_BLANK = "source = 'src4'"
+ANSWERS_BY_NODE = "source = 'src5'"
+ANSWERS_NOTHING = "source = 'src6'"
+ANSWERS_NO_JSON = "source = 'src13'"
+RESPONSE_CODE = f"CASE WHEN {ANSWERS_BY_NODE} OR {ANSWERS_NOTHING} THEN 1 ELSE 0 END"
 
 LABELS = [
     "Science",
@@ -31,30 +36,31 @@ LABELS = [
     "Others",
 ]
 
-# Raw model answers, one per cleaning and matching rule; the last case is a failed call.
-FAILED_CASE = 13
+# Raw model answers, one per cleaning and matching rule. The model fails for one source.
+FAILED = "source = 'src17'"
 RAW_RESPONSE = """
-    CASE doc_id % 14
-        WHEN 0 THEN 'Science -> Physics -> Optics'
-        WHEN 1 THEN '  Commerce -> Finance ' || chr(10)
-        WHEN 2 THEN '```json' || chr(10) || 'Commerce -> Retail' || chr(10) || '```'
-        WHEN 3 THEN '```' || chr(10) || 'Science -> Biology' || chr(10) || '```'
-        WHEN 4 THEN '"Legal"'
-        WHEN 5 THEN '分类结果：Commerce -> Retail -> Online'
-        WHEN 6 THEN 'Services' || chr(10) || 'since the text is about services'
-        WHEN 7 THEN 'Review'
-        WHEN 8 THEN 'Science -> Physics -> Nope'
-        WHEN 9 THEN 'Nope -> Online'
-        WHEN 10 THEN 'science'
-        WHEN 11 THEN ''
-        WHEN 12 THEN 'Science -> Physics -> Optics -> Lens'
+    CASE source
+        WHEN 'src0' THEN 'Science -> Physics -> Optics'
+        WHEN 'src1' THEN '  Commerce -> Finance ' || chr(10)
+        WHEN 'src2' THEN '```json' || chr(10) || 'Commerce -> Retail' || chr(10) || '```'
+        WHEN 'src3' THEN '```' || chr(10) || 'Science -> Biology' || chr(10) || '```'
+        WHEN 'src9' THEN '"Legal"'
+        WHEN 'src10' THEN '分类结果：Commerce -> Retail -> Online'
+        WHEN 'src11' THEN 'Services' || chr(10) || 'since the text is about services'
+        WHEN 'src12' THEN 'Review'
+        WHEN 'src13' THEN 'Science -> Physics -> Nope'
+        WHEN 'src14' THEN 'Nope -> Online'
+        WHEN 'src15' THEN 'science'
+        WHEN 'src16' THEN ''
+        WHEN 'src17' THEN NULL
+        ELSE 'Science -> Physics -> Optics -> Lens'
     END
 """
 
 CACHED_LABEL = "Commerce -> Retail"
-IN_CACHE = "doc_id % 5 IN (0, 1)"
-CACHED_BODY_IS_CURRENT = "doc_id % 5 = 0"
-DONE_BEFORE = "doc_id % 10 = 3"
+IN_CACHE = "source IN ('src8', 'src14', 'src17', 'src18', 'src19')"
+CACHED_BODY_IS_CURRENT = "source IN ('src8', 'src14')"
+DONE_BEFORE = "source IN ('src3', 'src16')"
 DOCUMENT_ROOT = "DOCS"
 TARGET = "TARGET"
 REQUEST_TEMPLATE = "Labels:\n{outline}\n\nText:\n{text}\n"

@@ -271,7 +271,7 @@ def cache_upsert(spark: SparkSession, sf: str) -> DataFrame:
 def _titled(spark: SparkSession, sf: str) -> DataFrame:
     """Every document; those of one source have no title."""
     docs = views.table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
-    title = F.when(F.col("source") == "src2", F.lit("")).otherwise(F.expr(rules.TITLE))
+    title = F.when(F.expr(rules.UNTITLED), F.lit("")).otherwise(F.expr(rules.TITLE))
     return docs.select(F.expr(rules.DOC_OBJECT).alias("obj_key"), title.alias("title"), F.col("text").alias("content"))
 
 

@@ -61,8 +61,8 @@ def tree_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """Root over languages over sources over documents. Every 50th document has a second node, under the
-    first source of its language."""
+    """Root over languages over sources over documents. Documents of some sources have a second node, under
+    the first source of their language."""
     docs = table(spark, sf, "documents").select("doc_id", "lang", "source")
     sources = docs.groupBy("lang", "source").agg(F.min("doc_id").alias("first_id"))
     langs = sources.groupBy("lang").agg(F.min("first_id").alias("first_id"), F.min("source").alias("first_source"))
@@ -121,22 +121,27 @@ def flat_nodes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def contents(spark: SparkSession, sf: str) -> DataFrame:
-    """Content responses; some are blank, some only answer to the node, some to nothing."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+def _contents(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
     by_object = docs.select(
         F.expr(rules.DOC_OBJECT).alias("doc_id"),
         F.expr(rules.RESPONSE_CODE).alias("code"),
-        F.expr(f"CASE WHEN doc_id % 41 = 0 THEN {rules.BLANK} WHEN ({rules.RESPONSE_CODE}) = 0 THEN text END").alias("content"),
+        F.expr(f"CASE WHEN {rules.IS_BLANK} THEN {rules.BLANK} WHEN ({rules.RESPONSE_CODE}) = 0 THEN text END").alias("content"),
+        "source",
     )
     by_node = docs.filter(rules.ANSWERS_BY_NODE).select(
-        F.expr(rules.DOC_NODE).alias("doc_id"), F.lit(0).alias("code"), F.col("text").alias("content")
+        F.expr(rules.DOC_NODE).alias("doc_id"), F.lit(0).alias("code"), F.col("text").alias("content"), "source"
     )
     return by_object.unionByName(by_node)
 
 
+def contents(spark: SparkSession, sf: str) -> DataFrame:
+    """Content responses; some are blank, some only answer to the node, some to nothing."""
+    return _contents(spark, sf).drop("source")
+
+
 def content_bodies(spark: SparkSession, sf: str) -> DataFrame:
-    """`contents` as response bodies; one in 53 is not JSON."""
+    """`contents` as response bodies; those of one source are not JSON."""
     answer = F.to_json(
         F.struct(
             "code",
@@ -144,8 +149,8 @@ def content_bodies(spark: SparkSession, sf: str) -> DataFrame:
             F.when(F.col("code") == 0, F.struct("content")).alias("data"),
         )
     )
-    broken = F.expr("cast(substr(doc_id, 2, 18) AS bigint) % 53 = 0")
-    return contents(spark, sf).select("doc_id", F.when(broken, F.lit("<html>busy</html>")).otherwise(answer).alias("body"))
+    broken = F.expr(rules.ANSWERS_NO_JSON)
+    return _contents(spark, sf).select("doc_id", F.when(broken, F.lit("<html>busy</html>")).otherwise(answer).alias("body"))
 
 
 def title_bodies(spark: SparkSession, sf: str) -> DataFrame:
@@ -154,7 +159,7 @@ def title_bodies(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "lang", "source")
     return docs.select(
         F.expr(rules.DOC_OBJECT).alias("doc_id"),
-        F.when(F.expr("doc_id % 47 = 0"), F.lit('{"code":1,"msg":"denied"}')).otherwise(F.to_json(known)).alias("body"),
+        F.when(F.expr(rules.ANSWERS_NOTHING), F.lit('{"code":1,"msg":"denied"}')).otherwise(F.to_json(known)).alias("body"),
     )
 
 
@@ -223,11 +228,11 @@ def catalogue(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def raw_responses(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", "source")
     return docs.select(
         F.expr(rules.DOC_OBJECT).alias("obj_key"),
         F.expr(rules.RAW_RESPONSE).alias("raw_response"),
-        F.expr(f"CASE WHEN doc_id % 14 = {rules.FAILED_CASE} THEN 'RuntimeError: no answer' END").alias("error"),
+        F.expr(f"CASE WHEN {rules.FAILED} THEN 'RuntimeError: no answer' END").alias("error"),
     )
 
 
