@@ -78,6 +78,11 @@ def run(inputs: Inputs, settings: Settings) -> Result:
         inputs.nodes, settings.target_token, settings.target_name, settings.target_fallback
     )
 
+    labels = stage(inputs.taxonomy, f"{folder}/labels")
+    # Fingerprint and outline of the label tree: two small texts, the same for all documents.
+    version, outline = spark.range(1).select(taxonomy.taxonomy_version(labels), taxonomy.outline(labels)).first()
+    template = settings.template.replace("{outline}", outline)
+
     leaves, scan = _scan(spark, inputs.nodes, settings, scan_root, folder)
     found = leaves
     if settings.max_documents:
@@ -90,9 +95,9 @@ def run(inputs: Inputs, settings: Settings) -> Result:
 
     docs = reading.dedupe_objects(pending).select("obj_key", "node_token", "title", "obj_type", "obj_token")
     status = reading.read_status(docs, inputs.contents, inputs.infos)
-    reads = _with_cache(spark, inputs, settings, status, folder)
+    reads = _with_cache(spark, settings, status, version, folder)
 
-    labelled = _answers(spark, inputs, settings, reads, folder)
+    labelled = _answers(inputs, settings, reads, labels, version, template, folder)
     outcomes = _outcomes(reads, labelled, folder)
 
     routes = route.route_columns(outcomes.filter(F.col("status") == route.SUCCESS))
@@ -134,20 +139,16 @@ def _scan(spark, nodes, settings, scan_root, folder):
     return tree.leaf_documents(walked.rows), stage(tree.scan_stats(walked), f"{folder}/scan_stats")
 
 
-def _with_cache(spark, inputs, settings, status, folder):
+def _with_cache(spark, settings, status, version, folder):
     if not settings.use_cache:
         return stage(status.withColumn("cached_path", F.lit(None).cast("string")), f"{folder}/reads")
     log = tables.read_log(spark, f"{settings.state}/cache", schemas.CACHE)
     cache = tables.latest(log, "obj_token", F.col("updated_at"))
-    version = taxonomy.taxonomy_version(inputs.taxonomy)
     return stage(classify.cache_lookup(status, cache, version), f"{folder}/reads")
 
 
-def _answers(spark, inputs, settings, reads, folder):
+def _answers(inputs, settings, reads, labels, version, template, folder):
     misses = reads.filter((F.col("read_status") == reading.OK) & F.col("cached_path").isNull())
-    # The outline is one small text, the same in all requests: it goes into the template.
-    outline = spark.range(1).select(taxonomy.outline(inputs.taxonomy)).first()[0]
-    template = settings.template.replace("{outline}", outline)
     part = F.pmod(F.xxhash64("obj_key"), F.lit(settings.commits))
     parts = []
     for number in range(settings.commits):
@@ -156,12 +157,11 @@ def _answers(spark, inputs, settings, reads, folder):
         answers = stage(
             classify.call_model(requests, inputs.provider, template, settings.calls), f"{folder}/answers/part={number}"
         )
-        labelled = classify.label_answers(answers, taxonomy.label_array(inputs.taxonomy))
+        labelled = classify.label_answers(answers, taxonomy.label_array(labels))
         parts.append(labelled)
         if settings.use_cache:
             hashed = labelled.join(reads.select("obj_key", "content_hash"), "obj_key")
-            fresh = classify.cache_rows(hashed, taxonomy.taxonomy_version(inputs.taxonomy))
-            tables.add_to_log(fresh, f"{settings.state}/cache", settings.run_id)
+            tables.add_to_log(classify.cache_rows(hashed, version), f"{settings.state}/cache", settings.run_id)
     return reduce(DataFrame.unionByName, parts)
 
 
