@@ -55,7 +55,7 @@ def walk(nodes: DataFrame, root: str | None = None, space_id: str | None = None)
         ),
         f"{base}/links",
     )
-    start = spark.range(1).select(
+    start = spark.range(0, 1, 1, 1).select(
         F.lit(root or TOP).alias("parent_key"),
         F.lit(0).alias("depth"),
         F.array().cast("array<bigint>").alias("ord_path"),

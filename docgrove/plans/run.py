@@ -80,7 +80,7 @@ def run(inputs: Inputs, settings: Settings) -> Result:
 
     labels = stage(inputs.taxonomy, f"{folder}/labels")
     # Fingerprint and outline of the label tree: two small texts, the same for all documents.
-    version, outline = spark.range(1).select(taxonomy.taxonomy_version(labels), taxonomy.outline(labels)).first()
+    version, outline = spark.range(0, 1, 1, 1).select(taxonomy.taxonomy_version(labels), taxonomy.outline(labels)).first()
     template = settings.template.replace("{outline}", outline)
 
     leaves, scan = _scan(spark, inputs.nodes, settings, scan_root, folder)
@@ -129,7 +129,7 @@ def _scan(spark, nodes, settings, scan_root, folder):
     if settings.reuse_scan:
         stored = tables.load_leaf_set(spark, sets, settings.space_id, scan_root)
         if stored is not None:
-            return stored, spark.range(1).select(F.lit(0).cast("bigint").alias("non_leaf_docx_skipped"))
+            return stored, spark.range(0, 1, 1, 1).select(F.lit(0).cast("bigint").alias("non_leaf_docx_skipped"))
     walked = tree.walk(nodes, scan_root)
     walked = tree.Walk(stage(walked.rows, f"{folder}/walked"), walked.expanded)
     tables.save_leaf_set(tree.leaf_documents(walked.rows), sets, settings.space_id, scan_root)

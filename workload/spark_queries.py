@@ -78,8 +78,8 @@ def _walk(spark: SparkSession, sf: str) -> tree.Walk:
     return tree.walk(views.space_nodes(spark, sf), rules.DOCUMENT_ROOT)
 
 
-def _leaves(spark: SparkSession, sf: str) -> DataFrame:
-    return tree.leaf_documents(_walk(spark, sf).rows)
+def _leaves(spark: SparkSession, sf: str, walked: tree.Walk | None = None) -> DataFrame:
+    return tree.leaf_documents((walked or _walk(spark, sf)).rows)
 
 
 @query
@@ -178,16 +178,17 @@ def title_counts(spark: SparkSession, sf: str) -> DataFrame:
 # Filters, limits, joins
 
 
-def _read(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _read(spark: SparkSession, sf: str, walked: tree.Walk | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pending documents, each once, with the content and node-info tables."""
-    docs = reading.dedupe_objects(_pending(spark, sf)).select("obj_key", "node_token", "title", "obj_type", "obj_token")
+    last = reading.dedupe_objects(_pending(spark, sf, walked))
+    docs = last.select("obj_key", "node_token", "title", "obj_type", "obj_token")
     infos = views.space_nodes(spark, sf).select("node_token", "obj_type", "obj_token")
     return docs, views.contents(spark, sf), infos
 
 
-def _pending(spark: SparkSession, sf: str) -> DataFrame:
+def _pending(spark: SparkSession, sf: str, walked: tree.Walk | None = None) -> DataFrame:
     done = tables.processed_nodes(views.ledger(spark, sf), rules.DOCUMENT_ROOT)
-    return reading.pending(_leaves(spark, sf), done)
+    return reading.pending(_leaves(spark, sf, walked), done)
 
 
 @query
@@ -235,8 +236,8 @@ def content_hash(spark: SparkSession, sf: str) -> DataFrame:
     return views.contents(spark, sf).select("doc_id", text.content_hash(F.col("content")).alias("content_hash"))
 
 
-def _looked_up(spark: SparkSession, sf: str) -> DataFrame:
-    docs, bodies, infos = _read(spark, sf)
+def _looked_up(spark: SparkSession, sf: str, walked: tree.Walk | None = None) -> DataFrame:
+    docs, bodies, infos = _read(spark, sf, walked)
     status = reading.read_status(docs, bodies, infos)
     return classify.cache_lookup(status, views.cache(spark, sf, F.lit(VERSION)), VERSION)
 
@@ -378,9 +379,9 @@ def new_folders(spark: SparkSession, sf: str) -> DataFrame:
     return route.new_folder_nodes(_plan(spark, sf))
 
 
-def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
+def _outcomes(spark: SparkSession, sf: str, walked: tree.Walk | None = None) -> DataFrame:
     """Pending documents through cache and answers, up to their status."""
-    reads = _looked_up(spark, sf)
+    reads = _looked_up(spark, sf, walked)
     found = classify.label_answers(views.raw_responses(spark, sf), taxonomy.label_array(views.labels(spark)))
     answers = found.select("obj_key", F.col("path").alias("new_path"))
     sent = (F.col("read_status") == reading.OK) & F.col("cached_path").isNull()
@@ -456,7 +457,7 @@ def classify_stats(spark: SparkSession, sf: str) -> DataFrame:
 def run_stats(spark: SparkSession, sf: str) -> DataFrame:
     walked = _walk(spark, sf)
     return route.run_stats(
-        tree.scan_stats(walked), tree.leaf_documents(walked.rows), _pending(spark, sf), _outcomes(spark, sf)
+        tree.scan_stats(walked), _leaves(spark, sf, walked), _pending(spark, sf, walked), _outcomes(spark, sf, walked)
     )
 
 

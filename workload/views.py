@@ -67,7 +67,7 @@ def doc_nodes(spark: SparkSession, sf: str) -> DataFrame:
     sources = docs.groupBy("lang", "source").agg(F.min("doc_id").alias("first_id"))
     langs = sources.groupBy("lang").agg(F.min("first_id").alias("first_id"), F.min("source").alias("first_source"))
     second = docs.filter(rules.HAS_SECOND_NODE).join(langs.select("lang", "first_source"), "lang")
-    root = spark.range(1)
+    root = spark.range(0, 1, 1, 1)
     return _union(
         _nodes(
             root, node_token=f"'{rules.DOCUMENT_ROOT}'", parent_node_token="cast(null AS string)",
