@@ -3,17 +3,49 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from docgrove.llm import media_wav
+from docgrove.llm.byte_shards import byte_shards
+from docgrove.llm.harmonic_packing import pack
 from docgrove.llm.jaccard_join import jaccard_components
+from docgrove.llm.quality_ftrl import quality_scores
 from docgrove.llm.tables import read_table
+from docgrove.llm.toxicity_zstd import toxicity_scores
+
+
+def op2_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op4_media_wav(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_wav.digests(media_wav.media_columns(read_table(spark, sf_dir, "documents")))
+
+
+def op5_toxicity_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
+def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = byte_shards(read_table(spark, sf_dir, "documents"))
+    return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 QUERIES = {
+    "op2_quality_ftrl": op2_quality_ftrl,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_media_wav": op4_media_wav,
+    "op5_toxicity_zstd": op5_toxicity_zstd,
+    "op7_harmonic_packing": op7_harmonic_packing,
+    "op8_byte_shards": op8_byte_shards,
 }
 
 ORACLE: dict[str, str] = {}
@@ -25,7 +57,7 @@ WITH RECURSIVE words AS (
   FROM documents),
 sets AS (
   SELECT doc_id, list_distinct(CASE
-    WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
   FROM words),
 grams AS (SELECT doc_id, len(g) AS n, unnest(g) AS gram FROM sets),
