@@ -7,10 +7,14 @@ the part of the product that can reach the bound is formed:
    first n - ceil(n * percent / 100) + 1 shingles of each, in any order common to all. The order puts shingles of many
    documents last, so a passage that thousands share hardly ever stands in a prefix.
 2. The prefix entries are dealt out by column block, packed as arrays; each block drops the columns with one entry.
-3. A column's entries are first paired with one pivot each, a number of pairs linear in the entries. Pairs beyond the
-   bound on sizes are dropped, the overlap counts of the others are accumulated over the whole rows, and links merge
-   components. Then the entries of a column that still lie in different components are paired with each other.
-   A link inside one component changes nothing, so no link between components is lost.
+3. A column's entries are first dealt at random into small groups and paired inside them, a number of pairs linear in the
+   entries; of those, pairs with like sketches are compared, and the links found merge components. A few such rounds
+   join nearly all that belongs together, however large a group of near copies is. Then the entries of a column that
+   still lie in different components are paired with each other. A link inside one component changes nothing, so no
+   link between components is lost.
+4. The overlap counts of a pair are accumulated over the prefix columns. From the count, both sizes and the places of the
+   last common shingles follows the largest overlap the pair can have; pairs below the bound are dropped, among them
+   those that only share a passage. For the few that are left the count goes on over the whole rows.
 
 Copies (equal sets) are one row throughout. The choice of the shingles that count as frequent only orders columns:
 it decides how much work there is, never the result.
@@ -36,12 +40,11 @@ BLOCK_ENTRIES = 1 << 19
 #: Packed entries are flushed to their blocks when a task holds this many.
 FLUSH_ENTRIES = 1 << 20
 #: A shingle of so many documents is frequent; of those, the most frequent FREQUENT_MAX (1 MB) are moved last.
-FREQUENT, FREQUENT_MAX = 48, 1 << 17
+FREQUENT, FREQUENT_MAX = 24, 1 << 17
 #: Part of all hash values whose shingles are counted: prefixes lie below, but for texts made of frequent passages.
 COUNTED = 0.35
-#: Entries of a frequent shingle per block; more are dealt over several.
-HOT_ENTRIES = 1 << 15
-PIVOT_ROUNDS = 2
+#: Rounds of random groups, entries of a group, and differing bits of two sketches up to which sets are compared there.
+ROUNDS, GROUP, BITS_APART = 3, 8, 18
 
 _KEY = np.dtype([("a", ">u8"), ("b", ">u4")])
 
@@ -50,6 +53,17 @@ def _set_key(values: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(values.tobytes())[:12]
 
 
+_BINS = (np.arange(64, dtype=np.uint64) << np.uint64(58))
+
+
+def _sketch(values: np.ndarray) -> int:
+    """64 bits: of each 64th of the hash range, a bit of the least value there. Sets that share much agree in most."""
+    at = np.searchsorted(values, _BINS)
+    there = np.append(values, np.uint64(0))[at]
+    inside = (there >> np.uint64(58)) == np.arange(64, dtype=np.uint64)
+    return int(np.bitwise_or.reduce((there & np.uint64(1) & inside) << np.arange(64, dtype=np.uint64)))
+
+
 def _sets(batches: Iterator[pa.RecordBatch], width: int):
     """(id column's slice, shingles, bounds) of consecutive rows."""
     for batch in batches:
@@ -126,7 +140,8 @@ def _frequent(docs: DataFrame, id_column: str, text: str, width: int, blocks: in
 
 
 def _entries(docs: DataFrame, id_column: str, text: str, width: int, percent: int, frequent: np.ndarray, blocks: int) -> DataFrame:
-    """(gram, key, n): the prefix entries of columns that have two or more, once for each distinct set."""
+    """(gram, key, n, place, sketch): the prefix entries of columns that have two or more, once for each distinct set. place: which
+    of its set's shingles the entry is, in the common order, from 1; at most 65535."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(frequent)
 
@@ -134,7 +149,7 @@ def _entries(docs: DataFrame, id_column: str, text: str, width: int, percent: in
         often = sent.value
         by_value = np.argsort(often)
         ordered = often[by_value]
-        held: list[tuple[np.ndarray, bytes, int]] = []
+        held: list[tuple[np.ndarray, bytes, int, int]] = []
         seen: set[bytes] = set()
         size = 0
 
@@ -143,12 +158,14 @@ def _entries(docs: DataFrame, id_column: str, text: str, width: int, percent: in
             lengths = [len(h[0]) for h in held]
             keys = np.repeat(np.frombuffer(b"".join(h[1] for h in held), _KEY), lengths)
             sizes = np.repeat(np.array([h[2] for h in held], np.int32), lengths)
+            places = np.concatenate([np.minimum(np.arange(1, n + 1), 65535) for n in lengths]).astype(np.uint16)
+            sketches = np.repeat(np.array([h[3] for h in held], np.uint64), lengths)
             to = (grams % np.uint64(blocks)).astype(np.int64)
             if len(ordered):
                 hot = ordered[np.minimum(np.searchsorted(ordered, grams), len(ordered) - 1)] == grams
                 # A frequent shingle's entries go to blocks by document too; those beyond `blocks` are kept whole.
                 to[hot] = blocks + ((grams[hot] ^ keys["a"][hot].astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
-            return _packed([grams, keys, sizes], to, ["grams", "keys", "sizes"])
+            return _packed([grams, keys, sizes, places, sketches], to, ["grams", "keys", "sizes", "places", "sketches"])
 
         for _, values, bounds in _sets(batches, width):
             edges = bounds.tolist()
@@ -161,7 +178,7 @@ def _entries(docs: DataFrame, id_column: str, text: str, width: int, percent: in
                     continue
                 n = b - a
                 length = n - (percent * n + 99) // 100 + 1
-                grams, key = values[a:b], _set_key(values[a:b])
+                grams, key, sketch = values[a:b], _set_key(values[a:b]), _sketch(values[a:b])
                 if key in seen:
                     continue
                 seen.add(key)
@@ -169,7 +186,7 @@ def _entries(docs: DataFrame, id_column: str, text: str, width: int, percent: in
                     mask = is_often[a:b]
                     last = grams[mask][np.argsort(by_value[at[a:b][mask]])]
                     grams = np.concatenate([grams[~mask], last])
-                held.append((grams[:length], key, n))
+                held.append((grams[:length], key, n, sketch))
                 size += length
             if size >= FLUSH_ENTRIES:
                 yield flush()
@@ -180,19 +197,21 @@ def _entries(docs: DataFrame, id_column: str, text: str, width: int, percent: in
 
     def shared(table: pa.Table) -> pa.Table:
         grams, keys, sizes = _joined(table["grams"], np.uint64), _joined(table["keys"], _KEY), _joined(table["sizes"], np.int32)
+        places, sketches = _joined(table["places"], np.uint16), _joined(table["sketches"], np.int64)
         order = np.lexsort((keys["b"], keys["a"], grams))
-        grams, keys, sizes = grams[order], keys[order], sizes[order]
+        grams, keys, sizes, places, sketches = grams[order], keys[order], sizes[order], places[order], sketches[order]
         fresh = np.r_[True, (grams[1:] != grams[:-1]) | (keys[1:] != keys[:-1])]
-        grams, keys, sizes = grams[fresh], keys[fresh], sizes[fresh]
+        grams, keys, sizes, places, sketches = grams[fresh], keys[fresh], sizes[fresh], places[fresh], sketches[fresh]
         if table["block"][0].as_py() < blocks:
             same = grams[1:] == grams[:-1]
             many = np.r_[same, False] | np.r_[False, same]
-            grams, keys, sizes = grams[many], keys[many], sizes[many]
+            grams, keys, sizes, places, sketches = grams[many], keys[many], sizes[many], places[many], sketches[many]
         packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(12), len(keys), [None, pa.py_buffer(keys.tobytes())])
-        return pa.table({"gram": grams.view(np.int64), "key": packed.cast(pa.binary()), "n": sizes.astype(np.int64)})
+        columns = {"gram": grams.view(np.int64), "key": packed.cast(pa.binary()), "n": sizes.astype(np.int64)}
+        return pa.table(columns | {"place": places.astype(np.int64), "sketch": sketches})
 
-    dealt = narrow(docs, id_column, text).mapInArrow(prefixes, "block long, grams binary, keys binary, sizes binary")
-    return dealt.groupBy("block").applyInArrow(shared, "gram long, key binary, n long")
+    dealt = narrow(docs, id_column, text).mapInArrow(prefixes, "block long, grams binary, keys binary, sizes binary, places binary, sketches binary")
+    return dealt.groupBy("block").applyInArrow(shared, "gram long, key binary, n long, place long, sketch long")
 
 
 def _full_rows(docs: DataFrame, id_column: str, text: str, width: int, wanted: DataFrame, rows: DataFrame) -> DataFrame:
@@ -240,8 +259,20 @@ def _within(percent: int, a: str, b: str):
     return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
 
 
-def _ordered(u: str, v: str):
-    return [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
+def _possible(met: DataFrame, percent: int) -> DataFrame:
+    """(u, v): of the pairs that meet in a column, those whose overlap can reach the bound.
+
+    met: one row per column, with key, n, place and key2, n2, place2. Let w be the lesser of the two prefixes' last
+    shingles. All common shingles up to w are counted. Beyond w, the set whose prefix ends there has what its prefix
+    leaves over, and the other at most what follows its last common shingle."""
+    one, other = F.struct("key", "n", "place"), F.struct(F.col("key2").alias("key"), F.col("n2").alias("n"), F.col("place2").alias("place"))
+    met = met.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b"))
+    met = met.groupBy(F.col("a.key").alias("u"), F.col("b.key").alias("v"), F.col("a.n").alias("nu"), F.col("b.n").alias("nv"))
+    met = met.agg(F.count(F.lit(1)).alias("c"), F.max("a.place").alias("pu"), F.max("b.place").alias("pv"))
+    left = "(({percent} * {n} + 99) div 100 - 1)"
+    first, second = left.format(percent=percent, n="nu"), left.format(percent=percent, n="nv")
+    most = f"c + greatest(least({first}, nv - pv), least({second}, nu - pu))"
+    return met.filter(F.expr(f"{100 + percent} * ({most}) >= {percent} * (nu + nv)")).select("u", "v")
 
 
 def _labelled(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -249,7 +280,7 @@ def _labelled(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
         return entries.withColumn("label", F.col("key"))
     named = entries.join(roots.withColumnRenamed("node", "key"), "key", "left")
-    named = named.select("gram", "key", "n", F.coalesce("root", "key").alias("label"))
+    named = named.select("gram", "key", "n", "place", "sketch", F.coalesce("root", "key").alias("label"))
     mixed = named.groupBy("gram").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b")
     return named.join(mixed.select("gram"), "gram", "left_semi")
 
@@ -262,29 +293,29 @@ def set_components(docs: DataFrame, rows: DataFrame, id_column: str = "doc_id",
     blocks = max(shuffle_partitions(spark), int(total * max(COUNTED, 1 - percent / 100) / BLOCK_ENTRIES) + 1)
     frequent = _frequent(docs, id_column, text, width, blocks)
     entries = keep(_entries(docs, id_column, text, width, percent, frequent, blocks), "entries")
-    full = keep(_full_rows(docs, id_column, text, width, entries.select("key").distinct(), rows), "sets")
-
-    links, roots, tried = None, None, None
+    roots, tried = None, None
 
     def add(pairs):
-        nonlocal links, roots, tried
-        pairs = pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = keep(pairs, "pairs")
-        found = keep(_links(pairs, full, percent), "overlaps")
+        nonlocal roots, tried
+        pairs = keep(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+        wanted = keep(pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct(), "keys")
+        found = keep(_links(pairs, _full_rows(docs, id_column, text, width, wanted, rows), percent), "overlaps")
         tried = pairs if tried is None else tried.unionByName(pairs)
         if roots is not None:
             found = found.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
         roots = components(found)
 
-    for turn in range(PIVOT_ROUNDS):
+    def met(part, *on):
+        other = part.select(*on, *[F.col(c).alias(f"{c}2") for c in ("key", "n", "label", "place", "sketch")])
+        return part.join(other, list(on)).filter("label < label2").filter(_within(percent, "n", "n2"))
+
+    for turn in range(ROUNDS):
         part = keep(_labelled(entries, roots), "labelled")
-        pivot = part.groupBy("gram").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "n", "label")).alias("p"))
-        pairs = part.join(pivot, "gram").filter("label <> p.label").filter(_within(percent, "n", "p.n"))
-        add(pairs.select(*_ordered("key", "p.key")).distinct())
-    part = keep(_labelled(entries, roots), "labelled")
-    other = part.select("gram", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-    pairs = part.join(other, "gram").filter("label < label2").filter(_within(percent, "n", "n2"))
-    add(pairs.select(*_ordered("key", "key2")).distinct())
+        groups = part.groupBy("gram").agg(F.expr(f"(count(*) + {GROUP - 1}) div {GROUP}").alias("groups"))
+        dealt = part.join(groups, "gram").withColumn("group", F.pmod(F.xxhash64("key", "gram", F.lit(turn)), F.col("groups")))
+        like = met(dealt, "gram", "group").filter(F.bit_count(F.expr("sketch ^ sketch2")) <= BITS_APART)
+        add(like.select(F.least("key", "key2").alias("u"), F.greatest("key", "key2").alias("v")).distinct())
+    add(_possible(met(keep(_labelled(entries, roots), "labelled"), "gram"), percent))
     return roots
 
 
