@@ -38,7 +38,7 @@ WIDTH, PERCENT = 5, 80
 #: Entries of a column block: what one task multiplies at once, about 25 bytes each.
 BLOCK_ENTRIES = 1 << 19
 #: Packed entries are flushed to their blocks when a task holds this many.
-FLUSH_ENTRIES = 1 << 20
+FLUSH_ENTRIES = 1 << 18
 #: A shingle of so many documents is frequent; of those, the most frequent FREQUENT_MAX (1 MB) are moved last.
 FREQUENT, FREQUENT_MAX = 24, 1 << 17
 #: Part of all hash values whose shingles are counted: prefixes lie below, but for texts made of frequent passages.
