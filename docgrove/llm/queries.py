@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrove.llm import media_wav
+from docgrove.llm import ann_crosspolytope, html_wrappers, media_wav, pii_semicrf, source_mixing
 from docgrove.llm.byte_shards import byte_shards
 from docgrove.llm.harmonic_packing import pack
 from docgrove.llm.jaccard_join import jaccard_components
@@ -14,6 +14,10 @@ from docgrove.llm.tables import read_table
 from docgrove.llm.toxicity_zstd import toxicity_scores
 
 
+def op1_pii_semicrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_semicrf.find(read_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -30,6 +34,11 @@ def op5_toxicity_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op6_ann_crosspolytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return ann_crosspolytope.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
@@ -39,13 +48,29 @@ def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    levels = source_mixing.document_levels()
+    mixed = source_mixing.mix(docs, levels, source_mixing.document_weights())
+    named = [F.coalesce(c, F.lit("")).alias(n) for n, c in levels.items()]
+    return mixed.select("doc_id", *named, "epoch", source_mixing.token_count(F.col("text")).alias("tokens"))
+
+
+def op10_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.extract(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_pii_semicrf": op1_pii_semicrf,
     "op2_quality_ftrl": op2_quality_ftrl,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_media_wav": op4_media_wav,
     "op5_toxicity_zstd": op5_toxicity_zstd,
+    "op6_ann_crosspolytope": op6_ann_crosspolytope,
     "op7_harmonic_packing": op7_harmonic_packing,
     "op8_byte_shards": op8_byte_shards,
+    "op9_source_mixing": op9_source_mixing,
+    "op10_html_wrappers": op10_html_wrappers,
 }
 
 ORACLE: dict[str, str] = {}
