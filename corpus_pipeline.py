@@ -1,12 +1,72 @@
-"""A pipeline from raw documents to packed training sequences, each stage one operator of docgrove.llm."""
+"""A pipeline from raw documents to packed training sequences; each stage is one operator of docgrove.llm.
+
+Every stage but the last returns the columns of its input and works on whatever the stage before kept:
+
+- toxicity: rows whose text scores at least the threshold go. Null and blank texts have the score of no evidence.
+- near_duplicates: of each group of documents linked by a Jaccard similarity of 0.8 over shingles of five words one stays,
+  that with the least id; of rows that share this id, one. Rows without an id are compared with nothing and stay, and so
+  do all documents without words.
+- personal_data: every span is replaced by its kind in brackets. Null stays null; n_chars, if there, is the new length.
+- mixing: documents are taken as often as their source's budget has epochs for them.
+- packing: pieces of documents and the sequences they lie in; the last stage.
+
+An empty table passes through all stages as an empty one. Columns that `documents` does not have usually are carried along.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from docgrove.llm import harmonic_packing, jaccard_join, pii_semicrf, source_mixing, toxicity_zstd
+from docgrove.llm.tables import free_name, keep, read_table
+
+THRESHOLD = toxicity_zstd.THRESHOLD
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity_zstd.toxicity_model(docs, read_table(spark, sf_dir, "labels"))
+    return docs.filter(toxicity_zstd.toxicity_column(model)(F.col("text")) < THRESHOLD)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = keep(jaccard_join.jaccard_components(docs), "near_duplicates")
+    found = found.filter(F.col("doc_id").isNotNull())
+    dropped = found.filter(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
+    kept = docs.join(keep(dropped, "dropped"), "doc_id", "left_anti").select(docs.columns)
+    repeated = keep(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    number = free_name(docs, "number")
+    first = Window.partitionBy("doc_id").orderBy("text")
+    one = kept.join(repeated, "doc_id").select(docs.columns).withColumn(number, F.row_number().over(first)).filter(F.col(number) == 1)
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(one.drop(number))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    masked = docs.withColumn("text", pii_semicrf.mask_column(pii_semicrf.fit(docs))(F.col("text")))
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return masked.select(docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    mixed = source_mixing.mix(docs, source_mixing.document_levels(), source_mixing.document_weights())
+    return mixed.select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return harmonic_packing.pack(docs)
 
-from docgrove.llm.tables import keep, read_table
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("mixing", mixing),
+    ("packing", packing),
+]
+#: Trained models and near duplicates are no SQL; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
