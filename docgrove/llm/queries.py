@@ -85,7 +85,8 @@ sets AS (
     WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
   FROM words),
-grams AS (SELECT doc_id, len(g) AS n, unnest(g) AS gram FROM sets),
+every AS (SELECT doc_id, len(g) AS n, unnest(g) AS gram FROM sets),
+grams AS (SELECT * FROM every WHERE gram IN (SELECT gram FROM every GROUP BY gram HAVING count(*) > 1)),
 links AS (
   SELECT a.doc_id AS u, b.doc_id AS v FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
@@ -95,3 +96,59 @@ reach AS (
 SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, min(r.b) AS component_id
 FROM sets s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.g
 """
+
+_BUDGET_LEVEL = """
+{name}_n AS (
+  SELECT {parent}, {node}, max({w}) AS w, sum(cap)::HUGEINT AS c FROM tree GROUP BY ALL),
+{name}_f AS (
+  SELECT n.*, g.given::HUGEINT AS given,
+    coalesce(sum(c) OVER (PARTITION BY {np} ORDER BY c / w, n.{node} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum(w) OVER (PARTITION BY {np} ORDER BY c / w, n.{node} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM {name}_n n JOIN {above} g USING ({parent})),
+{name}_s AS (
+  SELECT *, c * rest <= (given - before) * w AS full_ FROM {name}_f),
+{name}_o AS (
+  SELECT *, given - sum(CASE WHEN full_ THEN c ELSE 0 END) OVER (PARTITION BY {parent}) AS left_,
+    sum(CASE WHEN full_ THEN 0 ELSE w END) OVER (PARTITION BY {parent}) AS open,
+    sum(CASE WHEN full_ THEN 0 ELSE w END) OVER (PARTITION BY {parent} ORDER BY {node}) AS sums
+  FROM {name}_s),
+{name} AS (
+  SELECT {parent}, {node}, CASE WHEN full_ THEN c WHEN open > 0 THEN left_ * sums // open - left_ * (sums - w) // open ELSE 0 END AS given
+  FROM {name}_o)"""
+
+_LEVELS = [
+    ("by_domain", "root", "domain", "w0", "top"),
+    ("by_lang", "root, domain", "lang", "w1", "by_domain"),
+    ("by_source", "root, domain, lang", "source", "w2", "by_lang"),
+]
+
+
+def _weights(column: str, values: dict[str, int]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + f" ELSE {source_mixing.OTHER_WEIGHT} END"
+
+
+ORACLE["op9_source_mixing"] = rf"""
+WITH docs AS (
+  SELECT doc_id, coalesce('domain' || (TRY_CAST(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS BIGINT) % 4), '') AS domain,
+    coalesce(lang, '') AS lang, coalesce(source, '') AS source, md5(coalesce(text, '')) AS text_md5,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens
+  FROM documents),
+leaves AS (SELECT domain, lang, source, sum(tokens) AS tokens FROM docs GROUP BY ALL),
+tree AS (
+  SELECT 0 AS root, *, {_weights("domain", source_mixing.DOMAIN_WEIGHTS)} AS w0, {_weights("lang", source_mixing.LANG_WEIGHTS)} AS w1, 1 AS w2,
+    {source_mixing.MAX_EPOCHS} * tokens AS cap
+  FROM leaves),
+top AS (SELECT 0 AS root, least(sum(tokens), sum(cap)) AS given FROM tree),
+{",".join(_BUDGET_LEVEL.format(name=a, parent=b, np=", ".join("n." + x.strip() for x in b.split(",")), node=c, w=d, above=e) for a, b, c, d, e in _LEVELS)},
+plan AS (
+  SELECT l.*, CASE WHEN tokens > 0 THEN given // tokens ELSE 0 END AS epochs, CASE WHEN tokens > 0 THEN given % tokens ELSE 0 END AS rest
+  FROM by_source b JOIN leaves l USING (domain, lang, source)),
+placed AS (
+  SELECT d.*, p.epochs, p.rest,
+    md5('{source_mixing.SEED}:' || p.epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_md5) AS place
+  FROM docs d JOIN plan p USING (domain, lang, source)),
+taken AS (
+  SELECT *, epochs + CASE WHEN sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY place) <= rest THEN 1 ELSE 0 END AS times
+  FROM placed)
+SELECT doc_id, domain, lang, source, tokens, CAST(unnest(range(CAST(times AS BIGINT))) AS INTEGER) AS epoch FROM taken
+"""
