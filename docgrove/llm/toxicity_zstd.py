@@ -1,6 +1,6 @@
 """Toxicity by compression distance: which of two zstandard dictionaries shortens a window more.
 
-A text is cut into windows of a few whole words. Each is compressed with a dictionary of toxic and one of ordinary text;
+A text is covered by overlapping windows of a few whole words. Each is compressed with a dictionary of toxic and one of ordinary text;
 both hold the same trained base of ordinary text, so they differ only in what is peculiar to either side. Bytes saved
 by the toxic one are evidence: for each saving, the log ratio of how often windows of toxic and of ordinary documents
 have it, learnt from labelled documents. A document's evidence is the sum over all its windows, and a logistic
@@ -28,7 +28,7 @@ from docgrove.llm.labels import LEARN_MAX, held_out, learning_sample
 from docgrove.llm.tables import narrow
 from docgrove.llm.words import slices, text_column, word_bounds
 
-WINDOW_WORDS, BASE_BYTES, PECULIAR_WORDS = 6, 8192, 96
+WINDOW_WORDS, STEP_WORDS, BASE_BYTES, PECULIAR_WORDS = 6, 3, 8192, 96
 #: A word is peculiar to toxic texts only if so many distinct ones have it, so many times as often as ordinary ones.
 LEAST_TEXTS, TIMES = 4, 3.0
 #: Savings in bytes are taken between these; log ratios of no saving at all are one value.
@@ -61,13 +61,15 @@ def _lengths(compressor: zstandard.ZstdCompressor, windows: zstandard.BufferWith
     return np.fromiter((len(x) for x in made), np.int64, len(made))
 
 
-def windows(data: np.ndarray, offsets: np.ndarray, size: int = WINDOW_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin and end of each window of `size` words with the space at either side, and the bounds of each text's."""
+def windows(data: np.ndarray, offsets: np.ndarray, size: int = WINDOW_WORDS, step: int = STEP_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of each window of `size` words, one every `step` words up to the last word, with the space at
+    either side; and the bounds of each text's."""
     starts, ends, firsts = word_bounds(data, offsets)
-    per = -(-np.diff(firsts) // size)
+    words = np.diff(firsts)
+    per = np.where(words > 0, 1 - (-np.maximum(words - size, 0) // step), 0)
     bounds = np.concatenate([[0], np.cumsum(per)])
     owner = np.repeat(np.arange(len(per)), per)
-    first = firsts[:-1][owner] + size * (np.arange(bounds[-1]) - bounds[:-1][owner])
+    first = firsts[:-1][owner] + step * (np.arange(bounds[-1]) - bounds[:-1][owner])
     last = np.minimum(first + size, firsts[1:][owner]) - 1
     return np.maximum(starts[first] - 1, offsets[owner]), np.minimum(ends[last] + 1, offsets[owner + 1]), bounds
 
@@ -185,7 +187,10 @@ def train(texts: pa.Array, labels: list[int]) -> Model:
     hard = _mistaken(texts, marks, base + own, base + other, set(words))
     other = (other + b" " + b" ".join(hard) + b" ")[-len(own) :]
     model = Model(base + own, base + other, _ratios(texts, marks, base + own, base + other), 1.0, 0.0)
-    slope, start = _curve(_evidence(texts, model), marks)
+    # A single ordinary window is an ordinary text as well: a text that says next to nothing is not taken for toxic.
+    short = pa.array([b" ".join(t.split()[:WINDOW_WORDS]) for t in ordinary_texts], pa.large_binary()).cast(pa.large_string())
+    evidence = np.concatenate([_evidence(texts, model), _evidence(short, model)])
+    slope, start = _curve(evidence, np.concatenate([marks, np.zeros(len(short), np.int64)]))
     return Model(model.toxic, model.ordinary, model.evidence, max(slope, 0.0), start)
 
 
