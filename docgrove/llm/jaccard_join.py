@@ -39,8 +39,10 @@ WIDTH, PERCENT = 5, 80
 BLOCK_ENTRIES = 1 << 19
 #: Packed entries are flushed to their blocks when a task holds this many.
 FLUSH_ENTRIES = 1 << 18
-#: A shingle of so many documents is frequent; of those, the most frequent FREQUENT_MAX (1 MB) are moved last.
-FREQUENT, FREQUENT_MAX = 24, 1 << 17
+#: A shingle of so many documents is frequent; of those, the most frequent FREQUENT_MAX (2 MB) are moved last.
+FREQUENT, FREQUENT_MAX = 8, 1 << 18
+#: Sets of a block of rows in the last product.
+BLOCK_SETS = 256
 #: Part of all hash values whose shingles are counted: prefixes lie below, but for texts made of frequent passages.
 COUNTED = 0.35
 #: Rounds of random groups, entries of a group, and differing bits of two sketches up to which sets are compared there.
@@ -235,24 +237,36 @@ def _full_rows(docs: DataFrame, id_column: str, text: str, width: int, wanted: D
     return found.mapInArrow(run, "key binary, grams binary").dropDuplicates(["key"]).join(wanted, "key", "left_semi")
 
 
-def _links(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (u, v), those whose overlap, accumulated over the whole rows, reaches the bound."""
-
-    def count(batches):
-        for batch in batches:
-            linked = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = np.concatenate([a, b])
-                both.sort()
-                overlap = int(np.count_nonzero(both[1:] == both[:-1]))
-                linked.append(100 * overlap >= percent * (len(both) - overlap))
-            yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
-
-    left = full.select(F.col("key").alias("u"), F.col("grams").alias("grams_u"))
-    right = full.select(F.col("key").alias("v"), F.col("grams").alias("grams_v"))
-    joined = pairs.join(left, "u").join(right, "v").select("u", "v", "grams_u", "grams_v")
-    return joined.mapInArrow(count, "u binary, v binary")
+def _links(pairs: DataFrame, full: DataFrame, sets: int, percent: int) -> DataFrame:
+    """Of the pairs (u, v), those whose overlap, accumulated over the whole rows, reaches the bound.
+
+    Rows are dealt into blocks. A task has the pairs between two blocks and each of their sets once, so that a set with very
+    many partners is not sent to each of them; sets: how many there are in `full`."""
+    blocks = sets // BLOCK_SETS + 1
+    ends = [F.pmod(F.xxhash64(c), F.lit(blocks)).alias(f"block_{c}") for c in ("u", "v")]
+    dealt = pairs.select(*ends, "u", "v")
+    needed = [dealt.select("block_u", "block_v", F.col(c).alias("key")) for c in ("u", "v")]
+    rows = needed[0].unionByName(needed[1]).distinct().join(full, "key")
+    rows = rows.select("block_u", "block_v", F.col("key").alias("u"), F.lit(None).cast("binary").alias("v"), "grams")
+    both = rows.unionByName(dealt.withColumn("grams", F.lit(None).cast("binary")))
+
+    def count(table: pa.Table) -> pa.Table:
+        sets, found = {}, []
+        for u, v, grams in zip(table["u"].to_pylist(), table["v"].to_pylist(), table["grams"]):
+            if v is None:
+                sets[u] = np.frombuffer(grams.as_buffer(), np.uint64)
+            else:
+                found.append((u, v))
+        linked = []
+        for u, v in found:
+            joined = np.concatenate([sets[u], sets[v]])
+            joined.sort()
+            overlap = int(np.count_nonzero(joined[1:] == joined[:-1]))
+            if 100 * overlap >= percent * (len(joined) - overlap):
+                linked.append((u, v))
+        return pa.table({"u": pa.array([u for u, _ in linked], pa.binary()), "v": pa.array([v for _, v in linked], pa.binary())})
+
+    return both.groupBy("block_u", "block_v").applyInArrow(count, "u binary, v binary")
 
 
 def _within(percent: int, a: str, b: str):
@@ -299,7 +313,8 @@ def set_components(docs: DataFrame, rows: DataFrame, id_column: str = "doc_id",
         nonlocal roots, tried
         pairs = keep(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         wanted = keep(pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct(), "keys")
-        found = keep(_links(pairs, _full_rows(docs, id_column, text, width, wanted, rows), percent), "overlaps")
+        full = _full_rows(docs, id_column, text, width, wanted, rows)
+        found = keep(_links(pairs, full, wanted.count(), percent), "overlaps")
         tried = pairs if tried is None else tried.unionByName(pairs)
         if roots is not None:
             found = found.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))

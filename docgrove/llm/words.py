@@ -1,7 +1,7 @@
 """Word and shingle hashes of whole Arrow columns of text, without a Python object per word.
 
 A word is a run of bytes other than space and 0x09-0x0D, with A-Z lower-cased. A column is taken in slices of
-a few megabytes, so memory does not grow with the batch; one text longer than that is a slice of its own.
+about half a megabyte, so memory does not grow with the batch; one text longer than that is a slice of its own.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0x100000001B3)
 
