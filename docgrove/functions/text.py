@@ -3,8 +3,10 @@ not only the blank that `trim` knows."""
 
 from __future__ import annotations
 
+import operator
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,10 +15,9 @@ _EDGES = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 _VISIBLE = r"(?U)[^\s\x1c-\x1f]"
 
 # Fixed values, equal to the reference's: label before the title in a request, label that may
-# precede an answer, and the number of characters it sends by default.
+# precede an answer.
 TITLE_LABEL = "标题: "
 ANSWER_LABEL = "分类结果："
-DEFAULT_REQUEST_CHARS = 3000
 
 
 def strip(text: Column) -> Column:
@@ -39,20 +40,34 @@ def content_hash(content: Column) -> Column:
     return F.sha2(F.coalesce(content, F.lit("")), 256)
 
 
-def prepare_text(content: Column, title: Column, max_chars: int | None = None) -> Column:
-    """Body under its title line, if it has a title. `max_chars` limits the body as the reference
-    does (`DEFAULT_REQUEST_CHARS`); by default the whole body is used."""
+def prepare_text(content: Column, title: Column) -> Column:
+    """The whole body under its title line, if it has a title."""
     body = F.coalesce(content, F.lit(""))
-    if max_chars is not None:
-        body = F.substring(body, 1, max_chars)
     headed = F.concat(F.lit(TITLE_LABEL), title, F.lit("\n\n"), body)
     return F.when(F.coalesce(title, F.lit("")) != "", headed).otherwise(body)
 
 
+def template_pieces(template: str, names: Iterable[str]) -> list[tuple[str, bool]]:
+    """The template cut at each `{name}`: pieces, and whether a piece is a name. What is put in is never cut again."""
+    cut = re.split("(" + "|".join(re.escape(f"{{{name}}}") for name in names) + ")", template)
+    return [(p[1:-1], True) if i % 2 else (p, False) for i, p in enumerate(cut) if p]
+
+
 def fill_template(template: str, **values: Column) -> Column:
     """The template with a column in place of each `{name}`; anything else in braces stays as it is."""
-    pieces = re.split("(" + "|".join(re.escape(f"{{{name}}}") for name in values) + ")", template)
-    return F.concat(*[values[p[1:-1]] if p[1:-1] in values and p[0] == "{" else F.lit(p) for p in pieces if p])
+    return F.concat(*[values[p] if named else F.lit(p) for p, named in template_pieces(template, values)])
+
+
+def request_filler(template: str, **fixed: str) -> Callable[[str], str]:
+    """A function that puts a document into the template's `{text}`; `fixed` has what stands for other names."""
+    pieces = template_pieces(template, ["text", *fixed])
+    return lambda text: "".join(p if not named else text if p == "text" else fixed[p] for p, named in pieces)
+
+
+def request_length(template: str, **values: Column) -> Column:
+    """Characters of the filled template, without making it."""
+    parts = [F.length(values[p]) if named else F.lit(len(p)) for p, named in template_pieces(template, values)]
+    return reduce(operator.add, [p.cast("bigint") for p in parts], F.lit(0).cast("bigint"))
 
 
 def clean_response(raw: Column) -> Column:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from docgrove import schemas
 from docgrove.functions.labels import match_label, path_parts, tag_json
-from docgrove.functions.text import clean_response, prepare_text
+from docgrove.functions.text import clean_response, prepare_text, request_filler
 
-# Called in each task to make the client; the client gets a document key and a request, and answers.
+# Called in each task to make the client; the client gets a document key and a request, and answers. A client with a
+# method `answer_all` gets lists of keys and requests instead and returns a list: an answer, or the exception, for each.
 Provider = Callable[[], Callable[[str, str], str | None]]
 
 
@@ -30,35 +31,52 @@ def cache_lookup(docs: DataFrame, cache: DataFrame, version: Column | str) -> Da
     return docs.join(known, "obj_key", "left").select(*docs.columns, hit)
 
 
-def model_requests(docs: DataFrame, max_chars: int | None = None) -> DataFrame:
+def model_requests(docs: DataFrame) -> DataFrame:
     """`(obj_key, text)` for documents with a body. Filter blank, cached and finished ones before this:
     no filter moves below the model call by itself."""
-    return docs.select("obj_key", prepare_text(F.col("content"), F.col("title"), max_chars).alias("text"))
+    return docs.select("obj_key", prepare_text(F.col("content"), F.col("title")).alias("text"))
 
 
-def call_model(requests: DataFrame, provider: Provider, template: str = "{text}", calls: int | None = None) -> DataFrame:
-    """One model call per request; layout `schemas.ANSWERS`. A failed call is an error in its row only.
+def _one_by_one(model: Callable[[str, str], str | None]) -> Callable[[list[str], list[str]], list]:
+    def answer_all(keys: list[str], requests: list[str]) -> list:
+        answers = []
+        for key, request in zip(keys, requests):
+            try:
+                answers.append(model(key, request))
+            except Exception as failure:
+                answers.append(failure)
+        return answers
 
-    `calls` is the number of partitions, and so of calls in flight. Rows are spread by their unique key,
-    which a retried task finds again as it was. The template travels with the task, not with each row.
+    return answer_all
+
+
+def call_model(requests: DataFrame, provider: Provider, template: str = "{text}", **fixed: str) -> DataFrame:
+    """One answer per request; layout `schemas.ANSWERS`. A failed call is an error in its row only.
+
+    Requests are dealt out by size, so a task is short however many there are, and a lost one repeats little. As many
+    calls are in flight as tasks run at once, or as the provider allows. The template and what is `fixed` in it
+    travel with the task, not with each row.
     """
-    if calls:
-        requests = requests.repartition(calls, "obj_key")
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = provider()
+        ask = getattr(model, "answer_all", None) or _one_by_one(model)
+        fill = request_filler(template, **fixed)
         for batch in batches:
-            raw, errors = [], []
-            for key, text in zip(batch["obj_key"], batch["text"]):
-                try:
-                    raw.append(model(key, template.replace("{text}", text)))
-                    errors.append(None)
-                except Exception as failure:
-                    raw.append(None)
-                    errors.append(f"{type(failure).__name__}: {failure}")
-            yield pd.DataFrame({"obj_key": batch["obj_key"], "raw_response": raw, "error": errors})
-
-    return requests.select("obj_key", "text").mapInPandas(answer, schemas.ANSWERS)
+            keys = batch["obj_key"].tolist()
+            try:
+                answers = list(ask(keys, [fill(text) for text in batch["text"]]))
+                if len(answers) != len(keys):
+                    raise ValueError(f"{len(answers)} answers to {len(keys)} requests")
+            except Exception as failure:
+                answers = [failure] * len(keys)
+            failed = [isinstance(a, Exception) for a in answers]
+            raw = [None if f else a for a, f in zip(answers, failed)]
+            errors = [f"{type(a).__name__}: {a}" if f else None for a, f in zip(answers, failed)]
+            yield pd.DataFrame({"obj_key": keys, "raw_response": raw, "error": errors}, dtype=object)
+
+    dealt = requests.select("obj_key", "text").hint("rebalance", "obj_key")
+    return dealt.mapInPandas(answer, schemas.ANSWERS)
 
 
 def label_answers(answers: DataFrame, paths: Column) -> DataFrame:

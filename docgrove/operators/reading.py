@@ -1,7 +1,8 @@
 """Pending documents and their bodies.
 
 Bodies are by far the widest column. Which response a document takes is decided on narrow columns;
-the bodies themselves are shuffled once, to the documents that need them.
+the bodies themselves are shuffled once, to the documents that need them. Of repeated responses the newest
+successful one counts, and it is the body of that one that is attached.
 """
 
 from __future__ import annotations
@@ -10,12 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docgrove.functions.text import content_hash, has_body
+from docgrove.sources.responses import attempt
 
 OK, EMPTY, MISSING = "ok", "empty", "missing"
 
 
 def _one_per_token(infos: DataFrame) -> DataFrame:
-    return infos.groupBy("node_token").agg(F.max(F.struct("obj_type", "obj_token")).alias("info"))
+    """The newest lookup of each node."""
+    newest = F.struct(attempt(infos).alias("attempt"), "obj_type", "obj_token")
+    return infos.groupBy("node_token").agg(F.max(newest).alias("info"))
 
 
 def _document_id(info):
@@ -57,19 +61,23 @@ def dedupe_objects(leaves: DataFrame) -> DataFrame:
 
 
 def _answered(contents: DataFrame) -> DataFrame:
-    """Successful responses without their bodies. The hash is null for a blank body; it is taken from the
-    table if it was stored at ingest, and bodies are then not read at all."""
+    """The newest successful response of each document, without its body, and how many there are. The hash is null for
+    a blank body; it is taken from the table if it was stored at ingest, and bodies are then not read at all."""
     body = F.col("content")
     stored = "content_hash" in contents.columns
     digest = F.col("content_hash") if stored else F.when(has_body(body), content_hash(body))
-    return contents.filter("code = 0").select("doc_id", digest.alias("hash"), F.lit(True).alias("answered"))
+    read = F.struct(attempt(contents).alias("attempt"), digest.alias("hash")).alias("read")
+    newest = contents.filter("code = 0").select("doc_id", read).groupBy("doc_id")
+    newest = newest.agg(F.max("read").alias("read"), F.count(F.lit(1)).alias("responses"))
+    return newest.select("doc_id", "read.attempt", "read.hash", "responses")
 
 
 def read_status(docs: DataFrame, contents: DataFrame, infos: DataFrame | None = None) -> DataFrame:
-    """`docs`, with `obj_key` and `node_token`, each pair once, plus `response_id`, `read_status`, `content_hash`.
+    """`docs`, with `obj_key` and `node_token`, each pair once, plus `response_id`, `response_attempt`, `responses` (how
+    many successful ones it has), `read_status`, `content_hash`.
 
-    A document asks by its object, then by its node, then by the object its node resolves to. The first
-    successful response counts, even if its body is blank. Bodies are at most hashed in the scan, not moved.
+    A document asks by its object, then by its node, then by the object its node resolves to. The first that
+    has a successful response counts, even if its body is blank. Bodies are at most hashed in the scan, not moved.
     """
     asks = [F.col("obj_key"), F.col("node_token")]
     asking = docs
@@ -80,7 +88,7 @@ def read_status(docs: DataFrame, contents: DataFrame, infos: DataFrame | None =
         *docs.columns, F.posexplode(F.array_compact(F.array_distinct(F.array(*asks)))).alias("rank", "doc_id")
     )
     answered = _answered(contents)
-    answer = F.when(F.col("answered"), F.struct("rank", "doc_id", "hash"))
+    answer = F.when(F.col("responses") > 0, F.struct("rank", "doc_id", "attempt", "hash", "responses"))
     return (
         asked.join(answered, "doc_id", "left")
         .groupBy(*docs.columns)
@@ -88,6 +96,8 @@ def read_status(docs: DataFrame, contents: DataFrame, infos: DataFrame | None =
         .select(
             *docs.columns,
             F.col("answer.doc_id").alias("response_id"),
+            F.col("answer.attempt").alias("response_attempt"),
+            F.coalesce("answer.responses", F.lit(0)).alias("responses"),
             F.when(F.col("answer").isNull(), F.lit(MISSING))
             .when(F.col("answer.hash").isNotNull(), F.lit(OK))
             .otherwise(F.lit(EMPTY))
@@ -97,16 +107,29 @@ def read_status(docs: DataFrame, contents: DataFrame, infos: DataFrame | None =
     )
 
 
-def attach_contents(docs: DataFrame, contents: DataFrame, how: str = "left") -> DataFrame:
-    """Bodies of documents with a `response_id`; null for a blank body or none. With `how="inner"`, only
-    documents with a response stay, and a small `docs` can be broadcast instead of moving the bodies."""
+def attach_contents(docs: DataFrame, contents: DataFrame, how: str = "left", repeated: bool = True) -> DataFrame:
+    """Bodies of documents with a `response_id` and `response_attempt`; null for a blank body or none. With
+    `how="inner"`, only documents with a response stay, and a small `docs` can be broadcast instead of moving the bodies.
+
+    `repeated` says that responses may agree in id and attempt: one is taken, that whose hash was taken. Where every
+    document has one response (`repeats` is false), False saves the aggregate."""
     body = F.col("content")
     bodies = contents.filter("code = 0").select(
-        F.col("doc_id").alias("answered_by"), F.when(has_body(body), body).alias("body")
+        F.col("doc_id").alias("answered_by"), attempt(contents).alias("answered_at"), F.when(has_body(body), body).alias("body")
     )
+    if repeated:
+        hashed = F.struct(F.when(F.col("body").isNotNull(), content_hash(F.col("body"))).alias("hash"), "body")
+        bodies = bodies.groupBy("answered_by", "answered_at").agg(F.max(hashed).alias("one"))
+        bodies = bodies.select("answered_by", "answered_at", F.col("one.body").alias("body"))
     # No response answers to the node of a document without one: as a key it keeps such rows apart.
     key = F.coalesce("response_id", "node_token") if how == "left" else F.col("response_id")
-    return docs.join(bodies, key == F.col("answered_by"), how).select(*docs.columns, F.col("body").alias("content"))
+    same = (key == F.col("answered_by")) & (F.col("response_attempt") == F.col("answered_at"))
+    return docs.join(bodies, same, how).select(*docs.columns, F.col("body").alias("content"))
+
+
+def repeats(status: DataFrame) -> bool:
+    """Whether any document has several successful responses; status is staged and narrow."""
+    return not status.filter(F.col("responses") > 1).isEmpty()
 
 
 def read_contents(docs: DataFrame, contents: DataFrame, infos: DataFrame | None = None) -> DataFrame:

@@ -31,8 +31,7 @@ class Inputs:
 @dataclass(frozen=True)
 class Settings:
     """Where state and results go, and what the run covers. `state` keeps cache, ledger, leaf sets and node
-    snapshot. `output` gets a folder per `run_id`; a run that is repeated replaces it. `calls` is the number of
-    model calls in flight, `commits` the number of parts in which answers are made and cached: a run that breaks
+    snapshot. `output` gets a folder per `run_id`; a run that is repeated replaces it. `commits` is the number of parts in which answers are made and cached: a run that breaks
     off repeats the calls of one part at most."""
 
     state: str
@@ -46,8 +45,6 @@ class Settings:
     target_fallback: str | None = None
     template: str = "{outline}\n\n{text}"
     max_documents: int = 0
-    max_chars: int | None = None
-    calls: int | None = None
     commits: int = 1
     use_cache: bool = True
     use_ledger: bool = True
@@ -81,7 +78,6 @@ def run(inputs: Inputs, settings: Settings) -> Result:
     labels = stage(inputs.taxonomy, f"{folder}/labels")
     # Fingerprint and outline of the label tree: two small texts, the same for all documents.
     version, outline = spark.range(0, 1, 1, 1).select(taxonomy.taxonomy_version(labels), taxonomy.outline(labels)).first()
-    template = settings.template.replace("{outline}", outline)
 
     leaves, scan = _scan(spark, inputs.nodes, settings, scan_root, folder)
     found = leaves
@@ -97,14 +93,15 @@ def run(inputs: Inputs, settings: Settings) -> Result:
     status = reading.read_status(docs, inputs.contents, inputs.infos)
     reads = _with_cache(spark, settings, status, version, folder)
 
-    labelled = _answers(inputs, settings, reads, labels, version, template, folder)
+    repeated = reading.repeats(reads)
+    labelled = _answers(inputs, settings, reads, labels, version, outline, repeated, folder)
     outcomes = _outcomes(reads, labelled, folder)
 
     routes = route.route_columns(outcomes.filter(F.col("status") == route.SUCCESS))
     folders = route.folder_plan(routes, inputs.nodes, target_root, f"{folder}/folders")
     line = route.tag_line(F.col("parts")) if settings.add_tags else F.lit(None).cast("string")
     routed = route.route_documents(routes.withColumn("tag_line", line), folders)
-    bodies = reading.attach_contents(routed, inputs.contents, how="inner")
+    bodies = reading.attach_contents(routed, inputs.contents, how="inner", repeated=repeated)
     tables.write_routed(
         bodies.select("node_token", "obj_token", "title", "target_parent", "tag_line", "content", "tag1", "tag2", "tag3"),
         f"{folder}/routed",
@@ -147,17 +144,18 @@ def _with_cache(spark, settings, status, version, folder):
     return stage(classify.cache_lookup(status, cache, version), f"{folder}/reads")
 
 
-def _answers(inputs, settings, reads, labels, version, template, folder):
+def _answers(inputs, settings, reads, labels, version, outline, repeated, folder):
     misses = reads.filter((F.col("read_status") == reading.OK) & F.col("cached_path").isNull())
     part = F.pmod(F.xxhash64("obj_key"), F.lit(settings.commits))
     parts = []
     for number in range(settings.commits):
-        bodies = reading.attach_contents(misses.filter(part == number), inputs.contents, how="inner")
-        requests = classify.model_requests(bodies, settings.max_chars)
+        bodies = reading.attach_contents(misses.filter(part == number), inputs.contents, how="inner", repeated=repeated)
+        requests = classify.model_requests(bodies)
         answers = stage(
-            classify.call_model(requests, inputs.provider, template, settings.calls), f"{folder}/answers/part={number}"
+            classify.call_model(requests, inputs.provider, settings.template, outline=outline), f"{folder}/answers/part={number}"
         )
         labelled = classify.label_answers(answers, taxonomy.label_array(labels))
+        labelled = stage(labelled, f"{folder}/labelled/part={number}")
         parts.append(labelled)
         if settings.use_cache:
             hashed = labelled.join(reads.select("obj_key", "content_hash"), "obj_key")

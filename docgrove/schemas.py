@@ -12,18 +12,19 @@ CONTENT_BODY = "code INT, msg STRING, data STRUCT<content: STRING>"
 DOCUMENT_BODY = "code INT, msg STRING, data STRUCT<document: STRUCT<title: STRING>>"
 NODE_BODY = "code INT, msg STRING, data STRUCT<node: STRUCT<obj_token: STRING, obj_type: STRING>>"
 
-# Exported responses, one JSON body per call, with the arguments of the call beside it.
+# Exported responses, one JSON body per call, with the arguments of the call beside it. `attempt` tells repeated calls
+# apart, the newest has the greatest; an export without it has one response per call.
 LISTING_RESPONSES = "parent_node_token STRING, page BIGINT, body STRING"
-DOCUMENT_RESPONSES = "doc_id STRING, body STRING"
-NODE_RESPONSES = "node_token STRING, body STRING"
+DOCUMENT_RESPONSES = "doc_id STRING, attempt BIGINT, body STRING"
+NODE_RESPONSES = "node_token STRING, attempt BIGINT, body STRING"
 
-# `ord` is the position of a node among its siblings, in listing order.
+# `ord` orders a node among its siblings as they were listed.
 NODES = """
     node_token STRING, parent_node_token STRING, title STRING, obj_type STRING, obj_token STRING,
     has_child BOOLEAN, node_type STRING, url STRING, ord BIGINT
 """
 # `content_hash` is optional; it is null for a blank body.
-CONTENTS = "doc_id STRING, code INT, msg STRING, content STRING, content_hash STRING"
+CONTENTS = "doc_id STRING, attempt BIGINT, code INT, msg STRING, content STRING, content_hash STRING"
 
 # `ord_path` sorts labels in depth-first pre-order; `listed` marks items of a JSON list.
 TAXONOMY = """

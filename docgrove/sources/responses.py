@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from docgrove import schemas
 from docgrove.functions.text import content_hash, has_body
 
-# Fixed value, equal to the reference's: children per listing call.
-PAGE_SIZE = 50
+#: Bits of `ord` for the position in a page; the page stands above them, so no page is too long.
+POSITION_BITS = 32
 UNREADABLE = "body is not JSON"
 
 
@@ -26,11 +26,16 @@ def _parsed(responses: DataFrame, body_schema: str) -> DataFrame:
     return responses.withColumn("response", F.from_json("body", body_schema))
 
 
+def attempt(responses: DataFrame) -> Column:
+    """Which of repeated calls a response belongs to; 0 in a table that does not say, or says null."""
+    return F.coalesce("attempt", F.lit(0)).cast("bigint") if "attempt" in responses.columns else F.lit(0).cast("bigint")
+
+
 def _failure(response: Column) -> Column:
     return F.when(response["code"].isNull(), F.lit(UNREADABLE)).otherwise(response["msg"])
 
 
-def listing_nodes(responses: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
+def listing_nodes(responses: DataFrame) -> DataFrame:
     """Node table (`schemas.NODES`) of all successful listing calls."""
     # The condition on the code stands in the generator: as a filter it would parse every body twice.
     items = F.when(F.col("response.code") == 0, F.col("response.data.items"))
@@ -46,7 +51,7 @@ def listing_nodes(responses: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame
         F.coalesce("item.has_child", F.lit(False)).alias("has_child"),
         "item.node_type",
         "item.url",
-        (F.col("page") * page_size + F.col("pos")).alias("ord"),
+        (F.shiftleft(F.col("page").cast("bigint"), POSITION_BITS) + F.col("pos")).alias("ord"),
     )
 
 
@@ -64,6 +69,7 @@ def contents(responses: DataFrame) -> DataFrame:
     body = F.col("response.data.content")
     read = _parsed(responses, schemas.CONTENT_BODY).select(
         "doc_id",
+        attempt(responses).alias("attempt"),
         "response.code",
         _failure(F.col("response")).alias("msg"),
         F.when((F.col("response.code") == 0) & has_body(body), body).alias("content"),
@@ -72,14 +78,19 @@ def contents(responses: DataFrame) -> DataFrame:
 
 
 def titles(responses: DataFrame) -> DataFrame:
-    """`(doc_id, title)`; null where the call failed."""
-    return _parsed(responses, schemas.DOCUMENT_BODY).select(
-        "doc_id", F.when(F.col("response.code") == 0, F.col("response.data.document.title")).alias("title")
-    )
+    """`(doc_id, title)`, one row per document: of its newest successful call, null where none succeeded."""
+    known = F.coalesce(F.col("response.code") == 0, F.lit(False)).alias("known")
+    title = F.col("response.data.document.title").alias("title")
+    read = _parsed(responses, schemas.DOCUMENT_BODY)
+    read = read.select("doc_id", F.struct(known, attempt(responses).alias("attempt"), title).alias("read"))
+    newest = read.groupBy("doc_id").agg(F.max("read").alias("read"))
+    return newest.select("doc_id", F.when(F.col("read.known"), F.col("read.title")).alias("title"))
 
 
 def node_infos(responses: DataFrame) -> DataFrame:
-    """`(node_token, obj_type, obj_token)` of the nodes that could be looked up."""
+    """`(node_token, attempt, obj_type, obj_token)` of the nodes that could be looked up."""
     found = F.when(F.col("response.code") == 0, F.array("response.data.node"))
-    nodes = _parsed(responses, schemas.NODE_BODY).select("node_token", F.explode(found).alias("node"))
-    return nodes.select("node_token", "node.obj_type", "node.obj_token")
+    nodes = _parsed(responses, schemas.NODE_BODY).select(
+        "node_token", attempt(responses).alias("attempt"), F.explode(found).alias("node")
+    )
+    return nodes.select("node_token", "attempt", "node.obj_type", "node.obj_token")

@@ -2,8 +2,9 @@
 
 Parquet has no merge. The cache and the ledger are logs: a run adds a part with its new rows only, and
 readers take the newest row of a key. The node snapshot, where most rows are renewed by each scan, is
-upserted into the next version of the table, in a folder of its own. Either way nothing is
-overwritten while it is read, and an interrupted write leaves the earlier state in place.
+upserted into the next version of the table, in a folder of its own; so are leaf sets. A version counts once a row
+in the table `finished` beside it names it, which is written after all of it. Either way nothing is overwritten
+while it is read, and an interrupted write leaves the earlier state in place.
 """
 
 from __future__ import annotations
@@ -57,11 +58,9 @@ def latest(rows: DataFrame, key: str, newest: Column) -> DataFrame:
 
 
 def current_version(spark: SparkSession, path: str) -> int:
-    """Newest finished version, 0 if there is none. Reads folder names and file footers only."""
-    versions = _read(spark, path)
-    if versions is None:
-        return 0
-    return versions.agg(F.max(F.col("version").cast("int"))).first()[0] or 0
+    """Newest finished version, 0 if there is none. Reads the one-row marks only, no version."""
+    marks = _read(spark, f"{path}/finished", "version INT")
+    return 0 if marks is None else marks.agg(F.max("version")).first()[0] or 0
 
 
 def read_current(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -72,8 +71,11 @@ def read_current(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_next(df: DataFrame, path: str) -> int:
-    version = current_version(df.sparkSession, path) + 1
+    """Write the next version and then its mark; what an interrupted write left under its number is replaced."""
+    spark = df.sparkSession
+    version = current_version(spark, path) + 1
     df.write.mode("overwrite").parquet(f"{path}/version={version:06d}")
+    spark.range(0, 1, 1, 1).select(F.lit(version).alias("version")).write.mode("append").parquet(f"{path}/finished")
     return version
 
 
@@ -107,13 +109,15 @@ def save_contents(contents: DataFrame, table: str, buckets: int) -> None:
 
 
 def save_leaf_set(leaves: DataFrame, path: str, space_id: str, scan_root: str) -> None:
-    """Keep the result of a finished walk; a repeated walk of the same root replaces it alone."""
-    leaves.write.mode("overwrite").parquet(_part(path, space_id=space_id, scan_root=scan_root))
+    """Keep the result of a finished walk as the next version for its root; other roots are not touched."""
+    write_next(leaves, _part(path, space_id=space_id, scan_root=scan_root))
 
 
 def load_leaf_set(spark: SparkSession, path: str, space_id: str, scan_root: str) -> DataFrame | None:
-    """The stored result of that walk, or None. Reads the one partition only."""
-    return _read(spark, _part(path, space_id=space_id, scan_root=scan_root))
+    """The newest finished result of that walk, or None. Reads the one folder only."""
+    folder = _part(path, space_id=space_id, scan_root=scan_root)
+    version = current_version(spark, folder)
+    return spark.read.parquet(f"{folder}/version={version:06d}") if version else None
 
 
 def ledger_rows(done: DataFrame, scan_root: str, target_root: str | None, at: Column | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 """Label trees: load, list, search and describe.
 
-A label tree is small by its nature, since all of it is put into every model request.
-`label_array` checks that before it makes one value of it.
+A label tree is small by its nature, since all of it is put into every model request. `label_array` and `outline`
+make one value of it.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from docgrove import scratch
 from docgrove.functions.labels import SEPARATOR
 
-MAX_TREE_BYTES = 8 * 1024 * 1024
-
 # Fixed value, equal to the reference's: between list items in the outline.
 ITEM_SEPARATOR = "、"
 
@@ -113,13 +111,9 @@ def _by_levels(top: DataFrame, below: Callable[[DataFrame], DataFrame], base: st
 
 
 def label_array(taxonomy: DataFrame) -> Column:
-    """All paths in pre-order as one array value, a scalar subquery; fails on a tree that is no label tree."""
+    """All paths in pre-order as one array value, a scalar subquery."""
     in_order = F.transform(F.sort_array(F.collect_list(F.struct("ord_path", "path"))), lambda row: row["path"])
-    return taxonomy.agg(
-        F.when(F.coalesce(F.sum(F.octet_length("path")), F.lit(0)) <= MAX_TREE_BYTES, in_order)
-        .otherwise(F.raise_error(F.lit(f"label tree is larger than {MAX_TREE_BYTES} bytes")))
-        .alias("paths")
-    ).scalar()
+    return taxonomy.agg(in_order.alias("paths")).scalar()
 
 
 def taxonomy_version(taxonomy: DataFrame) -> Column:
@@ -184,15 +178,5 @@ def outline_lines(taxonomy: DataFrame) -> DataFrame:
 def outline(taxonomy: DataFrame) -> Column:
     """The outline as one text, a scalar subquery, for the request template."""
     lines = F.sort_array(F.collect_list(F.struct("ord_path", "line")))
-    return (
-        outline_lines(taxonomy)
-        .agg(
-            F.when(
-                F.coalesce(F.sum(F.octet_length("line")), F.lit(0)) <= MAX_TREE_BYTES,
-                F.array_join(F.transform(lines, lambda row: row["line"]), "\n"),
-            )
-            .otherwise(F.raise_error(F.lit(f"label tree is larger than {MAX_TREE_BYTES} bytes")))
-            .alias("outline")
-        )
-        .scalar()
-    )
+    text = F.array_join(F.transform(lines, lambda row: row["line"]), "\n")
+    return outline_lines(taxonomy).agg(text.alias("outline")).scalar()

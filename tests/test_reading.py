@@ -56,7 +56,7 @@ def test_without_lookup_table(spark):
 
 
 def test_hash_stored_at_ingest_gives_the_same(spark):
-    bodies = [(d, json.dumps({"code": c, "msg": "", "data": {"content": t}})) for d, c, t in CONTENTS]
+    bodies = [(d, None, json.dumps({"code": c, "msg": "", "data": {"content": t}})) for d, c, t in CONTENTS]
     ingested = responses.contents(spark.createDataFrame(bodies, schemas.DOCUMENT_RESPONSES))
     ours = reading.read_status(_docs(spark), ingested, _infos(spark)).collect()
     raw = reading.read_status(_docs(spark), _contents(spark), _infos(spark)).collect()
@@ -93,16 +93,17 @@ def test_resolution(spark):
 
 def test_node_infos_from_bodies(spark):
     bodies = [
-        ("a", '{"code":0,"data":{"node":{"obj_token":"D1","obj_type":"docx"}}}'),
-        ("b", '{"code":1,"msg":"no"}'),
-        ("c", "busy"),
+        ("a", None, '{"code":0,"data":{"node":{"obj_token":"D1","obj_type":"docx"}}}'),
+        ("b", None, '{"code":1,"msg":"no"}'),
+        ("c", None, "busy"),
     ]
     infos = responses.node_infos(spark.createDataFrame(bodies, schemas.NODE_RESPONSES))
     assert [tuple(r) for r in infos.select("node_token", "obj_token").collect()] == [("a", "D1")]
 
 
 def test_titles_from_bodies(spark):
-    bodies = [("a", '{"code":0,"data":{"document":{"title":"T"}}}'), ("b", '{"code":1}'), ("c", "busy")]
+    bodies = [("a", 2, '{"code":0,"data":{"document":{"title":"T"}}}'), ("b", None, '{"code":1}'), ("c", None, "busy")]
+    bodies += [("a", 1, '{"code":0,"data":{"document":{"title":"Z"}}}'), ("a", 3, '{"code":1}'), bodies[0]]
     titles = responses.titles(spark.createDataFrame(bodies, schemas.DOCUMENT_RESPONSES))
     assert {tuple(r) for r in titles.collect()} == {("a", "T"), ("b", None), ("c", None)}
 

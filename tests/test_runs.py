@@ -72,7 +72,7 @@ def start(spark, tmp_path):
     def go(run_id, contents=None, **settings):
         labels = taxonomy.from_paths(spark.createDataFrame(list(enumerate(PATHS)), "ord int, path string"))
         inputs = Inputs(_nodes(spark), contents or _contents(spark), labels, _provider(tmp_path))
-        base = Settings(f"{tmp_path}/state", f"{tmp_path}/output", run_id, scan_name="Root", target_name="Target", calls=2)
+        base = Settings(f"{tmp_path}/state", f"{tmp_path}/output", run_id, scan_name="Root", target_name="Target")
         return run(inputs, dataclasses.replace(base, **settings))
 
     return go
@@ -209,6 +209,10 @@ def test_versions(spark, tmp_path):
         tables.write_next(spark.createDataFrame([(value,)], "k string"), path)
     assert tables.current_version(spark, path) == 2
     assert tables.read_current(spark, path, "k string").first()[0] == "b"
+    spark.createDataFrame([("half",)], "k string").write.parquet(f"{path}/version=000003")  # interrupted before its mark
+    assert tables.read_current(spark, path, "k string").first()[0] == "b"
+    assert tables.write_next(spark.createDataFrame([("c",)], "k string"), path) == 3
+    assert tables.read_current(spark, path, "k string").collect() == [("c",)]
 
 
 def test_leaf_sets_by_space_and_root(spark, tmp_path):
@@ -220,8 +224,6 @@ def test_leaf_sets_by_space_and_root(spark, tmp_path):
     assert tables.load_leaf_set(spark, path, "01", "a/b=c 标%").count() == 5
     assert tables.load_leaf_set(spark, path, "1", "IN").count() == 1
     assert tables.load_leaf_set(spark, path, "1", "ROOT") is None
-    stored = spark.read.schema("node_token string, space_id string, scan_root string").parquet(path)
-    assert {r["scan_root"] for r in stored.collect()} == {"a/b=c 标%", "IN"}
     tables.save_leaf_set(leaves.filter("false"), path, "1", "IN")
     assert tables.load_leaf_set(spark, path, "1", "IN").count() == 0
 
@@ -245,3 +247,42 @@ def test_state_of_the_reference_is_taken_over(spark, tmp_path):
     rows = [("D1", "h", '{"tag1": ["A"], "tag2": ["B C"]}', "2024-02-01T10:00:00.123456"), ("D2", "h", '{"tag1": ["Others"]}', "2024-02-01T10:00:00")]
     cache = tables.cache_from_tags(spark.createDataFrame(rows, schemas.TAG_CACHE), "v")
     assert {r["obj_token"]: r["path"] for r in cache.collect()} == {"D1": "A -> B C", "D2": "Others"}
+
+
+def test_one_body_for_a_document_that_answered_several_times(spark, start, tmp_path):
+    rows = [("D1", 0, 0, "old one"), ("D1", 2, 0, "one"), ("D1", 3, 1, None), ("D2", 1, 0, "two"), ("D2", 1, 0, "two")]
+    contents = spark.createDataFrame(rows, "doc_id string, attempt long, code int, content string")
+    result = start("1", contents)
+    routed = {(r["node_token"], r["content"]) for r in result.routed.collect()}
+    assert routed == {("K1", "one"), ("K2", "two")}
+    assert _calls(tmp_path) == ["D1", "D2"]
+    assert result.stats.first()["success"] == result.routed.count() == 2
+
+
+def test_labels_may_look_like_places_in_the_template(spark, tmp_path):
+    seen = tmp_path / "seen"
+
+    def provider():
+        def answer(key, request):
+            seen.write_text(request)
+            return "x {text} y"
+
+        return answer
+
+    labels = taxonomy.from_paths(spark.createDataFrame([(0, "x {text} y"), (1, "z")], "ord int, path string"))
+    contents = spark.createDataFrame([("D1", 0, "body with {outline}")], "doc_id string, code int, content string")
+    settings = Settings(f"{tmp_path}/state", f"{tmp_path}/output", "1", scan_name="Root", target_name="Target")
+    result = run(Inputs(_nodes(spark), contents, labels, provider), settings)
+    assert result.routed.count() == 1 and "x {text} y" in seen.read_text() and "body with {outline}" in seen.read_text()
+
+
+def test_a_client_may_answer_lists(spark):
+    class Client:
+        def answer_all(self, keys, requests):
+            return [ValueError("no") if k == "b" else f"{k}:{r}" for k, r in zip(keys, requests)]
+
+    requests = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "obj_key string, text string")
+    from docgrove.operators import classify
+
+    got = {r["obj_key"]: (r["raw_response"], r["error"]) for r in classify.call_model(requests, Client, "<{text}>").collect()}
+    assert got == {"a": ("a:<1>", None), "b": (None, "ValueError: no"), "c": ("c:<3>", None)}

@@ -38,17 +38,19 @@ def test_prepare_text(spark):
     rows = [("body", "T"), ("body", ""), ("body", None), (None, "T"), ("𝒳é" * 3000, "T")]
     df = spark.createDataFrame(rows, "content string, title string")
     whole = text.prepare_text(F.col("content"), F.col("title"))
-    limited = text.prepare_text(F.col("content"), F.col("title"), 10)
-    got = df.select(whole, limited).collect()
-    for (content, title), (full, short) in zip(rows, got):
+    got = df.select(whole).collect()
+    for (content, title), (full,) in zip(rows, got):
         head = f"标题: {title}\n\n" if title else ""
         assert full == head + (content or "")
-        assert short == head + (content or "")[:10]
 
 
 def test_fill_template_leaves_other_braces(spark):
     column = text.fill_template("{x} {outline}|{text}{}", outline=F.lit("A{text}"), text=F.lit("B"))
     assert spark.range(1).select(column).first()[0] == "{x} A{text}|B{}"
+    template, outline, body = "{x} {outline}|{text}{}", "A{text}", "B{outline}"
+    assert text.request_filler(template, outline=outline)(body) == "{x} A{text}|B{outline}{}"
+    length = text.request_length(template, outline=F.lit(outline), text=F.lit(body))
+    assert spark.range(1).select(length).first()[0] == len("{x} A{text}|B{outline}{}")
 
 
 def _clean(raw):

@@ -160,7 +160,7 @@ def test_listing_from_json_lines(spark, tmp_path):
     )
     calls = responses.read_responses(spark, str(tmp_path), schemas.LISTING_RESPONSES)
     nodes = {r["node_token"]: (r["has_child"], r["ord"]) for r in responses.listing_nodes(calls).collect()}
-    assert nodes == {"a": (True, 0), "b": (False, 50)}
+    assert nodes == {"a": (True, 0), "b": (False, 1 << 32)}
     errors = {r["parent_node_token"]: (r["code"], r["msg"]) for r in responses.listing_errors(calls).collect()}
     assert errors == {"a": (131006, "denied"), "b": (None, responses.UNREADABLE)}
 

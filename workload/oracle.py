@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import re
 
-from docgrove.functions.text import ANSWER_LABEL, DEFAULT_REQUEST_CHARS, TITLE_LABEL
+from docgrove.functions.text import ANSWER_LABEL, TITLE_LABEL
 from workload import rules
 
 WS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
@@ -68,22 +68,24 @@ VIEWS = {
         UNION ALL
         SELECT node_token, parent_node_token, title, 'docx', obj_token, false, node_type, ord FROM doc_places""",
     "listed": """
-        SELECT *, row_number() OVER (PARTITION BY parent_node_token, ord // 50 ORDER BY ord) - 1 AS pos,
+        SELECT *, row_number() OVER (PARTITION BY parent_node_token, ord // 70 ORDER BY ord) - 1 AS pos,
                coalesce(parent_node_token = 'L' || (SELECT max(lang) FROM documents)
                         OR starts_with(parent_node_token, 'S' || (SELECT max(lang) FROM documents) || '/'), false) AS refused
         FROM doc_nodes""",
     "contents": f"""
-        SELECT obj AS doc_id, {rules.RESPONSE_CODE} AS code, {rules.ANSWERS_NO_JSON} AS broken,
+        SELECT obj AS doc_id, 1 AS attempt, {rules.RESPONSE_CODE} AS code, {rules.ANSWERS_NO_JSON} AS broken,
                CASE WHEN {rules.IS_BLANK} THEN {rules.BLANK} WHEN ({rules.RESPONSE_CODE}) = 0 THEN text END AS content
-        FROM docs
+        FROM docs CROSS JOIN range(2) AS copies(copy) WHERE copy = 0 OR {rules.EXPORTED_TWICE}
         UNION ALL
-        SELECT node, 0, {rules.ANSWERS_NO_JSON}, text FROM docs WHERE {rules.ANSWERS_BY_NODE}""",
+        SELECT node, 1, 0, {rules.ANSWERS_NO_JSON}, text FROM docs WHERE {rules.ANSWERS_BY_NODE}
+        UNION ALL
+        SELECT obj, 0, 0, {rules.ANSWERS_NO_JSON}, 'earlier ' || text FROM docs WHERE {rules.READ_BEFORE}""",
     "tokens": f"""
-        SELECT node_token FROM doc_nodes UNION ALL SELECT node_token FROM tree_nodes WHERE obj_type = 'sheet'
+        SELECT node_token FROM doc_nodes UNION ALL SELECT node_token FROM tree_nodes
         UNION ALL SELECT {rules.DOC_OBJECT} FROM documents""",
     "infos": """
         SELECT node_token, obj_type, obj_token FROM doc_nodes
-        UNION ALL SELECT node_token, obj_type, obj_token FROM tree_nodes WHERE obj_type = 'sheet'""",
+        UNION ALL SELECT node_token, obj_type, obj_token FROM tree_nodes""",
     "catalogue": """
         SELECT cast(min(p_partkey) AS VARCHAR) AS ord_path, p_brand AS path, NULL AS parent_path, 1 AS depth,
                false AS is_leaf, false AS listed, p_brand AS label FROM part GROUP BY p_brand
@@ -151,7 +153,8 @@ VIEWS = {
         SELECT * FROM (SELECT *, row_number() OVER (
             PARTITION BY obj_key ORDER BY depth DESC, lang_ord DESC, source_ord DESC, ord DESC) AS place FROM leaves)
         WHERE place = 1""",
-    "ok_responses": f"SELECT *, {_has_body('content')} AS has_body FROM contents WHERE code = 0",
+    "ok_responses": f"SELECT *, {_has_body('content')} AS has_body FROM contents WHERE code = 0 "
+    "QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY attempt DESC) = 1",
     "reads": """
         SELECT p.obj_key, p.node_token, p.title, p.obj_token, p.source,
                CASE WHEN r1.doc_id IS NOT NULL THEN r1.doc_id ELSE r2.doc_id END AS response_id,
@@ -218,8 +221,8 @@ _ALL = "n.parent_node_token IS NULL"
 
 QUERIES = {
     "ingest_listing": """SELECT node_token, parent_node_token, title, obj_type, obj_token, has_child, node_type,
-        (ord // 50) * 50 + pos AS ord FROM listed WHERE NOT refused""",
-    "ingest_listing_errors": """SELECT DISTINCT parent_node_token, ord // 50 AS page, 1 AS code, 'denied' AS msg
+        (ord // 70) * 4294967296 + pos AS ord FROM listed WHERE NOT refused""",
+    "ingest_listing_errors": """SELECT DISTINCT parent_node_token, ord // 70 AS page, 1 AS code, 'denied' AS msg
         FROM listed WHERE refused""",
     "ingest_content": f"""SELECT doc_id, CASE WHEN NOT broken THEN code END AS code,
             CASE WHEN broken THEN 'body is not JSON' WHEN code = 0 THEN 'success' ELSE 'not found' END AS msg,
@@ -297,9 +300,7 @@ QUERIES = {
                 lambda p, i: '"tag' || i || '":["' || p || '"]'), ',') || '}}' AS tag_json,
             CASE WHEN l.error IS NULL THEN 2 ELSE 1 END AS updated_month
         FROM docs d JOIN labelled l ON l.obj_key = d.obj WHERE l.error IS NULL OR {rules.IN_CACHE}""",
-    "prepare_text": f"""SELECT obj_key, length(head || text) AS n_chars, sha256(head || text) AS text_hash,
-            length(head || substring(text, 1, {DEFAULT_REQUEST_CHARS})) AS limited_chars,
-            sha256(head || substring(text, 1, {DEFAULT_REQUEST_CHARS})) AS limited_hash FROM prepared""",
+    "prepare_text": f"""SELECT obj_key, length(head || text) AS n_chars, sha256(head || text) AS text_hash FROM prepared""",
     "taxonomy_outline": "SELECT ord_path, line FROM outline",
     "prompt_len": """SELECT obj_key, length(head || text) + length('Labels:') + length('Text:') + 5
         + (SELECT sum(length(line)) + count(*) - 1 FROM outline)::BIGINT AS n_chars FROM prepared""",

@@ -16,6 +16,9 @@ IS_BLANK = "source = 'src4'"
 ANSWERS_BY_NODE = "source = 'src5'"
 ANSWERS_NOTHING = "source = 'src6'"
 ANSWERS_NO_JSON = "source = 'src13'"
+# Read before with another body, and exported twice.
+READ_BEFORE = "source = 'src7'"
+EXPORTED_TWICE = "source = 'src8'"
 RESPONSE_CODE = f"CASE WHEN {ANSWERS_BY_NODE} OR {ANSWERS_NOTHING} THEN 1 ELSE 0 END"
 
 LABELS = [

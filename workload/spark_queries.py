@@ -278,15 +278,12 @@ def _titled(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def prepare_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole texts, and texts under the limit the reference sets."""
+    """Whole texts under their titles."""
     whole = text.prepare_text(F.col("content"), F.col("title"))
-    limited = text.prepare_text(F.col("content"), F.col("title"), text.DEFAULT_REQUEST_CHARS)
     return _titled(spark, sf).select(
         "obj_key",
         F.length(whole).cast("bigint").alias("n_chars"),
         F.sha2(whole, 256).alias("text_hash"),
-        F.length(limited).cast("bigint").alias("limited_chars"),
-        F.sha2(limited, 256).alias("limited_hash"),
     )
 
 
@@ -299,15 +296,17 @@ def taxonomy_outline(spark: SparkSession, sf: str) -> DataFrame:
 def prompt_len(spark: SparkSession, sf: str) -> DataFrame:
     prepared = text.prepare_text(F.col("content"), F.col("title"))
     outline = taxonomy.outline(views.catalogue(spark, sf))
-    request = text.fill_template(rules.REQUEST_TEMPLATE, outline=outline, text=prepared)
-    return _titled(spark, sf).select("obj_key", F.length(request).cast("bigint").alias("n_chars"))
+    # A subquery may not stand inside every function, and is one value: its length is taken from a column.
+    titled = _titled(spark, sf).withColumn("outline", outline)
+    length = text.request_length(rules.REQUEST_TEMPLATE, outline=F.col("outline"), text=prepared)
+    return titled.select("obj_key", length.alias("n_chars"))
 
 
 @query
 def classify_stub(spark: SparkSession, sf: str) -> DataFrame:
     """Every document through the model, whose answers come from Python."""
     requests = classify.model_requests(_titled(spark, sf))
-    answers = classify.call_model(requests, stub_provider, calls=8)
+    answers = classify.call_model(requests, stub_provider)
     found = classify.label_answers(answers, taxonomy.label_array(views.labels(spark)))
     return found.select("obj_key", "raw_response", "error", "path", "match_tier")
 
@@ -467,7 +466,7 @@ def end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     base = scratch.new_folder(spark, "run")
     settings = Settings(
         state=f"{base}/state", output=f"{base}/output", run_id="1", scan_root=rules.DOCUMENT_ROOT,
-        target_token=rules.TARGET, template=rules.REQUEST_TEMPLATE, calls=8,
+        target_token=rules.TARGET, template=rules.REQUEST_TEMPLATE,
     )
     tree_of_labels = views.labels(spark)
     known = views.cache(spark, sf, taxonomy.taxonomy_version(tree_of_labels))

@@ -128,15 +128,21 @@ def _contents(spark: SparkSession, sf: str) -> DataFrame:
         F.expr(rules.RESPONSE_CODE).alias("code"),
         F.expr(f"CASE WHEN {rules.IS_BLANK} THEN {rules.BLANK} WHEN ({rules.RESPONSE_CODE}) = 0 THEN text END").alias("content"),
         "source",
+        F.lit(1).cast("bigint").alias("attempt"),
     )
     by_node = docs.filter(rules.ANSWERS_BY_NODE).select(
-        F.expr(rules.DOC_NODE).alias("doc_id"), F.lit(0).alias("code"), F.col("text").alias("content"), "source"
-    )
-    return by_object.unionByName(by_node)
+        F.expr(rules.DOC_NODE).alias("doc_id"), F.lit(0).alias("code"), F.col("text").alias("content"), "source",
+        F.lit(1).cast("bigint").alias("attempt"),
+    )
+    before = docs.filter(rules.READ_BEFORE).select(
+        F.expr(rules.DOC_OBJECT).alias("doc_id"), F.lit(0).alias("code"), F.expr("'earlier ' || text").alias("content"), "source",
+        F.lit(0).cast("bigint").alias("attempt"),
+    )
+    return by_object.unionByName(by_node).unionByName(before).unionByName(by_object.filter(rules.EXPORTED_TWICE))
 
 
 def contents(spark: SparkSession, sf: str) -> DataFrame:
-    """Content responses; some are blank, some only answer to the node, some to nothing."""
+    """Content responses; some are blank, some only answer to the node, some to nothing, some are repeated."""
     return _contents(spark, sf).drop("source")
 
 
@@ -150,35 +156,41 @@ def content_bodies(spark: SparkSession, sf: str) -> DataFrame:
         )
     )
     broken = F.expr(rules.ANSWERS_NO_JSON)
-    return _contents(spark, sf).select("doc_id", F.when(broken, F.lit("<html>busy</html>")).otherwise(answer).alias("body"))
+    return _contents(spark, sf).select("doc_id", "attempt", F.when(broken, F.lit("<html>busy</html>")).otherwise(answer).alias("body"))
 
 
 def title_bodies(spark: SparkSession, sf: str) -> DataFrame:
     title = F.struct(F.struct(F.expr(rules.TITLE).alias("title")).alias("document"))
     known = F.struct(F.lit(0).alias("code"), title.alias("data"))
     docs = table(spark, sf, "documents").select("doc_id", "lang", "source")
-    return docs.select(
+    newest = docs.select(
         F.expr(rules.DOC_OBJECT).alias("doc_id"),
+        F.lit(1).cast("bigint").alias("attempt"),
         F.when(F.expr(rules.ANSWERS_NOTHING), F.lit('{"code":1,"msg":"denied"}')).otherwise(F.to_json(known)).alias("body"),
     )
+    earlier = F.lit('{"code":0,"data":{"document":{"title":"zzz earlier"}}}')
+    before = docs.filter(rules.READ_BEFORE).select(
+        F.expr(rules.DOC_OBJECT).alias("doc_id"), F.lit(0).cast("bigint").alias("attempt"), earlier.alias("body")
+    )
+    return newest.unionByName(before).unionByName(newest.join(before.select("doc_id"), "doc_id", "left_semi"))
 
 
 def node_bodies(spark: SparkSession, sf: str) -> DataFrame:
-    """Node lookups for every document and supplier node."""
-    nodes = doc_nodes(spark, sf).unionByName(tree_nodes(spark, sf).filter("obj_type = 'sheet'"))
+    """Node lookups for every node."""
+    nodes = doc_nodes(spark, sf).unionByName(tree_nodes(spark, sf))
     node = F.struct(F.struct("obj_token", "obj_type").alias("node"))
     return nodes.select("node_token", F.to_json(F.struct(F.lit(0).alias("code"), node.alias("data"))).alias("body"))
 
 
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """Node tokens of documents, sources and sheets, and object tokens, which no node has."""
-    nodes = doc_nodes(spark, sf).unionByName(tree_nodes(spark, sf).filter("obj_type = 'sheet'"))
+    """All node tokens, and object tokens of documents, which no node has."""
+    nodes = doc_nodes(spark, sf).unionByName(tree_nodes(spark, sf))
     objects = table(spark, sf, "documents").select(F.expr(rules.DOC_OBJECT).alias("node_token"))
     return nodes.select("node_token").unionByName(objects)
 
 
 def listing_bodies(spark: SparkSession, sf: str) -> DataFrame:
-    """`doc_nodes` as listing calls of at most 50 children. The parents of one language refuse, `has_child` is
+    """`doc_nodes` as listing calls of at most 70 children. The parents of one language refuse, `has_child` is
     left out where it is false, and each page ends in an item without a token."""
     nodes = doc_nodes(spark, sf)
     denied = table(spark, sf, "documents").agg(F.max("lang")).scalar()
@@ -190,7 +202,7 @@ def listing_bodies(spark: SparkSession, sf: str) -> DataFrame:
         F.lit('{"title":"draft"}'),
         "node_token STRING, title STRING, obj_type STRING, obj_token STRING, has_child BOOLEAN, node_type STRING, url STRING",
     )
-    pages = nodes.groupBy("parent_node_token", F.expr("ord DIV 50").alias("page")).agg(
+    pages = nodes.groupBy("parent_node_token", F.expr("ord DIV 70").alias("page")).agg(
         F.sort_array(F.collect_list(F.struct("ord", item.alias("item")))).alias("rows")
     )
     items = F.concat(F.transform("rows", lambda r: r["item"]), F.array(nameless))
