@@ -129,9 +129,38 @@ def find_by_title(nodes: DataFrame, title: str) -> DataFrame:
     )
 
 
+def _first_titled(title: str) -> Column:
+    """Aggregate over top-level nodes: the first with that title, null if there is none."""
+    named = F.col("title") == title
+    return F.nullif(F.min_by(F.when(named, F.col("node_token")), F.when(named, F.struct("ord", "node_token"))), F.lit(""))
+
+
+def scan_root_choice(token: str | None = None, name: str | None = None) -> Column:
+    """Aggregate over top-level nodes: the node to scan, given or found by name."""
+    return F.lit(token) if token else _first_titled(name) if name else F.lit(None).cast("string")
+
+
+def target_root_choice(
+    token: str | None = None, name: str | None = None, fallback: str | None = None, token_prefix: str | None = None
+) -> Column:
+    """Aggregate over top-level nodes: the node that gets the folders, given, or found by name, or the fallback.
+    The fallback is tried as a name first unless it begins with `token_prefix`."""
+    if token:
+        return F.lit(token)
+    names = [name] if name else []
+    if fallback and not (token_prefix and fallback.startswith(token_prefix)):
+        names.append(fallback)
+    return F.coalesce(*[_first_titled(n) for n in names], F.lit(fallback or None).cast("string"))
+
+
+def choose(nodes: DataFrame, **choices: Column) -> DataFrame:
+    """One row with a column per choice, from one pass over the top-level nodes."""
+    return nodes.filter(parent_key() == TOP).agg(*[c.alias(name) for name, c in choices.items()])
+
+
 def scan_root(nodes: DataFrame, token: str | None = None, name: str | None = None) -> str:
-    """Token of the node to scan: given, or found by name. It is an error if there is none."""
-    found = token or (find_by_title(nodes, name).first()[0] if name else None)
+    """Token of the node to scan. It is an error if there is none."""
+    found = token or choose(nodes, root=scan_root_choice(token, name)).first()[0]
     if not found:
         raise ValueError(f"no node to scan: token {token!r}, name {name!r}")
     return found
@@ -144,18 +173,8 @@ def target_root(
     fallback: str | None = None,
     token_prefix: str | None = None,
 ) -> str | None:
-    """Token of the node that gets the folders: given, or found by name, or the fallback. The fallback is
-    tried as a name first unless it begins with `token_prefix`. None means the top of the space."""
-    if token:
-        return token
-    names = [name] if name else []
-    if fallback and not (token_prefix and fallback.startswith(token_prefix)):
-        names.append(fallback)
-    for candidate in names:
-        found = find_by_title(nodes, candidate).first()[0]
-        if found:
-            return found
-    return fallback or None
+    """Token of the node that gets the folders. None means the top of the space."""
+    return token or choose(nodes, root=target_root_choice(token, name, fallback, token_prefix)).first()[0]
 
 
 def child_map(nodes: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ VIEWS = {
         UNION ALL
         SELECT node_token, parent_node_token, title, 'docx', obj_token, false, node_type, ord FROM doc_places""",
     "listed": """
-        SELECT *, row_number() OVER (PARTITION BY parent_node_token, ord // 70 ORDER BY ord) - 1 AS pos,
+        SELECT *, row_number() OVER (PARTITION BY parent_node_token, ord % 1000000000000000 // 70 ORDER BY ord) - 1 AS pos,
                coalesce(parent_node_token = 'L' || (SELECT max(lang) FROM documents)
                         OR starts_with(parent_node_token, 'S' || (SELECT max(lang) FROM documents) || '/'), false) AS refused
         FROM doc_nodes""",
@@ -221,8 +221,8 @@ _ALL = "n.parent_node_token IS NULL"
 
 QUERIES = {
     "ingest_listing": """SELECT node_token, parent_node_token, title, obj_type, obj_token, has_child, node_type,
-        (ord // 70) * 4294967296 + pos AS ord FROM listed WHERE NOT refused""",
-    "ingest_listing_errors": """SELECT DISTINCT parent_node_token, ord // 70 AS page, 1 AS code, 'denied' AS msg
+        (ord % 1000000000000000 // 70) * 4294967296 + pos AS ord FROM listed WHERE NOT refused""",
+    "ingest_listing_errors": """SELECT DISTINCT parent_node_token, ord % 1000000000000000 // 70 AS page, 1 AS code, 'denied' AS msg
         FROM listed WHERE refused""",
     "ingest_content": f"""SELECT doc_id, CASE WHEN NOT broken THEN code END AS code,
             CASE WHEN broken THEN 'body is not JSON' WHEN code = 0 THEN 'success' ELSE 'not found' END AS msg,

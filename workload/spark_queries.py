@@ -117,16 +117,17 @@ def find_by_title(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def resolve_root(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = views.flat_nodes(spark, sf)
-    found = {
-        "scan by token": tree.scan_root(nodes, token="K5", name="en/src7"),
-        "scan by name": tree.scan_root(nodes, name="en/src7"),
-        "target by name": tree.target_root(nodes, name="de/src3"),
-        "target by fallback name": tree.target_root(nodes, name="nowhere", fallback="fr/src1", token_prefix="Fb"),
-        "target by fallback token": tree.target_root(nodes, name="nowhere", fallback="Fb123", token_prefix="Fb"),
-        "target nowhere": tree.target_root(nodes, name="nowhere"),
+    choices = {
+        "scan by token": tree.scan_root_choice(token="K5", name="en/src7"),
+        "scan by name": tree.scan_root_choice(name="en/src7"),
+        "target by name": tree.target_root_choice(name="de/src3"),
+        "target by fallback name": tree.target_root_choice(name="nowhere", fallback="fr/src1", token_prefix="Fb"),
+        "target by fallback token": tree.target_root_choice(name="nowhere", fallback="Fb123", token_prefix="Fb"),
+        "target nowhere": tree.target_root_choice(name="nowhere"),
     }
-    return spark.createDataFrame(list(found.items()), "choice string, node_token string")
+    found = tree.choose(views.flat_nodes(spark, sf), **choices)
+    rows = F.array(*[F.struct(F.lit(c).alias("choice"), F.col(f"`{c}`").alias("node_token")) for c in choices])
+    return found.select(F.explode(rows).alias("row")).select("row.*")
 
 
 @query

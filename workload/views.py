@@ -190,7 +190,7 @@ def tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def listing_bodies(spark: SparkSession, sf: str) -> DataFrame:
-    """`doc_nodes` as listing calls of at most 70 children. The parents of one language refuse, `has_child` is
+    """`doc_nodes` as listing calls of 70 places, and more children where places repeat. The parents of one language refuse, `has_child` is
     left out where it is false, and each page ends in an item without a token."""
     nodes = doc_nodes(spark, sf)
     denied = table(spark, sf, "documents").agg(F.max("lang")).scalar()
@@ -202,7 +202,7 @@ def listing_bodies(spark: SparkSession, sf: str) -> DataFrame:
         F.lit('{"title":"draft"}'),
         "node_token STRING, title STRING, obj_type STRING, obj_token STRING, has_child BOOLEAN, node_type STRING, url STRING",
     )
-    pages = nodes.groupBy("parent_node_token", F.expr("ord DIV 70").alias("page")).agg(
+    pages = nodes.groupBy("parent_node_token", F.expr("ord % 1000000000000000 DIV 70").alias("page")).agg(
         F.sort_array(F.collect_list(F.struct("ord", item.alias("item")))).alias("rows")
     )
     items = F.concat(F.transform("rows", lambda r: r["item"]), F.array(nameless))
