@@ -24,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgrove.llm.tables import keep, narrow
+from docgrove.llm.labels import least_hashes
+from docgrove.llm.tables import narrow
 from docgrove.llm.words import text_column
 
 KINDS = ("email", "ip", "card", "phone")
 SEGMENT_MAX, PLACE_MAX, AROUND = 5, 48, 2
-#: Documents with digits or at signs that the field learns from at most: those with the least hash of their id and text.
+#: Documents with digits or at signs that the field learns from at most: those with the least hash of their text.
 LEARN_MAX, EPOCHS, RATE, DECAY = 3000, 4, 0.3, 1e-6
 BITS = 14
 #: Evidence an entity needs before it is added to what the rules found.
@@ -304,7 +305,8 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text: str = "text", limit: i
         return pa.table({"weights": pa.array([train(texts).tobytes()], pa.binary())})
 
     own = narrow(docs, id_column, text).select(F.col(text).alias("text"))
-    chosen = own.filter(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("text")).limit(limit).distinct()
+    some = least_hashes(own.filter(F.col("text").rlike("[0-9@]")), F.col("text"), limit)
+    chosen = some.distinct().orderBy(F.xxhash64("text")).limit(limit)
     rows = chosen.groupBy(F.lit(0).alias("all")).applyInArrow(run, "weights binary").collect()
     return np.frombuffer(rows[0][0], np.float32).reshape(len(KINDS), -1) if rows else np.zeros((len(KINDS), 1 << BITS), np.float32)
 
