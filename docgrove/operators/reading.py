@@ -123,7 +123,8 @@ def attach_contents(docs: DataFrame, contents: DataFrame, how: str = "left", rep
         bodies = bodies.select("answered_by", "answered_at", F.col("one.body").alias("body"))
     # No response answers to the node of a document without one: as a key it keeps such rows apart.
     key = F.coalesce("response_id", "node_token") if how == "left" else F.col("response_id")
-    same = (key == F.col("answered_by")) & (F.col("response_attempt") == F.col("answered_at"))
+    # The attempts are compared as a difference, so that the id alone is the join's key: contents laid out by it stay there.
+    same = (key == F.col("answered_by")) & (F.col("response_attempt") - F.col("answered_at") == 0)
     return docs.join(bodies, same, how).select(*docs.columns, F.col("body").alias("content"))
 
 
