@@ -236,13 +236,15 @@ class Wrapper:
             else:
                 parts.append(letter(key) + ("?" if optional else ""))
         self.pattern = regex.compile("".join(parts))
-        main = "#a" if "#a" in kinds else "#o"
-        self.slots = [i + 1 for i, kind in enumerate(kinds) if kind == main]
+        self.slots = {main: [i + 1 for i, kind in enumerate(kinds) if kind == main] for main in ("#a", "#o")}
 
     def places(self, stream: list[str]) -> list[int] | None:
         """Which tokens are main text; None if the page does not match."""
         found = self.pattern.fullmatch("".join([self.letters.get(t, "￿") for t in stream]))
-        return None if found is None else sorted(a for slot in self.slots for a, _ in found.spans(slot))
+        if found is None:
+            return None
+        spans = {main: sorted(a for slot in slots for a, _ in found.spans(slot)) for main, slots in self.slots.items()}
+        return spans["#a"] or spans["#o"]
 
 
 @lru_cache(256)

@@ -352,6 +352,16 @@ def test_main_text_of_pages(spark):
     assert html_wrappers.extract(df.limit(0)).count() == 0
 
 
+def test_a_host_with_and_without_articles_keeps_the_text_of_both(spark):
+    rows = [(1, "http://h.example/1", "<body><nav>n</nav><article><p>one</p></article><footer>f</footer></body>")]
+    rows += [(i, f"http://h.example/{i}", f"<body><nav>n</nav><div class=content><p>text {i}</p></div><footer>f</footer></body>") for i in range(2, 6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    wrapper = json.loads(html_wrappers.infer_wrappers(df).collect()[0].wrapper)
+    assert all(html_wrappers.Wrapper(wrapper).places(html_wrappers.tokens(r[2])[0]) for r in rows)
+    got = {r.page_id: r.text for r in html_wrappers.extract(df).collect()}
+    assert got == {1: "one"} | {i: f"text {i}" for i in range(2, 6)}
+
+
 def test_given_pages_equal_a_plain_reading(spark, sf):
     for r in queries.op10_html_wrappers(spark, sf).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect():
         inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1].replace("<br>", " ")
