@@ -1,10 +1,14 @@
 """Personal data by fixed rules and, beyond them, by a semi-Markov conditional random field.
 
 The rules find e-mail addresses, IP addresses, card and phone numbers in a standard form. The field finds the same kinds in other
-forms. It works on the places where such data can be: runs of white-space separated chunks around digits, at signs and
-their written-out forms. In each it scores every segment of up to SEGMENT_MAX chunks as a whole (shape, number of
-digits, check sum, separators, what stands left and right) for every kind, and dynamic programming over segment ends
-chooses boundaries and kinds of all entities together. A place has at most PLACE_MAX chunks at a time, so the work is bounded.
+forms. It works on the places where such data can be: runs of chunks around digits, at signs and their written-out forms.
+Chunks end at white space, at punctuation that is in no entity, and where a script without spaces begins or ends. In each
+place it scores segments as a whole (shape, number of digits, check sum, separators, what stands left and right) for every
+kind, and dynamic programming over segment ends chooses boundaries and kinds of all entities together.
+
+A segment is any run of up to NEAR chunks, and any longer one that can be an entity still: chunks without letters with no more
+digits than a card has, or one address of chunks linked by at and dot marks. A chunk begins few segments of either sort, so
+the work grows with the number of chunks, and a place may be as long as its text.
 
 The weights are learnt by stochastic gradient on the exact log-likelihood (forward and backward sums over the same
 segments) in one task, from a bounded sample of documents: the rules' spans are the entities. Each place is learnt in
@@ -17,6 +21,8 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +35,7 @@ from docgrove.llm.tables import narrow
 from docgrove.llm.words import text_column
 
 KINDS = ("email", "ip", "card", "phone")
-SEGMENT_MAX, PLACE_MAX, AROUND = 5, 48, 2
+NEAR, AROUND = 5, 2
 #: Documents with digits or at signs that the field learns from at most: those with the least hash of their text.
 LEARN_MAX, EPOCHS, RATE, DECAY = 3000, 4, 0.3, 1e-6
 BITS = 14
@@ -42,10 +48,22 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 CARD_DIGITS, PHONE_DIGITS, IP_MOST = (13, 19), (9, 15), 255
-
-_TRIGGER = re.compile(r"[0-9@]|[\[({]\s?(?:at|AT|At)\s?[\])}]")
-_CHUNK = re.compile(r"\S+")
+#: Longest address there is: a local part of 64 characters, the at sign and a domain of 255.
+ADDRESS_MOST = 320
+
+_TRIGGER = re.compile(r"[0-9@]|[\[({]\s?(?:at|AT|At|dot|DOT|Dot)\s?[\])}]")
+_MARK = re.compile(r"[\[({]\s?(?:at|dot)\s?[\])}]|@", re.I)
+_AT = re.compile(r"[\[({]\s?at\s?[\])}]|@", re.I)
+#: Scripts that are written without spaces.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3000-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff"
+_CHUNK = re.compile(
+    r"(?:[\[({]\s?(?i:at|dot)\s?[\])}]"  # a mark
+    r"|(?<![0-9])[0-9]{1,3}(?:,[0-9]{3})+(?![0-9])"  # thousands
+    r"|(?<=[0-9]):(?=[0-9])"
+    rf"|[^\s\",;:|<>=&{_UNSPACED}])+|[{_UNSPACED}]+"
+)
 _EDGE = ".,;:!?\"'`|<>*#&$%=~"
+_PAIRS = {"]": "[", "}": "{"}
 _RUNS = re.compile(r"[0-9]+|[^\W\d_]+|\s+")
 
 
@@ -80,40 +98,45 @@ def rule_spans(text: str) -> list[tuple[int, int, int]]:
     return spans
 
 
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    """A chunk without punctuation at its edges, nor brackets of which it holds one side only."""
+    while a < b and (text[a] in _EDGE or text[a] in "[{" and text.find("]" if text[a] == "[" else "}", a, b) < 0):
+        a += 1
+    while b > a and (text[b - 1] in _EDGE or text[b - 1] in _PAIRS and text.find(_PAIRS[text[b - 1]], a, b) < 0):
+        b -= 1
+    return a, b
+
+
 def places(text: str) -> list[list[tuple[int, int]]]:
     """Runs of chunks around triggers: each chunk as start and end without punctuation at its edges."""
     found: list[list[tuple[int, int]]] = []
-    done = -1
+    done = 0
     for m in _TRIGGER.finditer(text):
         if m.start() < done:
             continue
         left = m.start()
-        for _ in range(AROUND + 1):  # back over the trigger's own chunk and AROUND more
-            while left > 0 and text[left - 1].isspace():
+        words = 0
+        while left > done and words <= AROUND:  # back over the trigger's own word and AROUND more, dots by themselves not counted
+            while left > done and text[left - 1].isspace():
                 left -= 1
-            while left > 0 and not text[left - 1].isspace():
+            end = left
+            while left > done and not text[left - 1].isspace():
                 left -= 1
-        left = max(left, done)
+            words += text[left:end] != "."
         chunks: list[tuple[int, int]] = []
-        last = 0
+        last = -1
         for chunk in _CHUNK.finditer(text, left):
             a, b = chunk.span()
-            if b > m.end() and _TRIGGER.search(text, max(a, m.start()), b):
+            if b > m.start() and (a < m.end() or _TRIGGER.search(text, a, b) or text[a:b] == "."):
+                if last < 0:
+                    while len(chunks) > AROUND and sum(text[c:d] != "." for c, d in chunks[1:]) >= AROUND:
+                        del chunks[0]
                 last = len(chunks)
             if a >= m.end() and len(chunks) > last + AROUND:
                 break
             chunks.append((a, b))
             done = b
-            if len(chunks) == PLACE_MAX:
-                break
-        trimmed = []
-        for a, b in chunks:
-            while a < b and text[a] in _EDGE:
-                a += 1
-            while b > a and text[b - 1] in _EDGE:
-                b -= 1
-            if a < b:
-                trimmed.append((a, b))
+        trimmed = [(a, b) for a, b in (_trimmed(text, *c) for c in chunks) if a < b]
         if trimmed:
             found.append(trimmed)
         done = max(done, m.end())
@@ -124,7 +147,7 @@ def _place(name: str) -> int:
     return zlib.crc32(name.encode()) & ((1 << BITS) - 1)
 
 
-def features(text: str, a: int, b: int, chunks: int) -> list[int]:
+def features(text: str, a: int, b: int, chunks: int) -> array:
     """The places of a segment's features, none that depends on its kind."""
     own = text[a:b]
     number = digits(own)
@@ -143,7 +166,47 @@ def features(text: str, a: int, b: int, chunks: int) -> list[int]:
     parts = re.split(r"[. ]+", own)
     if len(parts) == 4 and all(p.isdecimal() for p in parts):
         names.append(f"quad {all(int(p[:9]) <= IP_MOST for p in parts)}")
-    return [_place(x) for x in names]
+    return array("H", [_place(x) for x in names])
+
+
+def segments(text: str, chunks: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """First chunk and end of all segments that can be an entity, by those."""
+    n = len(chunks)
+    triggers = [m.span() for m in _TRIGGER.finditer(text, chunks[0][0], chunks[-1][1])]
+    starts = [a for a, _ in triggers]
+    own = [text[a:b] for a, b in chunks]
+    count = [len(digits(x)) for x in own]
+    numeric = [not any(c.isalpha() for c in x) and "@" not in x for x in own]
+    number = [k for k in range(n) if count[k]]
+    barrier = [n] * (n + 1)  # the first chunk from here on that is in no number
+    for k in range(n - 1, -1, -1):
+        barrier[k] = barrier[k + 1] if numeric[k] else k
+    ats = [len(_AT.findall(x)) for x in own]
+    size = [len(_MARK.sub(".", x)) for x in own]
+    marks = [(_MARK.match(x), any(m.end() == len(x) for m in _MARK.finditer(x))) for x in own]
+    linked = [
+        bool(marks[k][1] or marks[k + 1][0]) or text[chunks[k][1] : chunks[k + 1][0]].split() == ["."] and text[chunks[k][1]].isspace()
+        for k in range(n - 1)
+    ] + [False]
+    for i in range(n):
+        ends = set(range(i + 1, min(i + NEAR, n) + 1))
+        if count[i] or i + 1 < n and count[i + 1]:
+            total = 0
+            for k in number[(at := bisect_left(number, i)) : at + CARD_DIGITS[1]] if barrier[i] > i + NEAR else ():
+                total += count[k]
+                if k >= barrier[i] or total > CARD_DIGITS[1]:
+                    break
+                ends.add(k + 1)
+        j, signs, length = i + 1, ats[i], size[i]
+        while j < n and linked[j - 1] and signs + ats[j] <= 1 and length + size[j] <= ADDRESS_MOST:
+            signs, length = signs + ats[j], length + size[j]
+            j += 1
+            if signs == 1:
+                ends.add(j)
+        at = bisect_left(starts, chunks[i][0])
+        for j in sorted(ends) if at < len(triggers) else ():
+            if triggers[at][1] <= chunks[j - 1][1]:
+                yield i, j
 
 
 class Lattice:
@@ -151,13 +214,9 @@ class Lattice:
 
     def __init__(self, text: str, chunks: list[tuple[int, int]]):
         self.chunks = chunks
-        self.segments: list[tuple[int, int, list[int]]] = []
-        holds = [bool(_TRIGGER.search(text, a, b)) for a, b in chunks]
-        for i in range(len(chunks)):
-            for j in range(i, min(i + SEGMENT_MAX, len(chunks))):
-                a, b = chunks[i][0], chunks[j][1]
-                if any(holds[i : j + 1]) and b - a <= 96:
-                    self.segments.append((i, j + 1, features(text, a, b, j - i + 1)))
+        self.segments: list[tuple[int, int, array]] = [
+            (i, j, features(text, chunks[i][0], chunks[j - 1][1], j - i)) for i, j in segments(text, chunks)
+        ]
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         """Segments by kinds."""
@@ -212,7 +271,7 @@ class Lattice:
 def _rewritten(kind: int, own: str, turn: int) -> str:
     """An entity as people write it to evade rules."""
     if kind == 0:
-        return own.replace("@", (" (at) ", " [at] ")[turn % 2]).replace(".", (" (dot) ", " [dot] ")[turn % 2]) if own.count(".") == 1 else own.replace("@", (" (at) ", "(at)", "[at]")[turn % 3])
+        return own.replace("@", (" (at) ", " [at] ")[turn % 2]).replace(".", (" (dot) ", " [dot] ")[turn % 2]) if own.count(".") == 1 or turn % 4 > 1 else own.replace("@", (" (at) ", "(at)", "[at]")[turn % 3])
     if kind == 1:
         return own.replace(".", " . ") if turn % 2 else own.replace(".", "[.]")
     if kind == 2:
@@ -221,37 +280,65 @@ def _rewritten(kind: int, own: str, turn: int) -> str:
     return ("00" if turn % 2 else "") + own.lstrip("+").replace("-", (".", " ", "/")[turn % 3])
 
 
+def _apart(text: str, chunks: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> Iterator[tuple[list, list]]:
+    """The chunks between those that spans touch which are no segment, and the spans in each run of them."""
+    ends: dict[int, set[int]] = {}
+    for i, j in segments(text, chunks):
+        ends.setdefault(chunks[i][0], set()).add(chunks[j - 1][1])
+    good = [s for s in spans if s[2] in ends.get(s[1], ())]
+    bad = sorted(set(spans).difference(good), key=lambda s: s[1])
+    at = 0
+    for s in [*bad, None]:
+        end = at
+        while end < len(chunks) and (s is None or chunks[end][1] <= s[1]):
+            end += 1
+        if end > at:
+            inside = good[bisect_left(good, chunks[at][0], key=lambda s: s[1]) : bisect_right(good, chunks[end - 1][0], key=lambda s: s[1])]
+            yield chunks[at:end], inside
+        at = end
+        while s is not None and at < len(chunks) and chunks[at][0] < s[2]:
+            at += 1
+
+
 def _lessons(text: str) -> Iterator[tuple[Lattice, dict[tuple[int, int], int]]]:
-    """Places of a text with the segments that are entities, as they stand and rewritten. Places where a rule's span is
-    no segment are left out."""
-    spans = rule_spans(text)
-    for turn, chunks in enumerate(places(text)):
-        start, end = chunks[0][0], chunks[-1][1]
-        inside = sorted((s for s in spans if s[1] < end and s[2] > start), key=lambda s: s[1] - s[2])
+    """Places of a text with the segments that are entities, as they stand and rewritten. Chunks that a rule's span touches
+    which is no segment are left out, not the place around them."""
+    spans = sorted(rule_spans(text), key=lambda s: s[1])
+    most = max((b - a for _, a, b in spans), default=0)
+    for turn, whole in enumerate(places(text)):
+        low = bisect_left(spans, whole[0][0] - most, key=lambda s: s[1])
+        inside = [s for s in spans[low : bisect_left(spans, whole[-1][1], key=lambda s: s[1])] if s[2] > whole[0][0]]
         chosen: list[tuple[int, int, int]] = []
-        for s in inside:
-            if all(s[2] <= c[1] or s[1] >= c[2] for c in chosen):
-                chosen.append(s)
-        for rewrite in (False, True) if chosen else (False,):
-            own, marks, moved = text, chosen, chunks
-            if rewrite:
-                pieces, at, marks, base = [text[max(0, start - 8) : start]], start, [], min(8, start)
-                for kind, a, b in sorted(chosen, key=lambda s: s[1]):
-                    new = _rewritten(kind, text[a:b], turn + a)
-                    before = text[at:a]
-                    pieces += [before, new]
-                    marks.append((kind, base + len(before), base + len(before) + len(new)))
-                    base += len(before) + len(new)
-                    at = b
-                own = "".join(pieces) + text[at : end + 8]
-                found = places(own)
-                moved = found[0] if len(found) == 1 else []
-            if not moved:
-                continue
-            lattice = Lattice(own, moved)
-            named = {(moved[i][0], moved[j - 1][1]): s for s, (i, j, _) in enumerate(lattice.segments)}
-            if all((a, b) in named for _, a, b in marks) and lattice.segments:
-                yield lattice, {(named[a, b], kind): 1 for kind, a, b in marks}
+        for s in sorted(inside, key=lambda s: s[1] - s[2]):
+            at = bisect_left(chosen, s[1], key=lambda c: c[1])
+            if (at == 0 or chosen[at - 1][2] <= s[1]) and (at == len(chosen) or s[2] <= chosen[at][1]):
+                chosen.insert(at, s)
+        for chunks, marks in _apart(text, whole, chosen):
+            yield from _lesson(text, chunks, marks, turn)
+
+
+def _lesson(text: str, chunks: list[tuple[int, int]], chosen: list[tuple[int, int, int]], turn: int) -> Iterator[tuple[Lattice, dict[tuple[int, int], int]]]:
+    start, end = chunks[0][0], chunks[-1][1]
+    for rewrite in (False, True) if chosen else (False,):
+        own, marks, moved = text, chosen, chunks
+        if rewrite:
+            pieces, at, marks, base = [text[max(0, start - 8) : start]], start, [], min(8, start)
+            for kind, a, b in chosen:
+                new = _rewritten(kind, text[a:b], turn + a)
+                before = text[at:a]
+                pieces += [before, new]
+                marks.append((kind, base + len(before), base + len(before) + len(new)))
+                base += len(before) + len(new)
+                at = b
+            own = "".join(pieces) + text[at : end + 8]
+            found = places(own)
+            moved = found[0] if len(found) == 1 else []
+        if not moved:
+            continue
+        lattice = Lattice(own, moved)
+        named = {(moved[i][0], moved[j - 1][1]): s for s, (i, j, _) in enumerate(lattice.segments)}
+        if all((a, b) in named for _, a, b in marks) and lattice.segments:
+            yield lattice, {(named[a, b], kind): 1 for kind, a, b in marks}
 
 
 def train(texts: list[str], epochs: int = EPOCHS) -> np.ndarray:

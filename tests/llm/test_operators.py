@@ -291,6 +291,41 @@ def test_the_field_finds_other_forms_and_masks_them():
     assert pii_semicrf.all_spans("chapter 12 has 48 pages", weights) == ([], [])
 
 
+def test_the_field_sees_entities_of_any_length_and_place():
+    pair = "+{} 6 {} {} {} {}", "a{}@mail{}.example.com"
+    texts = ["ab" * (i % 12) + f" word call {pair[0].format(33 + i % 7, i % 90 + 10, i % 80 + 11, i % 70 + 12, i % 60 + 13)} or mail {pair[1].format(i, i % 9)} end" for i in range(240)]
+    first = [len(truth) for _, truth in pii_semicrf._lessons(texts[0])]
+    assert first == [2, 2]  # as it stands and rewritten
+    weights = pii_semicrf.train(texts)
+
+    def added(text):
+        base, every = pii_semicrf.all_spans(text, weights)
+        return [(pii_semicrf.KINDS[k], text[a:b]) for k, a, b in sorted(set(every) - set(base), key=lambda s: s[1])]
+
+    assert added("word call 0034 6 12 34 56 78 end") == [("phone", "0034 6 12 34 56 78")]
+    assert added("word mail a7 (at) mail3 (dot) example (dot) com end") == [("email", "a7 (at) mail3 (dot) example (dot) com")]
+    phones = [f"0034 6 {10 + i} 34 56 78" for i in range(60)]
+    phones = [x for x in phones if not pii_semicrf.luhn(pii_semicrf.digits(x))]  # what has a card's check sum may be one
+    assert added("word call " + " or call ".join(phones) + " end") == [("phone", x) for x in phones]  # one place of some 400 chunks
+    assert len(pii_semicrf.places("word call " + " or call ".join(phones))) == 1
+
+
+@pytest.mark.parametrize("text", [
+    "\u7535\u8bdd0033612345678\u8bf7\u8054\u7cfb", '{"name":"x","phone":"0033612345678","more":[' + "1," * 60 + '2]}', "y" * 50 + ",0033612345678," + "z" * 60,
+    "phone:0033612345678;" + "name=abc&" * 20, '{"phone":0033612345678}',
+])
+def test_entities_in_text_without_spaces_are_segments(text):
+    found = [text[chunks[i][0] : chunks[j - 1][1]] for chunks in pii_semicrf.places(text) for i, j, _ in pii_semicrf.Lattice(text, chunks).segments]
+    assert "0033612345678" in found
+
+
+def test_segments_grow_with_the_chunks_only():
+    for text in ("12 " * 20000, "1 - " * 9000, "a@b.example c " * 9000, "a (dot) " * 1000 + "b (at) c", "123," * 20000, "\u75355" * 20000):
+        chunks = [c for place in pii_semicrf.places(text) for c in place]
+        made = sum(1 for place in pii_semicrf.places(text) for _ in pii_semicrf.segments(text, place))
+        assert 0 < made <= 64 * len(chunks)
+
+
 def brute_nearest(ids, x, query, k):
     scores = x @ x[query]
     order = sorted((i for i in range(len(ids)) if ids[i] != ids[query]), key=lambda i: (-scores[i], ids[i]))
