@@ -8,12 +8,16 @@ bodies are one. The outcome is one regular expression over tokens for the host,
 Distinct streams are found by an aggregate, so a host with very many equal pages is folded once; the streams of a host
 are folded in several parts first, then the parts' wrappers with each other, since a wrapper aligns with a wrapper as
 with a page. Extraction matches a page with its host's wrapper and takes the text of every slot of the article, or of
-all slots outside excluded parts where the host has no article. A page that its wrapper does not match (none that was
+all slots outside excluded parts where the page fills none of the article's, since a host may have pages of both kinds. Of the
+latter, the slots decide: a text that stands in a slot on every page of the host that fills it is the template's, and goes.
+Names of classes and ids only hint at excluded parts: where a page has no other text, texts under such names are taken
+if the host's pages show that they are no template. A page that its wrapper does not match (none that was
 there when it was inferred) is aligned with it once more.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -32,6 +36,8 @@ from docgrove.llm.tables import keep
 PARTS = 64
 #: Longest group of tokens, and longest run, looked at for repetition in one page.
 GROUP_MAX = 16
+#: So many different pages of a host must fill a slot before a text they all have in it is the template's.
+LEAST_PAGES = 3
 
 _RAW = {n: re.compile(rf"</{n}\b[^>]*>", re.I) for n in "script style noscript template textarea iframe svg select".split()}
 _INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -52,34 +58,39 @@ _ODD_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
+#: Words that make a class say what a page has or lacks, not what this element is.
+_ABOUT = frozenset("no not non has have with without hide hides hidden show shows".split())
 
 
-def _attributes(source: str) -> tuple[str, bool]:
-    """First word of the class, and whether class, id or role say that this is no main text."""
-    first, excluded = "", False
+def _attributes(source: str) -> tuple[str, str]:
+    """First word of the class, and whether this is no main text: x its role says so, w its class or id hints at it."""
+    first, excluded = "", ""
     for name, a, b, c in _NAMED.findall(source):
         value = a or b or c
         words = [w.lower() for w in _WORD.findall(value)]
         if name.lower() == "role":
-            excluded |= any(w in _EXCLUDED_ROLES for w in words)
+            if any(w in _EXCLUDED_ROLES for w in words):
+                excluded = "x"
         else:
-            excluded |= any(w in _EXCLUDED_WORDS for w in words)
+            for own in ([w.lower() for w in _WORD.findall(part)] for part in value.split()):
+                if _ABOUT.isdisjoint(own) and not _EXCLUDED_WORDS.isdisjoint(own):
+                    excluded = excluded or "w"
             if name.lower() == "class" and words:
                 first = words[0]
     return first, excluded
 
 
 @lru_cache(1 << 12)
-def _tag(closing: str, name: str, attributes: str) -> tuple[bool, str, bool, bool, str]:
-    """Whether it closes, name, whether it has no content, whether it is excluded, its token."""
+def _tag(closing: str, name: str, attributes: str) -> tuple[bool, str, bool, str, str]:
+    """Whether it closes, name, whether it has no content, how it is excluded, its token."""
     name = name.lower()
-    first, excluded = _attributes(attributes) if attributes.strip("/ ") else ("", False)
+    first, excluded = _attributes(attributes) if attributes.strip("/ ") else ("", "")
     empty = name in _VOID or attributes.endswith("/")
     return bool(closing), name, empty, excluded, ("/" + name if closing else f"{name}.{first}" if first else name)
 
 
 class _Open:
-    """The elements that are open, and so the kind of a text: x excluded, a article, o other."""
+    """The elements that are open, and so the kind of a text: x excluded, w excluded by names, a article, o other."""
 
     def __init__(self):
         self.stack: list[tuple[str, str]] = []
@@ -87,17 +98,19 @@ class _Open:
     def kind(self) -> str:
         return self.stack[-1][1] if self.stack else "o"
 
-    def push(self, name: str, excluded: bool) -> None:
+    def push(self, name: str, excluded: str) -> None:
         kind = self.kind()
         if name in _MAIN:
-            while self.stack and self.stack[-1][1] == "x":  # an article stands in no menu: that was left open
+            while self.stack and self.stack[-1][1] in "xw":  # an article stands in no menu: that was left open
                 self.stack.pop()
             kind = "a"
-        elif excluded or name in _EXCLUDED and not (name == "header" and kind == "a"):
-            kind = "x"
-        elif name == "body":
+        elif name == "body":  # all of the page: its names exclude nothing
             self.stack.clear()
             kind = "o"
+        elif excluded == "x" or name in _EXCLUDED and not (name == "header" and kind == "a"):
+            kind = "x"
+        elif excluded and kind != "x":
+            kind = "w"
         self.stack.append((name, kind))
 
     def pop(self, name: str) -> None:
@@ -236,15 +249,19 @@ class Wrapper:
             else:
                 parts.append(letter(key) + ("?" if optional else ""))
         self.pattern = regex.compile("".join(parts))
-        self.slots = {main: [i + 1 for i, kind in enumerate(kinds) if kind == main] for main in ("#a", "#o")}
+        self.slots = {main: [i + 1 for i, kind in enumerate(kinds) if kind == main] for main in ("#a", "#o", "#w")}
 
-    def places(self, stream: list[str]) -> list[int] | None:
-        """Which tokens are main text; None if the page does not match."""
+    def filled(self, stream: list[str]) -> dict[str, list[tuple[int, int]]] | None:
+        """By kind, the texts' places and their slots; None if the page does not match."""
         found = self.pattern.fullmatch("".join([self.letters.get(t, "￿") for t in stream]))
         if found is None:
             return None
-        spans = {main: sorted(a for slot in slots for a, _ in found.spans(slot)) for main, slots in self.slots.items()}
-        return spans["#a"] or spans["#o"]
+        return {main: sorted((a, slot) for slot in slots for a, _ in found.spans(slot)) for main, slots in self.slots.items()}
+
+    def places(self, stream: list[str]) -> list[int] | None:
+        """Which tokens are main text by their kinds alone; None if the page does not match."""
+        filled = self.filled(stream)
+        return None if filled is None else [at for at, _ in filled["#a"] or filled["#o"]]
 
 
 @lru_cache(256)
@@ -252,13 +269,37 @@ def _loaded(source: str) -> Wrapper:
     return Wrapper(json.loads(source))
 
 
-def main_text(source: str, wrapper: str | None) -> str:
-    """Blocks of main text, by the host's wrapper; failing that, by what becomes of it with this page aligned."""
+def _code(slot: int, text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{slot} {text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def slot_texts(source: str, wrapper: str) -> list[dict]:
+    """Each slot outside articles that a page fills (code null), and the code of each different text in it."""
     stream, texts = tokens(source)
-    at = _loaded(wrapper).places(stream) if wrapper else None
-    if at is None:
-        own = Wrapper(collapse(stream))
-        at = own.places(stream)
+    filled = _loaded(wrapper).filled(stream)
+    if filled is None or filled["#a"]:
+        return []
+    found = {(slot, code) for kind in ("#o", "#w") for at, slot in filled[kind] for code in (None, _code(slot, texts[at]))}
+    return [{"slot": slot, "code": code} for slot, code in sorted(found, key=lambda x: (x[0], x[1] is not None, x[1] or 0))]
+
+
+@lru_cache(256)
+def _known(evidence: str) -> tuple[frozenset[int], frozenset[int]]:
+    held = json.loads(evidence)
+    return frozenset(held["template"]), frozenset(held["slots"])
+
+
+def main_text(source: str, wrapper: str | None, evidence: str | None = None) -> str:
+    """Blocks of main text, by the host's wrapper and template texts; failing that, by the wrapper of the page's own stream."""
+    stream, texts = tokens(source)
+    filled = _loaded(wrapper).filled(stream) if wrapper else None
+    if filled is not None:
+        template, slots = _known(evidence) if evidence else (frozenset(), frozenset())
+        at = [i for i, _ in filled["#a"]] or [i for i, slot in filled["#o"] if _code(slot, texts[i]) not in template]
+        if not at:
+            at = [i for i, slot in filled["#w"] if slot in slots and _code(slot, texts[i]) not in template]
+    else:
+        at = Wrapper(collapse(stream)).places(stream)
         if at is None:  # possessive groups took too much: every token by itself
             at = Wrapper([[t, False] for t in stream]).places(stream)
     return "\n\n".join(texts[i] for i in at)
@@ -289,6 +330,26 @@ def infer_wrappers(pages: DataFrame, url: str = "url", source: str = "html", par
     return folded.groupBy("host").applyInArrow(fold, "host string, wrapper string")
 
 
+def template_texts(pages: DataFrame, wrappers: DataFrame, url: str = "url", source: str = "html", least: int = LEAST_PAGES) -> DataFrame:
+    """(host, evidence): of each host, as JSON, the slots that at least `least` different pages without article text fill, and
+    the codes of the texts that all pages which fill a slot have in it. Pages with the same texts count once."""
+
+    @F.arrow_udf("array<struct<slot:int,code:bigint>>")
+    def filled(column: pa.Array, wrapper: pa.Array) -> pa.Array:
+        kinds = pa.list_(pa.struct([("slot", pa.int32()), ("code", pa.int64())]))
+        return pa.array([slot_texts(x, w) for x, w in zip(column.to_pylist(), wrapper.to_pylist())], kinds)
+
+    own = pages.select(host(F.col(f"`{url}`")).alias("host"), F.col(f"`{source}`").alias("source")).filter("source is not null")
+    found = own.join(wrappers, "host").select("host", filled("source", "wrapper").alias("filled")).filter("size(filled) > 0")
+    each = found.distinct().select("host", F.explode("filled").alias("own")).groupBy("host", "own.slot", "own.code").agg(F.count(F.lit(1)).alias("n"))
+    each = keep(each.filter(F.col("n") >= least), "slot_texts")
+    slots = each.filter("code is null").select("host", "slot", "n")
+    same = each.filter("code is not null").join(slots, ["host", "slot", "n"]).select("host", "slot", "code")
+    both = slots.select("host", "slot", F.lit(None).cast("long").alias("code")).unionByName(same)
+    lists = both.groupBy("host").agg(F.collect_set("code").alias("template"), F.collect_set("slot").alias("slots"))
+    return lists.select("host", F.to_json(F.struct("template", "slots")).alias("evidence"))
+
+
 def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """One row per row of `pages`: id, url, text, n_chars.
 
@@ -296,12 +357,14 @@ def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", sour
     rows each have a row; other columns of `pages` are not read.
     """
     wrappers = keep(infer_wrappers(pages, url, source), "wrappers")
+    wrappers = keep(wrappers.join(template_texts(pages, wrappers, url, source), "host", "left"), "templates")
 
     @F.arrow_udf("string")
-    def text(column: pa.Array, wrapper: pa.Array) -> pa.Array:
-        return pa.array([main_text(x or "", w) for x, w in zip(column.to_pylist(), wrapper.to_pylist())], pa.string())
+    def text(column: pa.Array, wrapper: pa.Array, evidence: pa.Array) -> pa.Array:
+        rows = zip(column.to_pylist(), wrapper.to_pylist(), evidence.to_pylist())
+        return pa.array([main_text(x or "", w, e) for x, w, e in rows], pa.string())
 
     own = pages.select(F.col(f"`{id_column}`").cast("long").alias(id_column), F.col(f"`{url}`").alias("url"), F.col(f"`{source}`").alias("source"))
     joined = own.withColumn("host", host(F.col("url"))).join(wrappers, "host", "left")
-    found = joined.select(id_column, "url", text("source", "wrapper").alias("text"))
+    found = joined.select(id_column, "url", text("source", "wrapper", "evidence").alias("text"))
     return found.withColumn("n_chars", F.char_length("text").cast("long"))

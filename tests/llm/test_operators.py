@@ -397,6 +397,18 @@ def test_a_host_with_and_without_articles_keeps_the_text_of_both(spark):
     assert got == {1: "one"} | {i: f"text {i}" for i in range(2, 6)}
 
 
+def test_texts_on_all_pages_of_a_host_are_its_template(spark):
+    page = '<body class="no-sidebar"><div>Menu of h</div><div class="content has-sidebar"><h2>{h}</h2><p>text {i}</p><p>All rights</p></div></body>'
+    rows = [(i, f"http://h.example/{i}", page.format(i=i, h="T" if i % 2 else "U")) for i in range(6)]
+    rows += [(6, "http://h.example/6", rows[5][2])]  # a copy says nothing more
+    rows += [(10 + i, "http://two.example/", f"<div>Menu</div><p>text {i % 2}</p>") for i in range(8)]  # two different pages: too few to tell
+    rows += [(20 + i, "http://w.example/", f'<div class="widget"><p>Menu</p><p>text {i}</p></div>') for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_wrappers.extract(df).collect()}
+    want = {i: ("T" if i % 2 else "U") + f"\n\ntext {i}" for i in range(6)} | {6: "T\n\ntext 5"}
+    assert got == want | {10 + i: f"Menu\n\ntext {i % 2}" for i in range(8)} | {20 + i: f"text {i}" for i in range(3)}
+
+
 def test_given_pages_equal_a_plain_reading(spark, sf):
     for r in queries.op10_html_wrappers(spark, sf).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect():
         inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1].replace("<br>", " ")
