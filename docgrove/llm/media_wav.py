@@ -2,7 +2,7 @@
 
 A WAV column is written and read with the wave module, one unsigned 8-bit sample per byte. The fingerprint takes
 a short-time Fourier transform with a Hann window, finds in each band of each frame the strongest frequency, keeps
-those that are peaks in time too, and pairs each with the peaks of the frames just after it. A pair is a code of both
+those that are peaks in time too, and pairs each with those of higher bands in its frame and with the peaks of the frames just after it. A pair is a code of both
 frequencies and their distance in time; pairs are kept as two arrays, time and code.
 
 The transform is a product with a table of windowed sines and cosines rounded to whole numbers, so every sum is an exact
@@ -86,6 +86,11 @@ def fingerprint(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     peak[1:] &= powers[1:] > powers[:-1]
     peak[:-1] &= powers[:-1] >= powers[1:]
     times, codes = [], []
+    for band in range(BANDS):  # within a frame: all that a payload of one frame has
+        for other in range(band + 1, BANDS):
+            at = np.flatnonzero(peak[:, band] & peak[:, other])
+            times.append(at)
+            codes.append((bins[at, band] << 11) | (bins[at, other] << 4))
     for gap in range(1, REACH + 1):
         for step in range(BANDS):
             after = np.roll(bins, -step, axis=1)

@@ -179,6 +179,14 @@ def test_media(docs, no_docs):
     assert media_wav.digests(media_wav.media_columns(no_docs)).count() == 0
 
 
+def test_short_payloads_have_features():
+    texts = [" ".join(hashlib.sha256(bytes([i])).hexdigest()) for i in range(20)]
+    found = [media_wav.fingerprint(media_wav.payload(t)[1]) for t in texts]
+    assert all(len(times) for times, _ in found) and len({c.tobytes() for _, c in found}) > len(texts) / 2  # before, all were empty
+    times, codes = media_wav.fingerprint(media_wav.payload("one")[1])
+    assert (times == 0).all() and all(c & 15 == 0 and c >> 11 < c >> 4 & 127 for c in codes.tolist())
+
+
 def test_band_peaks_equal_a_plain_transform():
     data = np.random.default_rng(0).integers(0, 256, 2048).astype(np.uint8)
     bins, _ = media_wav.band_peaks(data)
