@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrove.llm import ann_crosspolytope, html_wrappers, media_wav, pii_semicrf, source_mixing
+from docgrove.llm import ann_crosspolytope, html_wrappers, media_wav, pii_semicrf, ranked_search, source_divergence, source_mixing
 from docgrove.llm.byte_shards import byte_shards
 from docgrove.llm.harmonic_packing import pack
 from docgrove.llm.jaccard_join import jaccard_components
@@ -60,6 +60,14 @@ def op10_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrappers.extract(read_table(spark, sf_dir, "pages"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(read_table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_pii_semicrf": op1_pii_semicrf,
     "op2_quality_ftrl": op2_quality_ftrl,
@@ -71,6 +79,8 @@ QUERIES = {
     "op8_byte_shards": op8_byte_shards,
     "op9_source_mixing": op9_source_mixing,
     "op10_html_wrappers": op10_html_wrappers,
+    "op11_source_divergence": op11_source_divergence,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLE: dict[str, str] = {}
@@ -152,3 +162,56 @@ taken AS (
   FROM placed)
 SELECT doc_id, domain, lang, source, tokens, CAST(unnest(range(CAST(times AS BIGINT))) AS INTEGER) AS epoch FROM taken
 """
+
+ORACLE["op11_source_divergence"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    unnest(CASE WHEN text IS NULL THEN [''] ELSE [text] END) AS text FROM documents),
+words AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS c, count(DISTINCT r) AS d FROM words GROUP BY ALL),
+kept AS (SELECT lang, term, sum(c)::HUGEINT AS c FROM counts GROUP BY ALL HAVING sum(d) >= 10),
+langs AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0)::HUGEINT AS c, k.c AS whole
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sized AS (SELECT *, sum(c) OVER (PARTITION BY lang, source) AS n FROM cells),
+shares AS (
+  SELECT s.lang, s.source, s.term, s.c, 1 + (1000000000 * (s.c + 2)) // (s.n + 2 * l.v) AS p, 1 + (1000000000 * (s.whole + 2)) // (l.n + 2 * l.v) AS q
+  FROM sized s JOIN langs l USING (lang)),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS other, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value
+    FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) f
+  ON f.lang = a.lang AND f.source = a.source AND f.other = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) FROM shares WHERE c > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 10
+"""
+
+ORACLE["op13_ranked_search"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+wanted AS (SELECT i, item_id, term, count(*) AS times FROM items GROUP BY ALL),
+whole AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM docs WHERE len(w) > 0),
+tf AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM docs)
+  WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * whole.n + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, whole GROUP BY term, whole.n),
+scored AS (
+  SELECT i, item_id, r, doc_id,
+    CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * tf.n * whole.n) // whole.l)))) AS BIGINT) AS score
+  FROM wanted JOIN tf USING (term) JOIN weights USING (term), whole GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
