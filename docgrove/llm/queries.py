@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrove.llm import ann_crosspolytope, html_wrappers, media_wav, pii_semicrf, ranked_search, source_divergence, source_mixing
+from docgrove.llm import ann_crosspolytope, html_wrappers, media_wav, pii_semicrf, ranked_search, secret_scan, source_divergence, source_mixing
 from docgrove.llm.byte_shards import byte_shards
 from docgrove.llm.harmonic_packing import pack
 from docgrove.llm.jaccard_join import jaccard_components
@@ -64,6 +64,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.divergence(read_table(spark, sf_dir, "documents"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -80,6 +84,7 @@ QUERIES = {
     "op9_source_mixing": op9_source_mixing,
     "op10_html_wrappers": op10_html_wrappers,
     "op11_source_divergence": op11_source_divergence,
+    "op12_secret_scan": op12_secret_scan,
     "op13_ranked_search": op13_ranked_search,
 }
 
