@@ -34,7 +34,7 @@ from docgrove.llm.words import text_column, word_hashes
 LEAST_DOCS, TOP = 10, 10
 SCALE = 1_000_000_000
 #: Memory of a block before it is spilled, bytes of text taken at once, postings of a chunk and of a merge step.
-BLOCK_BYTES, SLICE_BYTES, CHUNK, MERGE = 48 << 20, 1 << 20, 1 << 13, 1 << 18
+BLOCK_BYTES, SLICE_BYTES, CHUNK, MERGE = 24 << 20, 1 << 20, 1 << 13, 1 << 18
 #: Postings of a slice of kept terms, and (posting, posting) corrections taken at once.
 SLICE_POSTINGS, PAIRS = 1 << 18, 1 << 20
 
@@ -44,7 +44,7 @@ _CHUNK = "shard int, lang string, first binary, last binary, terms array<binary>
 
 def _summed(parts: list[pa.Table], keys: list[str]) -> pa.Table:
     """`parts` with tf and df added up over equal keys."""
-    added = pa.concat_tables(parts).combine_chunks().group_by(keys).aggregate([("tf", "sum"), ("df", "sum")])
+    added = pa.concat_tables(parts).combine_chunks().group_by(keys, use_threads=False).aggregate([("tf", "sum"), ("df", "sum")])
     return added.rename_columns([c.removesuffix("_sum") for c in added.column_names])
 
 
@@ -114,6 +114,7 @@ class _Block:
             *[_lists(x, edges) for x in (terms, sources, run["tf"], run["df"])],
         ]
         self.groups, self.parts, self.bytes = {}, [], 0
+        pa.default_memory_pool().release_unused()
         run = pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _CHUNK.split(", ")])
         for i in range(0, run.num_rows, 64):
             yield run.slice(i, 64)
@@ -159,6 +160,7 @@ def _merged(runs: DataFrame, shards: int, least_docs: int) -> DataFrame:
         def cut(bound):
             """Take out all before `bound` (None: everything)."""
             nonlocal open_, pool
+            pa.default_memory_pool().release_unused()
             done = []
             while open_ and (bound is None or open_[0][0] < bound):
                 done.append(heapq.heappop(open_)[2])
@@ -185,6 +187,8 @@ def _merged(runs: DataFrame, shards: int, least_docs: int) -> DataFrame:
                 part = pa.table([batch[c][i].values for c in ("terms", "sources", "tf", "df")], names=names)
                 heapq.heappush(open_, (last, number, part))
                 number, pool = number + 1, pool + part.num_rows
+            # A copy of what is still open lets go of the batch it came in.
+            open_ = [(last, n, part.take(pa.array(np.arange(part.num_rows)))) for last, n, part in open_]
         found = cut(None)
         if found is not None:
             yield found
