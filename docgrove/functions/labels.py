@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,43 +16,6 @@ FOLDER_LEVELS = 3
 EXACT, CONTAINED, LAST_LEVEL, FALLBACK = 0, 1, 2, 3
 
 
-def match_label(answer: Column, paths: Column) -> Column:
-    """Struct `(path, tier)` for a cleaned answer.
-
-    `paths` is the array of all label paths in pre-order, so the first element that passes a test is
-    the first match. The tests are tried in turn: equal to a path; inside a path or around one; the
-    last level of the answer is the last level of a path. Otherwise, and for a blank answer, `Others`.
-    This needs no join: every row is matched where it is.
-    """
-
-    others = F.lit(OTHERS)
-
-    def found(path: Column, tier: int) -> Column:
-        return F.struct(path.alias("path"), F.lit(tier).alias("tier"))
-
-    def first(test: Callable[[Column], Column], tier: int) -> Column:
-        return F.get(F.transform(F.filter(paths, test), lambda p: found(p, tier)), F.lit(0))
-
-    def by_last_level(last: Column) -> Column:
-        return first(lambda p: (p == last) | p.endswith(F.concat(F.lit(SEPARATOR), last)), LAST_LEVEL)
-
-    def matched(a: Column) -> Column:
-        return (
-            F.when(a.isNull(), F.lit(None))
-            .when(a == "", found(others, FALLBACK))
-            .when((a == OTHERS) | F.array_contains(paths, a), found(a, EXACT))
-            .otherwise(
-                F.coalesce(
-                    first(lambda p: p.contains(a) | a.contains(p), CONTAINED),
-                    once(F.element_at(F.split(a, SEPARATOR), -1), by_last_level),
-                    found(others, FALLBACK),
-                )
-            )
-        )
-
-    return once(answer, matched)
-
-
 def path_parts(path: Column) -> Column:
     """Labels of a path from the root down; `Others` for an empty path."""
     return F.when(path == "", F.array(F.lit(OTHERS))).otherwise(F.transform(F.split(path, SEPARATOR), strip))

@@ -87,3 +87,9 @@ def clean_response(raw: Column) -> Column:
         return F.when(a.contains("\n"), strip(F.substring_index(a, "\n", 1))).otherwise(a)
 
     return once(once(answer, unlabelled), first_line)
+
+
+def annotated_body(tag_line: Column, content: Column) -> Column:
+    """A body under its tag line; null without a tag line."""
+    line = F.coalesce(tag_line, F.lit(""))
+    return F.when(line != "", F.concat(line, F.lit("\n"), F.coalesce(content, F.lit(""))))

@@ -9,13 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docgrove import schemas
-from docgrove.functions.labels import match_label, path_parts, tag_json
+from docgrove.functions.labels import path_parts, tag_json
 from docgrove.functions.text import clean_response, prepare_text, request_filler
+from docgrove.operators.matching import match_answers
 
 # Called in each task to make the client; the client gets a document key and a request, and answers. A client with a
 # method `answer_all` gets lists of keys and requests instead and returns a list: an answer, or the exception, for each.
 Provider = Callable[[], Callable[[str, str], str | None]]
 
+#: Requests of a list at most, and their bytes.
+BATCH_REQUESTS, BATCH_BYTES = 256, 4 << 20
+
 
 def cache_lookup(docs: DataFrame, cache: DataFrame, version: Column | str) -> DataFrame:
     """`docs` (with `obj_key`, `content_hash`) plus `cached_path`, null unless document, body and label
@@ -50,26 +54,53 @@ def _one_by_one(model: Callable[[str, str], str | None]) -> Callable[[list[str],
     return answer_all
 
 
+def _isolated(ask: Callable[[list[str], list[str]], list], keys: list[str], requests: list[str]) -> list:
+    """Answers to a batch. A batch that fails as a whole, or comes back with another number of answers, is asked again in
+    halves until the request at fault stands alone: k of n cost about k * log2(n) calls more."""
+    try:
+        answers = list(ask(keys, requests))
+        if len(answers) == len(keys):
+            return answers
+        failure: Exception = ValueError(f"{len(answers)} answers to {len(keys)} requests")
+    except Exception as raised:
+        failure = raised
+    if len(keys) == 1:
+        return [failure]
+    half = len(keys) // 2
+    return _isolated(ask, keys[:half], requests[:half]) + _isolated(ask, keys[half:], requests[half:])
+
+
+def _batches(requests: Iterator[tuple[str, str]]) -> Iterator[tuple[list[str], list[str]]]:
+    """Keys and requests in batches of at most BATCH_REQUESTS and about BATCH_BYTES; a longer request is a batch of its own."""
+    keys, texts, size = [], [], 0
+    for key, text in requests:
+        length = len(text.encode())
+        if keys and (len(keys) == BATCH_REQUESTS or size + length > BATCH_BYTES):
+            yield keys, texts
+            keys, texts, size = [], [], 0
+        keys.append(key)
+        texts.append(text)
+        size += length
+    if keys:
+        yield keys, texts
+
+
 def call_model(requests: DataFrame, provider: Provider, template: str = "{text}", **fixed: str) -> DataFrame:
-    """One answer per request; layout `schemas.ANSWERS`. A failed call is an error in its row only.
+    """One answer per request; layout `schemas.ANSWERS`. A failed call is an error in its row only, also where a provider
+    that answers lists raises for a whole list.
 
     Requests are dealt out by size, so a task is short however many there are, and a lost one repeats little. As many
     calls are in flight as tasks run at once, or as the provider allows. The template and what is `fixed` in it
-    travel with the task, not with each row.
+    travel with the task, not with each row, and a task holds one batch of filled requests at a time.
     """
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = provider()
         ask = getattr(model, "answer_all", None) or _one_by_one(model)
         fill = request_filler(template, **fixed)
-        for batch in batches:
-            keys = batch["obj_key"].tolist()
-            try:
-                answers = list(ask(keys, [fill(text) for text in batch["text"]]))
-                if len(answers) != len(keys):
-                    raise ValueError(f"{len(answers)} answers to {len(keys)} requests")
-            except Exception as failure:
-                answers = [failure] * len(keys)
+        filled = ((key, fill(text)) for batch in batches for key, text in zip(batch["obj_key"], batch["text"]))
+        for keys, texts in _batches(filled):
+            answers = _isolated(ask, keys, texts)
             failed = [isinstance(a, Exception) for a in answers]
             raw = [None if f else a for a, f in zip(answers, failed)]
             errors = [f"{type(a).__name__}: {a}" if f else None for a, f in zip(answers, failed)]
@@ -79,16 +110,16 @@ def call_model(requests: DataFrame, provider: Provider, template: str = "{text}"
     return dealt.mapInPandas(answer, schemas.ANSWERS)
 
 
-def label_answers(answers: DataFrame, paths: Column) -> DataFrame:
+def label_answers(answers: DataFrame, index: DataFrame) -> DataFrame:
     """Add the cleaned answer, its `path` in the label tree and the `match_tier`; null after an error.
 
-    A filter on `path` would match labels a second time, below; filter on `error` for those that have one."""
+    `index` is a `label_index` of the tree. `answers` are read more than once: write them before, as a run does. Each different answer is looked up once, and rows take over what was found:
+    a large answer is one large key on the side of the rows, which adaptive execution splits.
+
+    A filter on `path` would look answers up a second time, below; filter on `error` for those that have one."""
     cleaned = answers.withColumn("answer", F.when(F.col("error").isNull(), clean_response(F.col("raw_response"))))
-    # A subquery may not stand inside the functions over arrays, so it becomes a column first.
-    matched = cleaned.withColumn("paths", paths).withColumn("match", match_label(F.col("answer"), F.col("paths")))
-    return matched.select(
-        *cleaned.columns, F.col("match.path").alias("path"), F.col("match.tier").alias("match_tier")
-    )
+    found = match_answers(cleaned.select("answer"), index).withColumnRenamed("tier", "match_tier")
+    return cleaned.join(found, "answer", "left").select(*cleaned.columns, "path", "match_tier")
 
 
 def cache_rows(labelled: DataFrame, version: Column | str, at: Column | None = None) -> DataFrame:

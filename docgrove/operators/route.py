@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docgrove import scratch
 from docgrove.functions.labels import FOLDER_LEVELS, folder_parts, path_parts, tag_message
-from docgrove.functions.text import strip
+from docgrove.functions.text import annotated_body, strip
 from docgrove.operators.tree import TOP, child_map, one_row
 
 SUCCESS, FAILED, EMPTY = "success", "failed", "empty"
@@ -107,11 +107,7 @@ def tag_line(parts: Column) -> Column:
 def annotate(docs: DataFrame) -> DataFrame:
     """Add `annotated_content`, the body under its tag line; the source stays as it is. Without a tag line
     there is no annotation."""
-    line = F.col("tag_line")
-    return docs.withColumn(
-        "annotated_content",
-        F.when(F.coalesce(line, F.lit("")) != "", F.concat(line, F.lit("\n"), F.coalesce("content", F.lit("")))),
-    )
+    return docs.withColumn("annotated_content", annotated_body(F.col("tag_line"), F.col("content")))
 
 
 def run_stats(scan: DataFrame, found: DataFrame, pending: DataFrame, outcomes: DataFrame) -> DataFrame:

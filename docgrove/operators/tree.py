@@ -1,7 +1,7 @@
 """The node hierarchy: walks in breadth-first order, leaf documents, lookups by title.
 
 Only nodes with children are expanded, each once, and every other column of a walk follows from the
-parent's place. So the level loop runs over the links between inner nodes alone, a narrow and small
+parent's place. So the rounds of a walk run over the links between inner nodes alone, a narrow and small
 part of the table; the whole table is read once, in the join that attaches places to nodes.
 """
 
@@ -45,37 +45,101 @@ def walk(nodes: DataFrame, root: str | None = None, space_id: str | None = None)
 
     A node that several parents list appears once for each of them, and is expanded at its first place
     in queue order. Expanded nodes are never expanded again, so cycles end.
+
+    A node with one parent follows pointers that double in length, up to its fixed point: the start, or a node with several
+    parents. So a chain of any depth takes as many rounds as the logarithm of its length. What is not below a fixed point
+    never comes to rest: it hangs below a cycle or a parent that is not there, and is not reached. Fixed points
+    take the first of the places their parents give them, round by round; rounds go by how many of them lie below
+    each other, not by depth.
     """
     spark = nodes.sparkSession
     nodes = in_space(nodes, space_id)
     base = scratch.new_folder(spark, "walk")
-    links = scratch.stage(
-        nodes.filter("has_child and node_token <> ''").select(
-            "node_token", parent_key().alias("parent_key"), F.col("ord").cast("bigint").alias("ord")
-        ),
-        f"{base}/links",
+    start = root or TOP
+    links = (
+        nodes.filter("has_child and node_token <> ''")
+        .filter(F.col("node_token") != start)
+        .groupBy("node_token", parent_key().alias("parent_key"))
+        .agg(F.min(F.col("ord").cast("bigint")).alias("ord"))
+    )
+    links = scratch.stage(links, f"{base}/links")
+    several = scratch.stage(links.groupBy("node_token").count().filter("count > 1").select("node_token"), f"{base}/several")
+    begin = spark.range(0, 1, 1, 1).select(
+        F.lit(start).alias("parent_key"), F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("ord_path")
     )
-    start = spark.range(0, 1, 1, 1).select(
-        F.lit(root or TOP).alias("parent_key"),
-        F.lit(0).alias("depth"),
-        F.array().cast("array<bigint>").alias("ord_path"),
+    single = links.join(several, "node_token", "left_anti")
+    pointers = _to_fixed_points(single, several, start, base)
+    if several.isEmpty():
+        expanded = begin.unionByName(pointers.filter(F.col("up") == start).select(F.col("node_token").alias("parent_key"), "depth", "ord_path"))
+    else:
+        fixed = _fixed_places(links.join(several, "node_token", "left_semi"), pointers, begin, base)
+        expanded = fixed.unionByName(_below(pointers, fixed.withColumnRenamed("parent_key", "up"), "node_token"))
+    expanded = scratch.stage(expanded, f"{base}/expanded")
+    return Walk(_placed(nodes, expanded), expanded)
+
+
+def _below(steps: DataFrame, places: DataFrame, node: str) -> DataFrame:
+    """`(parent_key, depth, ord_path)` of `node`, which lies `depth` and `ord_path` below a place `up`."""
+    above = places.select("up", F.col("depth").alias("depth_above"), F.col("ord_path").alias("path_above"))
+    return steps.join(above, "up").select(
+        F.col(node).alias("parent_key"),
+        (F.col("depth_above") + F.col("depth")).alias("depth"),
+        F.concat("path_above", "ord_path").alias("ord_path"),
     )
-    level, folders = start, []
+
+
+def _to_fixed_points(single: DataFrame, several: DataFrame, start: str, base: str) -> DataFrame:
+    """`(node_token, up, depth, ord_path)` of nodes with one parent: the fixed point above them and how far it is.
+
+    Those that have arrived are written once and not moved again; the others jump to where the node they point at points.
+    Each round halves the distance left, and at least one arrives in it, unless the rest goes round in cycles."""
+    spark = single.sparkSession
+    state = single.select("node_token", F.col("parent_key").alias("up"), F.lit(1).alias("depth"), F.array("ord").alias("ord_path"))
+    ends = several.select(F.col("node_token").alias("up")).unionByName(spark.range(0, 1, 1, 1).select(F.lit(start).alias("up")))
+    state = state.join(ends.withColumn("end", F.lit(True)), "up", "left")
+    columns = ["node_token", "up", "depth", "ord_path"]
+    folders: list[str] = []
+    left = None
     while True:
-        done = spark.read.schema(start.schema).parquet(*folders) if folders else None
-        expanded = start.unionByName(done) if folders else start
-        below = (
-            links.join(level, "parent_key")
-            .groupBy(F.col("node_token").alias("parent_key"))
-            .agg(F.min(F.concat("ord_path", F.array("ord"))).alias("ord_path"))
-            .join(expanded, "parent_key", "left_anti")
-            .select("parent_key", F.lit(len(folders) + 1).alias("depth"), "ord_path")
+        folders.append(f"{base}/pointers-{len(folders)}")
+        state = scratch.stage(state.select(*columns, F.col("end").isNotNull().alias("end")), folders[-1])
+        # Every node arrives in one round, and is in no later one.
+        arrived = spark.read.schema(state.schema).parquet(*folders).filter("end")
+        waiting = state.filter("not end")
+        count = waiting.count()
+        if count == 0 or count == left:
+            return arrived.select(columns)
+        left = count
+        jumps = arrived.unionByName(waiting).select(
+            F.col("node_token").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("ord_path").alias("path2"),
+            F.when(F.col("end"), True).alias("end2"),
         )
-        folder = f"{base}/level-{len(folders) + 1}"
-        level = scratch.stage(below, folder)
-        if level.isEmpty():
-            return Walk(_placed(nodes, expanded), expanded)
-        folders.append(folder)
+        # A node whose pointer leads to no node has a parent that is not there: the inner join drops it.
+        state = waiting.join(jumps, "up").select(
+            "node_token", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"),
+            F.concat("path2", "ord_path").alias("ord_path"), F.col("end2").alias("end"),
+        )
+
+
+def _fixed_places(links: DataFrame, pointers: DataFrame, begin: DataFrame, base: str) -> DataFrame:
+    """Places of the start and of the nodes with several parents, the first in queue order. links: from these to all
+    their parents."""
+    steps = links.join(pointers.withColumnRenamed("node_token", "parent_key"), "parent_key", "left").select(
+        "node_token",
+        F.coalesce("up", "parent_key").alias("up"),
+        (F.coalesce("depth", F.lit(0)) + 1).alias("depth"),
+        F.concat(F.coalesce("ord_path", F.array().cast("array<bigint>")), F.array("ord")).alias("ord_path"),
+    )
+    steps = scratch.stage(steps, f"{base}/steps")
+    places, number = begin, 0
+    while True:
+        reached = begin.unionByName(_below(steps, places.withColumnRenamed("parent_key", "up"), "node_token"))
+        first = reached.groupBy("parent_key").agg(F.min(F.struct("depth", "ord_path")).alias("place"))
+        number += 1
+        after = scratch.stage(first.select("parent_key", "place.*"), f"{base}/places-{number}")
+        if after.exceptAll(places).isEmpty():
+            return after
+        places = after
 
 
 def _placed(nodes: DataFrame, expanded: DataFrame) -> DataFrame:

@@ -14,25 +14,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docgrove import schemas
-from docgrove.operators import classify, reading, route, tree
+from docgrove.operators import classify, matching, reading, route, tree
 from docgrove.scratch import stage
 from docgrove.sources import tables, taxonomy
 
 
 @dataclass(frozen=True)
 class Inputs:
+    """`content_parts` says that `contents` was laid out in so many parts (`tables.save_content_parts`): each commit then
+    reads the files of its own parts only."""
+
     nodes: DataFrame
     contents: DataFrame
     taxonomy: DataFrame
     provider: classify.Provider
     infos: DataFrame | None = None
+    content_parts: int = 0
 
 
 @dataclass(frozen=True)
 class Settings:
     """Where state and results go, and what the run covers. `state` keeps cache, ledger, leaf sets and node
-    snapshot. `output` gets a folder per `run_id`; a run that is repeated replaces it. `commits` is the number of parts in which answers are made and cached: a run that breaks
-    off repeats the calls of one part at most."""
+    snapshot. `output` gets a folder per `run_id`; a run that is repeated writes its tables anew, and readers see them once all
+    are there. `commits` is the number of parts in which answers are made and cached: a run that breaks off repeats the
+    calls of one part at most. After `compact_after` runs the logs of cache and ledger are merged into one part."""
 
     state: str
     output: str
@@ -51,6 +56,7 @@ class Settings:
     force: bool = False
     reuse_scan: bool = False
     add_tags: bool = True
+    compact_after: int = 20
 
 
 @dataclass(frozen=True)
@@ -61,6 +67,7 @@ class Result:
     outcomes: DataFrame
     folders: DataFrame
     routed: DataFrame
+    annotated: DataFrame
     stats: DataFrame
     classify_stats: DataFrame
 
@@ -76,6 +83,7 @@ def run(inputs: Inputs, settings: Settings) -> Result:
     )
 
     labels = stage(inputs.taxonomy, f"{folder}/labels")
+    index = stage(matching.label_index(labels), f"{folder}/label_index")
     # Fingerprint and outline of the label tree: two small texts, the same for all documents.
     version, outline = spark.range(0, 1, 1, 1).select(taxonomy.taxonomy_version(labels), taxonomy.outline(labels)).first()
 
@@ -94,7 +102,7 @@ def run(inputs: Inputs, settings: Settings) -> Result:
     reads = _with_cache(spark, settings, status, version, folder)
 
     repeated = reading.repeats(reads)
-    labelled = _answers(inputs, settings, reads, labels, version, outline, repeated, folder)
+    labelled = _answers(inputs, settings, reads, index, version, outline, repeated, folder)
     outcomes = _outcomes(reads, labelled, folder)
 
     routes = route.route_columns(outcomes.filter(F.col("status") == route.SUCCESS))
@@ -102,10 +110,8 @@ def run(inputs: Inputs, settings: Settings) -> Result:
     line = route.tag_line(F.col("parts")) if settings.add_tags else F.lit(None).cast("string")
     routed = route.route_documents(routes.withColumn("tag_line", line), folders)
     bodies = reading.attach_contents(routed, inputs.contents, how="inner", repeated=repeated)
-    tables.write_routed(
-        bodies.select("node_token", "obj_token", "title", "target_parent", "tag_line", "content", "tag1", "tag2", "tag3"),
-        f"{folder}/routed",
-    )
+    bodies = bodies.select("node_token", "obj_token", "title", "target_parent", "tag_line", "content", "tag1", "tag2", "tag3")
+    tables.write_output(bodies, f"{folder}/documents")
 
     _remember(settings, outcomes, scan_root, target_root)
     return Result(
@@ -114,7 +120,8 @@ def run(inputs: Inputs, settings: Settings) -> Result:
         leaves,
         outcomes,
         folders,
-        route.annotate(tables.read_routed(spark, f"{folder}/routed")),
+        route.annotate(tables.read_output(spark, f"{folder}/documents", tables.ROUTED)),
+        tables.read_output(spark, f"{folder}/documents", tables.ANNOTATED),
         route.run_stats(scan, found, pending, outcomes),
         classify.classify_stats(outcomes),
     )
@@ -144,23 +151,39 @@ def _with_cache(spark, settings, status, version, folder):
     return stage(classify.cache_lookup(status, cache, version), f"{folder}/reads")
 
 
-def _answers(inputs, settings, reads, labels, version, outline, repeated, folder):
+def commit_parts(inputs: Inputs, settings: Settings) -> list[list[int]]:
+    """The parts of documents each commit takes up: stored parts of the bodies where there are any."""
+    parts = inputs.content_parts or settings.commits
+    return [list(range(n, parts, settings.commits)) for n in range(min(parts, settings.commits))]
+
+
+def commit_bodies(inputs: Inputs, misses: DataFrame, parts: list[int], of: int, repeated: bool) -> DataFrame:
+    """The documents of one commit with their bodies: `parts` out of `of`. A document belongs to the part of the response it takes; in contents
+    laid out by that, the files of other parts are not read."""
+    contents = inputs.contents
+    if inputs.content_parts:
+        contents = contents.filter(F.col(tables.PART).isin(parts)).drop(tables.PART)
+    number = tables.content_part(F.col("response_id"), of)
+    return reading.attach_contents(misses.filter(number.isin(parts)), contents, how="inner", repeated=repeated)
+
+
+def _answers(inputs, settings, reads, index, version, outline, repeated, folder):
     misses = reads.filter((F.col("read_status") == reading.OK) & F.col("cached_path").isNull())
-    part = F.pmod(F.xxhash64("obj_key"), F.lit(settings.commits))
-    parts = []
-    for number in range(settings.commits):
-        bodies = reading.attach_contents(misses.filter(part == number), inputs.contents, how="inner", repeated=repeated)
+    done = []
+    for number, parts in enumerate(commit_parts(inputs, settings)):
+        bodies = commit_bodies(inputs, misses, parts, inputs.content_parts or settings.commits, repeated)
         requests = classify.model_requests(bodies)
         answers = stage(
             classify.call_model(requests, inputs.provider, settings.template, outline=outline), f"{folder}/answers/part={number}"
         )
-        labelled = classify.label_answers(answers, taxonomy.label_array(labels))
-        labelled = stage(labelled, f"{folder}/labelled/part={number}")
-        parts.append(labelled)
+        labelled = stage(classify.label_answers(answers, index), f"{folder}/labelled/part={number}")
+        done.append(labelled)
         if settings.use_cache:
             hashed = labelled.join(reads.select("obj_key", "content_hash"), "obj_key")
             tables.add_to_log(classify.cache_rows(hashed, version), f"{settings.state}/cache", settings.run_id)
-    return reduce(DataFrame.unionByName, parts)
+    if settings.use_cache:
+        tables.compact_cache(misses.sparkSession, f"{settings.state}/cache", settings.compact_after)
+    return reduce(DataFrame.unionByName, done)
 
 
 def _outcomes(reads, labelled, folder):
@@ -175,3 +198,4 @@ def _remember(settings, outcomes, scan_root, target_root):
     if settings.use_ledger:
         done = tables.ledger_rows(outcomes.filter(F.col("status") == route.SUCCESS), scan_root, target_root)
         tables.add_to_log(done, f"{settings.state}/ledger", settings.run_id, replace=True)
+        tables.compact_ledger(done.sparkSession, f"{settings.state}/ledger", settings.compact_after)

@@ -54,3 +54,4 @@ ROUTED = """
     node_token STRING, obj_token STRING, title STRING, target_parent STRING, tag_line STRING, content STRING,
     tag1 STRING, tag2 STRING, tag3 STRING
 """
+ANNOTATED = "node_token STRING, obj_token STRING, title STRING, tag_line STRING, annotated_content STRING"

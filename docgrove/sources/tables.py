@@ -1,7 +1,8 @@
 """State kept between runs as parquet: logs, versioned tables, leaf sets, run outputs.
 
 Parquet has no merge. The cache and the ledger are logs: a run adds a part with its new rows only, and
-readers take the newest row of a key. The node snapshot, where most rows are renewed by each scan, is
+readers take the newest row of a key. From time to time a log is merged into a base part with one row per key, the next
+version of the base; parts added later are kept by the base they came after. The node snapshot, where most rows are renewed by each scan, is
 upserted into the next version of the table, in a folder of its own; so are leaf sets. A version counts once a row
 in the table `finished` beside it names it, which is written after all of it. Either way nothing is overwritten
 while it is read, and an interrupted write leaves the earlier state in place.
@@ -10,6 +11,7 @@ while it is read, and an interrupted write leaves the earlier state in place.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +19,12 @@ from pyspark.sql import functions as F
 
 from docgrove import schemas
 from docgrove.functions.labels import path_from_tags
+from docgrove.functions.text import annotated_body
+
+#: Column of the part in laid-out contents, folder of a log's merged rows, and the two tables of an output.
+PART = "content_part"
+BASE = "base"
+ROUTED, ANNOTATED = "routed", "annotated"
 
 
 def _part(path: str, **keys: str) -> str:
@@ -37,18 +45,75 @@ def _read(spark: SparkSession, path: str, schema: str | None = None) -> DataFram
 
 
 def add_to_log(df: DataFrame, path: str, run_id: str, replace: bool = False) -> None:
-    """Add rows to the part of a run, or replace that part."""
-    df.write.mode("overwrite" if replace else "append").parquet(_part(path, run=run_id))
+    """Add rows to the part of a run, or replace that part; what the base has of a replaced run counts no more."""
+    spark = df.sparkSession
+    base = current_version(spark, f"{path}/{BASE}")
+    df.write.mode("overwrite" if replace else "append").parquet(_part(_added(path, base), run=run_id))
+    if replace and base:
+        spark.range(0, 1, 1, 1).select(F.lit(run_id).alias("run")).write.mode("append").parquet(_replaced(path, base))
+
+
+def _added(path: str, base: int) -> str:
+    """Where parts go that are newer than this base."""
+    return f"{path}/since={base:06d}"
+
+
+def _replaced(path: str, base: int) -> str:
+    return f"{path}/replaced/{base:06d}"
+
+
+def _log_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All rows of a log with the run they come from: the newest base, and the parts added since. Runs that were replaced
+    since stand in the base no more."""
+    base = current_version(spark, f"{path}/{BASE}")
+    schema = f"{schema}, run STRING"
+    found = []
+    if base:
+        found.append(spark.read.schema(schema).parquet(f"{path}/{BASE}/version={base:06d}"))
+    parts = _read(spark, _added(path, base), schema)
+    if parts is not None:
+        found.append(parts)
+    replaced = _read(spark, _replaced(path, base), "run STRING")
+    if base and replaced is not None:
+        found[0] = found[0].join(replaced.distinct(), "run", "left_anti").select(found[0].columns)
+    if not found:
+        return spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, found)
 
 
 def read_log(spark: SparkSession, path: str, schema: str, without_run: str | None = None) -> DataFrame:
     """All rows of a log, without those of one run if named."""
-    rows = _read(spark, path, f"{schema}, run STRING")
-    if rows is None:
-        return spark.createDataFrame([], schema)
+    rows = _log_rows(spark, path, schema)
     return (rows.filter(F.col("run") != without_run) if without_run else rows).drop("run")
 
 
+def added_parts(spark: SparkSession, path: str) -> int:
+    """How many runs have added to a log since its newest base. Reads names of folders only."""
+    added = _read(spark, _added(path, current_version(spark, f"{path}/{BASE}")))
+    return 0 if added is None else added.select("run").distinct().count()
+
+
+def compact_log(spark: SparkSession, path: str, schema: str, keys: list[str], newest: str) -> int:
+    """Merge a log into a new base with the newest row of each key. The base counts once its mark is written, and parts added
+    from then on go to a folder of their own: whatever breaks off, readers see the rows from before or from after, which
+    say the same. Not for use while a run is adding to the log."""
+    rows = _log_rows(spark, path, schema)
+    others = F.struct(*[F.col(c) for c in rows.columns if c not in keys])
+    kept = rows.groupBy(*keys).agg(F.max_by(others, F.struct(newest, "run")).alias("row")).select(*keys, "row.*")
+    return write_next(kept.select(rows.columns), f"{path}/{BASE}")
+
+
+def compact_cache(spark: SparkSession, path: str, after: int) -> None:
+    """Merge the cache's log if at least `after` runs have added to it; 0 never does."""
+    if after and added_parts(spark, path) >= after:
+        compact_log(spark, path, schemas.CACHE, ["obj_token"], "updated_at")
+
+
+def compact_ledger(spark: SparkSession, path: str, after: int) -> None:
+    if after and added_parts(spark, path) >= after:
+        compact_log(spark, path, schemas.LEDGER, ["node_token", "scan_root"], "processed_at")
+
+
 def latest(rows: DataFrame, key: str, newest: Column) -> DataFrame:
     """One row per key, the one that is greatest in `newest`. Rows meet in partial aggregates, so a key that
     is repeated very often does not fill one task."""
@@ -75,10 +140,14 @@ def write_next(df: DataFrame, path: str) -> int:
     spark = df.sparkSession
     version = current_version(spark, path) + 1
     df.write.mode("overwrite").parquet(f"{path}/version={version:06d}")
-    spark.range(0, 1, 1, 1).select(F.lit(version).alias("version")).write.mode("append").parquet(f"{path}/finished")
+    _mark(spark, path, version)
     return version
 
 
+def _mark(spark: SparkSession, path: str, version: int) -> None:
+    spark.range(0, 1, 1, 1).select(F.lit(version).alias("version")).write.mode("append").parquet(f"{path}/finished")
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, newest: Column) -> DataFrame:
     """`old` with the rows of `new` in place of those with the same key; of several new rows for a key the
     newest counts."""
@@ -108,6 +177,18 @@ def save_contents(contents: DataFrame, table: str, buckets: int) -> None:
     laid_out.bucketBy(buckets, "doc_id").sortBy("doc_id").saveAsTable(table)
 
 
+def content_part(doc_id: Column, parts: int) -> Column:
+    """The part of the bodies an id belongs to; no id belongs to the first."""
+    return F.coalesce(F.pmod(F.xxhash64(doc_id), F.lit(parts)), F.lit(0)).cast("int")
+
+
+def save_content_parts(contents: DataFrame, path: str, parts: int) -> None:
+    """Contents in a folder for each part, so that a run in several commits reads each body in one of them. A document with
+    very many responses is one large key of one part: rebalancing writes that part by several tasks."""
+    laid_out = contents.withColumn(PART, content_part(F.col("doc_id"), parts)).hint("rebalance", PART)
+    laid_out.write.mode("overwrite").partitionBy(PART).parquet(path)
+
+
 def save_leaf_set(leaves: DataFrame, path: str, space_id: str, scan_root: str) -> None:
     """Keep the result of a finished walk as the next version for its root; other roots are not touched."""
     write_next(leaves, _part(path, space_id=space_id, scan_root=scan_root))
@@ -170,20 +251,35 @@ def processed_nodes(ledger: DataFrame, scan_root: str | None, enabled: bool = Tr
     return ledger.filter(F.col("scan_root").eqNullSafe(F.lit(scan_root))).select("node_token")
 
 
-def write_routed(routed: DataFrame, path: str) -> None:
-    """Routed documents, partitioned by their folder labels.
+def annotated_sources(routed: DataFrame) -> DataFrame:
+    """The source documents with their tag lines before their bodies; those without a tag line are not annotated."""
+    annotated = routed.withColumn("annotated_content", annotated_body(F.col("tag_line"), F.col("content")))
+    return annotated.filter("annotated_content is not null").select("node_token", "obj_token", "title", "tag_line", "annotated_content")
+
 
-    The rebalance hint lets adaptive execution split a label that holds much of the data over many
-    writers, and merge small labels, to files of the advisory size. A repeated run replaces its folder.
+def write_output(bodies: DataFrame, path: str) -> int:
+    """Routed documents (`schemas.ROUTED`) and annotated sources (`schemas.ANNOTATED`), in the folder of a new attempt. Both
+    become visible by one mark, written last: a run that breaks off leaves the output of the attempt before.
+
+    Routed documents are partitioned by their folder labels. The rebalance hint lets adaptive execution split a label that
+    holds much of the data over many writers, and merge small labels, to files of the advisory size. What is annotated is
+    made of the routed documents as they were written, so bodies are joined once.
     """
-    (
-        routed.hint("rebalance", "tag1", "tag2", "tag3")
-        .write.mode("overwrite")
-        .partitionBy("tag1", "tag2", "tag3")
-        .parquet(path)
-    )
+    spark = bodies.sparkSession
+    version = current_version(spark, path) + 1
+    folder = f"{path}/version={version:06d}"
+    dealt = bodies.hint("rebalance", "tag1", "tag2", "tag3")
+    dealt.write.mode("overwrite").partitionBy("tag1", "tag2", "tag3").parquet(f"{folder}/{ROUTED}")
+    routed = spark.read.schema(schemas.ROUTED).parquet(f"{folder}/{ROUTED}")
+    annotated_sources(routed).write.mode("overwrite").parquet(f"{folder}/{ANNOTATED}")
+    _mark(spark, path, version)
+    return version
 
 
-def read_routed(spark: SparkSession, path: str) -> DataFrame:
-    """All routed documents."""
-    return spark.read.schema(schemas.ROUTED).parquet(path)
+def read_output(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """All `ROUTED` or `ANNOTATED` documents of the newest finished attempt; none before the first."""
+    schema = {ROUTED: schemas.ROUTED, ANNOTATED: schemas.ANNOTATED}[kind]
+    version = current_version(spark, path)
+    if version == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/version={version:06d}/{kind}")

@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from docgrove.functions import labels
-from docgrove.operators import classify
+from docgrove.operators import classify, matching
 from docgrove.sources import taxonomy
 from workload import rules, views
 
@@ -51,7 +51,7 @@ def _best(answer, paths):
 
 def _matched(spark, answers, tree_rows):
     rows = spark.createDataFrame([(str(n), a, None) for n, a in enumerate(answers)], "obj_key string, raw_response string, error string")
-    found = classify.label_answers(rows, taxonomy.label_array(tree_rows))
+    found = classify.label_answers(rows, matching.label_index(tree_rows))
     return found.orderBy(F.col("obj_key").cast("int")).collect()
 
 
@@ -135,7 +135,7 @@ def test_match_equals_brute_force(spark):
 
 
 def test_fixture_answers(spark, sf):
-    found = classify.label_answers(views.raw_responses(spark, sf), taxonomy.label_array(views.labels(spark)))
+    found = classify.label_answers(views.raw_responses(spark, sf), views.label_index(spark))
     rows = found.collect()
     assert {r["path"] for r in rows if r["error"] is None} <= set(rules.LABELS)
     assert all(r["path"] is None for r in rows if r["error"])
@@ -143,7 +143,8 @@ def test_fixture_answers(spark, sf):
 
 def test_failed_answer_has_no_label(spark):
     rows = spark.createDataFrame([("a", None, "TimeoutError: "), ("b", None, None)], "obj_key string, raw_response string, error string")
-    got = {r["obj_key"]: r["path"] for r in classify.label_answers(rows, F.array(F.lit("A"), F.lit("Others"))).collect()}
+    index = matching.label_index(taxonomy.from_paths(spark.createDataFrame([(0, "A"), (1, "Others")], "ord int, path string")))
+    got = {r["obj_key"]: r["path"] for r in classify.label_answers(rows, index).collect()}
     assert got == {"a": None, "b": "Others"}
 
 
@@ -162,3 +163,20 @@ def test_a_tree_may_have_any_size(spark):
     rows = spark.range(3000).selectExpr("id ord", "'label ' || id || repeat('x', 3000) path")
     loaded = taxonomy.from_paths(rows)
     assert spark.range(1).select(F.size(taxonomy.label_array(loaded))).first()[0] == 3000
+
+
+def test_large_tree_and_many_answers(spark, tmp_path):
+    """100,000 paths and 10,000 different answers of every kind, held against plain lookups where these are cheap."""
+    rows = spark.range(100_000).selectExpr("id ord", "'area ' || id % 50 || ' -> topic ' || id % 5000 || ' -> item ' || id || 'x' path")
+    matching.label_index(taxonomy.from_paths(rows)).write.parquet(f"{tmp_path}/index")
+    index = spark.read.parquet(f"{tmp_path}/index")
+    asked = spark.range(10_000).selectExpr(
+        "cast(id AS string) obj_key", "cast(null AS string) error",
+        """CASE id % 5 WHEN 0 THEN 'area ' || id % 50 || ' -> topic ' || id % 5000 || ' -> item ' || id || 'x'
+                       WHEN 1 THEN 'item ' || id || 'x' WHEN 2 THEN 'see area ' || id % 50 || ' -> topic ' || id % 5000 || ' -> item ' || id || 'x !'
+                       WHEN 3 THEN 'no such -> item ' || id || 'x' ELSE 'none ' || id END raw_response""",
+    )
+    found = classify.label_answers(asked, index).groupBy(F.col("obj_key").cast("int") % 5, "match_tier").count().collect()
+    assert sorted(tuple(r) for r in found) == [(0, 0, 2000), (1, 1, 2000), (2, 1, 2000), (3, 2, 2000), (4, 3, 2000)]
+    right = classify.label_answers(asked, index).filter("match_tier < 3 and not path like '%item ' || obj_key || 'x'").count()
+    assert right == 0

@@ -25,20 +25,21 @@ def test_nothing_is_filtered_after_the_model(spark, sf):
     docs = views.table(spark, sf, "documents").select(
         F.expr(rules.DOC_OBJECT).alias("obj_key"), F.lit("t").alias("title"), F.col("text").alias("content")
     )
-    answers = classify.call_model(classify.model_requests(reading.nonblank(docs)), stub_provider)
-    plan = _plan(classify.label_answers(answers, taxonomy.label_array(views.labels(spark))))
+    plan = _plan(classify.call_model(classify.model_requests(reading.nonblank(docs)), stub_provider))
     assert plan.count("MapInPandas") == 1
     assert "Filter" not in _nodes_above(plan, "MapInPandas")
     assert "Filter" in plan[plan.index("MapInPandas"):]
     assert "REBALANCE_PARTITIONS_BY_COL" in plan and "REPARTITION_BY_NUM" not in plan
 
 
-def test_labels_are_matched_without_join_or_shuffle(spark, sf):
-    found = classify.label_answers(views.raw_responses(spark, sf), taxonomy.label_array(views.labels(spark)))
+def test_no_answer_is_compared_with_all_labels(spark, sf, tmp_path):
+    """Answers are made distinct before they are looked up, and each lookup is a join on a key of the index."""
+    views.label_index(spark).write.parquet(f"{tmp_path}/index")
+    found = classify.label_answers(views.raw_responses(spark, sf), spark.read.parquet(f"{tmp_path}/index"))
     plan = _plan(found.select("obj_key", "path"))
-    # The subquery that makes the label array is printed below its node; the rest has one scan and no exchange.
-    outside = "\n".join(line for line in plan.splitlines() if ":" not in line.split("(")[0])
-    assert "Join" not in outside and "Exchange" not in outside
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    assert len(re.findall(r"keys=\[answer#\d+\], functions=\[\]", plan)) >= 2
+    assert not re.search(r"filter\(|collect_list", plan)
 
 
 def test_bodies_are_not_shuffled_to_decide_what_to_read(spark, sf):
@@ -114,11 +115,11 @@ def test_large_label_is_written_by_several_tasks(spark, tmp_path):
     before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "600k")
     try:
-        tables.write_routed(routed, f"{tmp_path}/routed")
+        tables.write_output(routed, f"{tmp_path}/out")
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
-    assert len(glob.glob(f"{tmp_path}/routed/tag1=hot/*/*/*.parquet")) > 1
-    assert tables.read_routed(spark, f"{tmp_path}/routed").count() == 60_000
+    assert len(glob.glob(f"{tmp_path}/out/version=000001/routed/tag1=hot/*/*/*.parquet")) > 1
+    assert tables.read_output(spark, f"{tmp_path}/out", tables.ROUTED).count() == 60_000
 
 
 def test_bodies_in_buckets_stay_where_they_are(spark, sf):

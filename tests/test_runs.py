@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docgrove import schemas
 from docgrove.operators import tree
-from docgrove.plans.run import Inputs, Settings, run
+from docgrove.plans.run import Inputs, Settings, commit_bodies, commit_parts, run
 from docgrove.sources import tables, taxonomy
 
 NODE = "node_token string, parent_node_token string, title string, obj_type string, obj_token string, has_child boolean, node_type string, url string, ord bigint"
@@ -94,6 +94,8 @@ def test_first_run(spark, start, tmp_path):
     }
     assert result.classify_stats.first().asDict() == {"total": 5, "ok": 4, "failed": 1, "cached": 0, "empty": 1}
     routed = {r["node_token"]: r for r in result.routed.collect()}
+    annotated = {r["node_token"]: r["annotated_content"] for r in result.annotated.collect()}
+    assert annotated == {n: r["annotated_content"] for n, r in routed.items()}
     assert (routed["K1"]["tag1"], routed["K1"]["tag2"], routed["K1"]["tag3"]) == ("Radio", "007", None)
     assert (routed["K2"]["tag2"], routed["K2"]["tag3"]) == ("A/B & 标签", "Deep")
     assert routed["K2"]["tag_line"] == "| Tag1: Radio | Tag2: A/B & 标签 | Tag3: Deep | Tag4: Deeper"
@@ -181,6 +183,7 @@ def test_parts_and_options(start, tmp_path):
     assert _calls(tmp_path) == ["D1", "D2", "D3", "D5", "K6"]
     assert {r["tag_line"] for r in result.routed.collect()} == {None}
     assert {r["annotated_content"] for r in result.routed.collect()} == {None}
+    assert result.annotated.count() == 0
 
 
 def test_missing_root_is_an_error(start):
@@ -286,3 +289,133 @@ def test_a_client_may_answer_lists(spark):
 
     got = {r["obj_key"]: (r["raw_response"], r["error"]) for r in classify.call_model(requests, Client, "<{text}>").collect()}
     assert got == {"a": ("a:<1>", None), "b": (None, "ValueError: no"), "c": ("c:<3>", None)}
+
+
+def _files_read(df):
+    """Runs `df`; how many files its scans opened, by the metrics of the plan that ran."""
+    df.write.format("noop").mode("overwrite").save()
+    plan = df._jdf.queryExecution()
+    df._jdf.collectAsList()
+    found, todo = 0, [plan.executedPlan()]
+    while todo:
+        node = todo.pop()
+        inner = [node.finalPhysicalPlan()] if node.nodeName() == "AdaptiveSparkPlan" else []
+        inner += [node.plan()] if "QueryStage" in node.getClass().getSimpleName() else []
+        children = node.children()
+        todo += inner + [children.apply(i) for i in range(children.size())]
+        if node.nodeName().startswith("Scan parquet") and "content" in node.output().toString():
+            found += node.metrics().apply("numFiles").value()
+    return found
+
+
+def test_bodies_are_read_once_over_all_commits(spark, tmp_path):
+    rows = spark.range(400).selectExpr("'D' || id doc_id", "0 code", "'body ' || id content")
+    tables.save_content_parts(rows, f"{tmp_path}/contents", 8)
+    contents = spark.read.parquet(f"{tmp_path}/contents")
+    whole = sum(f.endswith(".parquet") for f in contents.inputFiles())
+    reads = spark.range(400).selectExpr("'D' || id obj_key", "'K' || id node_token", "'D' || id response_id", "0L response_attempt")
+    inputs, settings = Inputs(None, contents, None, None, content_parts=8), Settings("", "", "1", commits=4)
+    parts = commit_parts(inputs, settings)
+    assert sorted(p for some in parts for p in some) == list(range(8)) and len(parts) == 4
+    bodies = [commit_bodies(inputs, reads, some, 8, False) for some in parts]
+    assert sorted(r["content"] for b in bodies for r in b.collect()) == sorted(f"body {n}" for n in range(400))
+    assert sum(map(_files_read, bodies)) == whole > 4
+    assert commit_parts(Inputs(None, None, None, None, content_parts=3), settings) == [[0], [1], [2]]
+    assert commit_parts(Inputs(None, None, None, None), settings) == [[0], [1], [2], [3]]
+
+
+def test_run_over_laid_out_contents(spark, tmp_path):
+    tables.save_content_parts(_contents(spark), f"{tmp_path}/contents", 5)
+    labels = taxonomy.from_paths(spark.createDataFrame(list(enumerate(PATHS)), "ord int, path string"))
+    inputs = Inputs(_nodes(spark), spark.read.parquet(f"{tmp_path}/contents"), labels, _provider(tmp_path), content_parts=5)
+    result = run(inputs, Settings(f"{tmp_path}/state", f"{tmp_path}/output", "1", scan_name="Root", target_name="Target", commits=3))
+    assert _calls(tmp_path) == ["D1", "D2", "D3", "D5", "K6"]
+    assert sorted(r["node_token"] for r in result.routed.collect()) == ["K1", "K2", "K3"]
+
+
+def test_one_failing_request_fails_alone(spark):
+    from docgrove.operators import classify
+
+    class Client:
+        def answer_all(self, keys, requests):
+            if "7" in keys:
+                raise ConnectionError("7")
+            return requests[:-1] if "40" in keys else requests  # and one that loses an answer
+
+    requests = spark.range(64).selectExpr("cast(id AS string) obj_key", "'r' || id text").coalesce(1)
+    got = {r["obj_key"]: (r["raw_response"], r["error"]) for r in classify.call_model(requests, Client).collect()}
+    assert got.pop("7") == (None, "ConnectionError: 7")
+    assert got.pop("40") == (None, "ValueError: 0 answers to 1 requests")
+    assert got == {str(n): (f"r{n}", None) for n in range(64) if n not in (7, 40)}
+
+
+def test_batches_are_bounded_in_bytes_and_number():
+    from docgrove.operators import classify
+
+    sizes = [classify.BATCH_BYTES // 2, classify.BATCH_BYTES // 2, 1, 2 * classify.BATCH_BYTES, *[1] * 300]
+    batches = [[len(t) for t in texts] for _, texts in classify._batches((str(n), "x" * size) for n, size in enumerate(sizes))]
+    assert [s for b in batches for s in b] == sizes
+    assert [len(b) for b in batches] == [2, 1, 1, 256, 44]
+
+
+LOG = "k string, v string, at int"
+
+
+def test_logs_are_merged_into_a_base(spark, tmp_path):
+    path = f"{tmp_path}/log"
+    for n in range(6):
+        tables.add_to_log(spark.createDataFrame([("a", f"a{n}", n), (f"k{n}", "x", n)], LOG), path, str(n))
+    assert tables.added_parts(spark, path) == 6
+    before = sorted(map(tuple, tables.latest(tables.read_log(spark, path, LOG), "k", F.col("at")).collect()))
+    # Broken off before its mark: nothing changes.
+    spark.createDataFrame([("a", "half", 9, "0")], f"{LOG}, run string").write.parquet(f"{path}/base/version=000001")
+    assert sorted(map(tuple, tables.latest(tables.read_log(spark, path, LOG), "k", F.col("at")).collect())) == before
+    tables.compact_log(spark, path, LOG, ["k"], "at")
+    assert tables.read_log(spark, path, LOG).count() == 7 and tables.added_parts(spark, path) == 0
+    assert sorted(map(tuple, tables.latest(tables.read_log(spark, path, LOG), "k", F.col("at")).collect())) == before
+    tables.add_to_log(spark.createDataFrame([("b", "new", 7)], LOG), path, "7")
+    files = tables.read_log(spark, path, LOG).inputFiles()
+    assert {f.split("/log/")[1].rsplit("/", 1)[0] for f in files} == {"base/version=000001", "since=000001/run=7"}
+    assert tables.read_log(spark, path, LOG).count() == 8
+    assert tables.read_log(spark, path, LOG, without_run="7").count() == 7
+
+
+def test_replaced_run_leaves_the_base(spark, tmp_path):
+    path = f"{tmp_path}/log"
+    for n in (1, 2):
+        tables.add_to_log(spark.createDataFrame([(f"k{n}", "first", n), (f"m{n}", "first", n)], LOG), path, str(n), replace=True)
+    tables.compact_log(spark, path, LOG, ["k"], "at")
+    tables.add_to_log(spark.createDataFrame([("k1", "again", 3)], LOG), path, "1", replace=True)
+    assert sorted(map(tuple, tables.read_log(spark, path, LOG).collect())) == [("k1", "again", 3), ("k2", "first", 2), ("m2", "first", 2)]
+    assert tables.read_log(spark, path, LOG, without_run="1").count() == 2
+    tables.compact_log(spark, path, LOG, ["k"], "at")
+    assert sorted(map(tuple, tables.read_log(spark, path, LOG).collect())) == [("k1", "again", 3), ("k2", "first", 2), ("m2", "first", 2)]
+
+
+def test_runs_merge_their_logs(spark, start, tmp_path):
+    for n in range(3):
+        start(str(n), force=True, compact_after=2)
+    _calls(tmp_path)
+    assert tables.current_version(spark, f"{tmp_path}/state/ledger/base") == 1
+    assert _status(start("next")) == {"K4": "empty", "K5": "failed", "K6": "failed"}
+    assert _calls(tmp_path) == ["D5"]
+
+
+def test_output_broken_off_leaves_the_earlier_one(spark, tmp_path, monkeypatch):
+    row = ("n", "o", "t", "p", "line", "body", "A", None, None)
+    bodies = spark.createDataFrame([row], schemas.ROUTED)
+    path = f"{tmp_path}/out"
+    assert tables.read_output(spark, path, tables.ROUTED).count() == 0
+    tables.write_output(bodies, path)
+    open_before = tables.read_output(spark, path, tables.ROUTED)
+    changed = bodies.withColumn("content", F.lit("changed")).unionByName(bodies.withColumn("tag_line", F.lit(None).cast("string")))
+    with monkeypatch.context() as broken:
+        broken.setattr(tables, "annotated_sources", lambda routed: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            tables.write_output(changed, path)
+    assert [r["content"] for r in tables.read_output(spark, path, tables.ROUTED).collect()] == ["body"]
+    assert [r["annotated_content"] for r in tables.read_output(spark, path, tables.ANNOTATED).collect()] == ["line\nbody"]
+    tables.write_output(changed, path)
+    assert [r["content"] for r in open_before.collect()] == ["body"]
+    assert sorted(r["content"] for r in tables.read_output(spark, path, tables.ROUTED).collect()) == ["body", "changed"]
+    assert [tuple(r) for r in tables.read_output(spark, path, tables.ANNOTATED).collect()] == [("n", "o", "t", "line", "line\nchanged")]

@@ -79,10 +79,28 @@ def test_one_of_several_spaces(spark):
     assert tree.walk(both, space_id="2").rows.count() == 1
 
 
-def test_deep_chain(spark):
-    rows = [(f"n{n}", f"n{n - 1}" if n else None, "t", "docx", "o", n < 30, 0) for n in range(31)]
-    rows = tree.leaf_documents(tree.walk(_nodes(spark, rows), "n0").rows).collect()
-    assert [(r["node_token"], r["depth"]) for r in rows] == [("n30", 30)]
+@pytest.mark.parametrize("depth", [30, 5000])
+def test_deep_chain(spark, monkeypatch, depth):
+    """Rounds grow with the logarithm of the depth."""
+    rounds, stage = [], tree.scratch.stage
+    monkeypatch.setattr(tree.scratch, "stage", lambda df, folder: rounds.append(folder) or stage(df, folder))
+    rows = [(f"n{n}", f"n{n - 1}" if n else None, "t", "docx", "o", n < depth, 0) for n in range(depth + 1)]
+    leaves = tree.leaf_documents(tree.walk(_nodes(spark, rows), "n0").rows).select("node_token", "depth").collect()
+    assert [tuple(r) for r in leaves] == [(f"n{depth}", depth)]
+    assert sum("/pointers-" in r for r in rounds) < 20
+
+
+def test_cycles_and_missing_parents_beside_a_chain(spark):
+    """Nodes that hang below a cycle, or below a parent that is not there, are not reached, however long the chain beside."""
+    rows = [(f"n{n}", f"n{n - 1}" if n else None, "t", "docx", "o", True, n) for n in range(70)]
+    rows += [(f"c{n}", f"c{(n + 1) % 3}", "t", "docx", "o", True, n) for n in range(3)]
+    rows += [("hang", "c0", "t", "docx", "o", True, 0), ("low", "hang", "t", "docx", "o", False, 0), ("lost", "nowhere", "t", "docx", "o", True, 0)]
+    rows += [("n69", "c1", "t", "docx", "o", True, 5), ("n3", "n60", "t", "docx", "o", True, 5)]
+    for root in (None, "n0", "n10", "c0", "nowhere"):
+        walked = tree.walk(_nodes(spark, rows), root)
+        expected, expanded = _queue_walk(rows, root)
+        got = walked.rows.orderBy("depth", "ord_path").select("node_token", "parent_node_token").collect()
+        assert [tuple(r) for r in got] == [(r[0], r[1]) for r in expected]
 
 
 def test_walk_equals_recursive_sql(spark, sf):

@@ -264,7 +264,7 @@ def cache_upsert(spark: SparkSession, sf: str) -> DataFrame:
     docs = views.table(spark, sf, "documents").select(
         F.expr(rules.DOC_OBJECT).alias("obj_key"), text.content_hash(F.col("text")).alias("content_hash")
     )
-    found = classify.label_answers(views.raw_responses(spark, sf), taxonomy.label_array(views.labels(spark)))
+    found = classify.label_answers(views.raw_responses(spark, sf), views.label_index(spark))
     fresh = classify.cache_rows(found.join(docs, "obj_key"), VERSION, F.expr("timestamp'2024-02-01 00:00:00'"))
     after = tables.upsert(views.cache(spark, sf, F.lit(VERSION)), fresh, "obj_token", F.col("updated_at"))
     return after.select("obj_token", "content_hash", "path", "tag_json", F.month("updated_at").alias("updated_month"))
@@ -307,8 +307,8 @@ def prompt_len(spark: SparkSession, sf: str) -> DataFrame:
 def classify_stub(spark: SparkSession, sf: str) -> DataFrame:
     """Every document through the model, whose answers come from Python."""
     requests = classify.model_requests(_titled(spark, sf))
-    answers = classify.call_model(requests, stub_provider)
-    found = classify.label_answers(answers, taxonomy.label_array(views.labels(spark)))
+    answers = scratch.stage(classify.call_model(requests, stub_provider), scratch.new_folder(spark, "answers"))
+    found = classify.label_answers(answers, views.label_index(spark))
     return found.select("obj_key", "raw_response", "error", "path", "match_tier")
 
 
@@ -320,12 +320,12 @@ def clean_response(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def validate_path(spark: SparkSession, sf: str) -> DataFrame:
-    found = classify.label_answers(views.raw_responses(spark, sf), taxonomy.label_array(views.labels(spark)))
+    found = classify.label_answers(views.raw_responses(spark, sf), views.label_index(spark))
     return found.groupBy("answer", "path", "match_tier").agg(F.count(F.lit(1)).alias("documents"))
 
 
 def _labelled(spark: SparkSession, sf: str) -> DataFrame:
-    found = classify.label_answers(views.raw_responses(spark, sf), taxonomy.label_array(views.labels(spark)))
+    found = classify.label_answers(views.raw_responses(spark, sf), views.label_index(spark))
     return route.route_columns(found.filter("error is null"))
 
 
@@ -382,7 +382,7 @@ def new_folders(spark: SparkSession, sf: str) -> DataFrame:
 def _outcomes(spark: SparkSession, sf: str, walked: tree.Walk | None = None) -> DataFrame:
     """Pending documents through cache and answers, up to their status."""
     reads = _looked_up(spark, sf, walked)
-    found = classify.label_answers(views.raw_responses(spark, sf), taxonomy.label_array(views.labels(spark)))
+    found = classify.label_answers(views.raw_responses(spark, sf), views.label_index(spark))
     answers = found.select("obj_key", F.col("path").alias("new_path"))
     sent = (F.col("read_status") == reading.OK) & F.col("cached_path").isNull()
     joined = reads.join(answers, "obj_key", "left").withColumn(
@@ -391,22 +391,22 @@ def _outcomes(spark: SparkSession, sf: str, walked: tree.Walk | None = None) ->
     return scratch.stage(route.copy_status(joined.drop("new_path")), scratch.new_folder(spark, "outcomes"))
 
 
-def _routed(spark: SparkSession, sf: str) -> DataFrame:
-    """Routed documents as read back from the folder they were written to."""
+def _output(spark: SparkSession, sf: str) -> str:
+    """The folder that routed and annotated documents were written to."""
     routes = route.route_columns(_outcomes(spark, sf).filter(F.col("status") == route.SUCCESS))
     plan = route.folder_plan(routes, views.space_nodes(spark, sf), rules.TARGET)
     routed = route.route_documents(routes.withColumn("tag_line", route.tag_line(F.col("parts"))), plan)
     bodies = reading.attach_contents(routed, views.contents(spark, sf), how="inner")
-    folder = scratch.new_folder(spark, "routed")
-    tables.write_routed(
+    folder = scratch.new_folder(spark, "documents")
+    tables.write_output(
         bodies.select("node_token", "obj_token", "title", "target_parent", "tag_line", "content", "tag1", "tag2", "tag3"), folder
     )
-    return tables.read_routed(spark, folder)
+    return folder
 
 
 @query
 def routed_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return _routed(spark, sf).select(
+    return tables.read_output(spark, _output(spark, sf), tables.ROUTED).select(
         "node_token", "obj_token", "title", "target_parent", "tag1", "tag2", "tag3", F.sha2("content", 256).alias("body_hash")
     )
 
@@ -418,7 +418,7 @@ def tag_message(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def annotated_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return route.annotate(_routed(spark, sf)).select(
+    return tables.read_output(spark, _output(spark, sf), tables.ANNOTATED).select(
         "obj_token", "tag_line", F.sha2("annotated_content", 256).alias("annotated_hash")
     )
 
@@ -476,10 +476,9 @@ def end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     nodes = views.space_nodes(spark, sf)
     infos = nodes.select("node_token", "obj_type", "obj_token")
     result = run(Inputs(nodes, views.contents(spark, sf), tree_of_labels, stub_provider, infos), settings)
-    routed = result.routed.select(
-        "node_token", "target_parent", "tag_line", F.sha2("annotated_content", 256).alias("annotated_hash")
-    )
-    return result.outcomes.join(routed, "node_token", "left").select(
+    routed = result.routed.select("node_token", "target_parent", "tag_line")
+    annotated = result.annotated.select("node_token", F.sha2("annotated_content", 256).alias("annotated_hash"))
+    return result.outcomes.join(routed, "node_token", "left").join(annotated, "node_token", "left").select(
         "obj_key", "node_token", "read_status", F.col("cached_path").isNotNull().alias("cached"), "path", "match_tier",
         "status", "target_parent", "tag_line", "annotated_hash",
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docgrove.operators import matching
 from docgrove.sources import taxonomy
 from workload import rules
 
@@ -221,6 +222,10 @@ def labels(spark: SparkSession) -> DataFrame:
     return taxonomy.from_paths(spark.createDataFrame(list(enumerate(rules.LABELS)), "ord bigint, path string"))
 
 
+def label_index(spark: SparkSession) -> DataFrame:
+    return matching.label_index(labels(spark))
+
+
 def catalogue(spark: SparkSession, sf: str) -> DataFrame:
     """A label tree found in the part table: brands over types over lists of sizes, each where it occurs first."""
     parts = table(spark, sf, "part")
