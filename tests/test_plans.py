@@ -32,10 +32,9 @@ def test_nothing_is_filtered_after_the_model(spark, sf):
     assert "REBALANCE_PARTITIONS_BY_COL" in plan and "REPARTITION_BY_NUM" not in plan
 
 
-def test_no_answer_is_compared_with_all_labels(spark, sf, tmp_path):
+def test_no_answer_is_compared_with_all_labels(spark, sf):
     """Answers are made distinct before they are looked up, and each lookup is a join on a key of the index."""
-    views.label_index(spark).write.parquet(f"{tmp_path}/index")
-    found = classify.label_answers(views.raw_responses(spark, sf), spark.read.parquet(f"{tmp_path}/index"))
+    found = classify.label_answers(views.raw_responses(spark, sf), views.label_index(spark))
     plan = _plan(found.select("obj_key", "path"))
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
     assert len(re.findall(r"keys=\[answer#\d+\], functions=\[\]", plan)) >= 2

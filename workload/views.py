@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docgrove import scratch
 from docgrove.operators import matching
 from docgrove.sources import taxonomy
 from workload import rules
@@ -223,7 +224,7 @@ def labels(spark: SparkSession) -> DataFrame:
 
 
 def label_index(spark: SparkSession) -> DataFrame:
-    return matching.label_index(labels(spark))
+    return scratch.stage(matching.label_index(labels(spark)), scratch.new_folder(spark, "label-index"))
 
 
 def catalogue(spark: SparkSession, sf: str) -> DataFrame:
