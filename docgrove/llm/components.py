@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgrove.llm.tables import keep
+from docgrove.llm.tables import forget, keep
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = keep(links.select("u", "v").filter("u <> v"), "links")
     before = _state(edges)
     while before[0]:
-        edges = keep(_small_star(_large_star(edges)), "stars")
+        last, edges = edges, keep(_small_star(_large_star(edges)), "stars")
+        forget(last)
         after = _state(edges)
         if after == before:
             break

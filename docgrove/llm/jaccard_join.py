@@ -7,14 +7,16 @@ the part of the product that can reach the bound is formed:
    first n - ceil(n * percent / 100) + 1 shingles of each, in any order common to all. The order puts shingles of many
    documents last, so a passage that thousands share hardly ever stands in a prefix.
 2. The prefix entries are dealt out by column block, packed as arrays; each block drops the columns with one entry.
-3. A column's entries are first dealt at random into small groups and paired inside them, a number of pairs linear in the
-   entries; of those, pairs with like sketches are compared, and the links found merge components. A few such rounds
-   join nearly all that belongs together, however large a group of near copies is. Then the entries of a column that
-   still lie in different components are paired with each other. A link inside one component changes nothing, so no
+3. Blocks of columns are multiplied with their transpose, each in one task: for every row the rows that share a column with it
+   are counted up from the columns' lists. A pair is discarded when the larger set is too large for the smaller one, or when
+   the least overlap both sizes ask for is above what the two can have: shingles are counted in BINS ranges of the hash, and
+   no more than the lesser count of each range can be common. Only pairs that pass leave the task.
+   A column that very many documents share is cut into groups of rows, and each pair of groups is multiplied by itself.
+4. First a sample of columns is multiplied, and each row keeps its best partners there, a number of pairs linear in the rows. The
+   links among them join nearly all that belongs together, however large a group of near copies is. Then all columns
+   whose rows still lie in different components are multiplied in full. A link inside one component changes nothing, so no
    link between components is lost.
-4. The overlap counts of a pair are accumulated over the prefix columns. From the count, both sizes and the places of the
-   last common shingles follows the largest overlap the pair can have; pairs below the bound are dropped, among them
-   those that only share a passage. For the few that are left the count goes on over the whole rows.
+5. The pairs that are left are decided by their whole rows, dealt into blocks of bounded size.
 
 Copies (equal sets) are one row throughout. The choice of the shingles that count as frequent only orders columns:
 it decides how much work there is, never the result.
@@ -31,22 +33,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docgrove.llm.components import components
-from docgrove.llm.tables import keep, narrow, shuffle_partitions
+from docgrove.llm.tables import forget, keep, narrow, shuffle_partitions
 from docgrove.llm.words import shingle_sets, text_column
 
 WIDTH, PERCENT = 5, 80
-#: Entries of a column block: what one task multiplies at once, about 25 bytes each.
-BLOCK_ENTRIES = 1 << 19
+#: Entries of a column block while entries are gathered, about 25 bytes each.
+BLOCK_ENTRIES = 1 << 18
 #: Packed entries are flushed to their blocks when a task holds this many.
 FLUSH_ENTRIES = 1 << 18
 #: A shingle of so many documents is frequent; of those, the most frequent FREQUENT_MAX (2 MB) are moved last.
 FREQUENT, FREQUENT_MAX = 8, 1 << 18
-#: Sets of a block of rows in the last product.
-BLOCK_SETS = 256
+#: Sets and shingles of a block of rows when pairs are decided.
+BLOCK_SETS, BLOCK_SHINGLES = 1 << 11, 1 << 21
 #: Part of all hash values whose shingles are counted: prefixes lie below, but for texts made of frequent passages.
 COUNTED = 0.35
-#: Rounds of random groups, entries of a group, and differing bits of two sketches up to which sets are compared there.
-ROUNDS, GROUP, BITS_APART = 3, 8, 18
+#: Ranges of the hash in which a set's shingles are counted. A set with more than 255 in one of them has no counts, and passes.
+BINS = 512
+#: Entries of a block that is multiplied, and rows of a column from which on it is cut into groups.
+PRODUCT_ENTRIES, GROUP_ROWS = 1 << 17, 1 << 13
+#: The first product: one column in SAMPLE, PARTNERS rows looked at for each row, the best BEST of which are kept.
+SAMPLE, PARTNERS, BEST = 8, 32, 2
 
 _KEY = np.dtype([("a", ">u8"), ("b", ">u4")])
 
@@ -55,15 +61,10 @@ def _set_key(values: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(values.tobytes())[:12]
 
 
-_BINS = (np.arange(64, dtype=np.uint64) << np.uint64(58))
-
-
-def _sketch(values: np.ndarray) -> int:
-    """64 bits: of each 64th of the hash range, a bit of the least value there. Sets that share much agree in most."""
-    at = np.searchsorted(values, _BINS)
-    there = np.append(values, np.uint64(0))[at]
-    inside = (there >> np.uint64(58)) == np.arange(64, dtype=np.uint64)
-    return int(np.bitwise_or.reduce((there & np.uint64(1) & inside) << np.arange(64, dtype=np.uint64)))
+def _bins(values: np.ndarray) -> bytes:
+    """How many of the values lie in each of BINS ranges of the hash, a byte each; empty if one does not fit."""
+    counts = np.bincount((values >> np.uint64(55)).astype(np.int64), minlength=BINS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int):
@@ -75,17 +76,18 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int):
 
 
 def shingled(docs: DataFrame, id_column: str = "doc_id", text_column_: str = "text", width: int = WIDTH) -> DataFrame:
-    """(id, n_shingles, set_key): the size of each document's shingle set and a 96-bit key of it, null when empty."""
+    """(id, n_shingles, set_key, bins): the size of each document's shingle set, a 96-bit key of it, null when empty, and its
+    counts by ranges of the hash."""
 
     def run(batches):
         for ids, values, bounds in _sets(batches, width):
             edges = bounds.tolist()
             keys = [_set_key(values[a:b]) if b > a else None for a, b in zip(edges, edges[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(np.diff(bounds), pa.int64()), pa.array(keys, pa.binary())], [id_column, "n_shingles", "set_key"]
-            )
+            bins = [_bins(values[a:b]) if b > a else None for a, b in zip(edges, edges[1:])]
+            columns = [ids, pa.array(np.diff(bounds), pa.int64()), pa.array(keys, pa.binary()), pa.array(bins, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [id_column, "n_shingles", "set_key", "bins"])
 
-    return narrow(docs, id_column, text_column_).mapInArrow(run, f"`{id_column}` long, n_shingles long, set_key binary")
+    return narrow(docs, id_column, text_column_).mapInArrow(run, f"`{id_column}` long, n_shingles long, set_key binary, bins binary")
 
 
 def _packed(parts: list[tuple[np.ndarray, ...]], blocks: np.ndarray, names: list[str]) -> pa.RecordBatch:
@@ -142,8 +144,7 @@ def _frequent(docs: DataFrame, id_column: str, text: str, width: int, blocks: in
 
 
 def _entries(docs: DataFrame, id_column: str, text: str, width: int, percent: int, frequent: np.ndarray, blocks: int) -> DataFrame:
-    """(gram, key, n, place, sketch): the prefix entries of columns that have two or more, once for each distinct set. place: which
-    of its set's shingles the entry is, in the common order, from 1; at most 65535."""
+    """(gram, key): the prefix entries of columns that have two or more, once for each distinct set."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(frequent)
 
@@ -151,23 +152,19 @@ def _entries(docs: DataFrame, id_column: str, text: str, width: int, percent: in
         often = sent.value
         by_value = np.argsort(often)
         ordered = often[by_value]
-        held: list[tuple[np.ndarray, bytes, int, int]] = []
+        held: list[tuple[np.ndarray, bytes]] = []
         seen: set[bytes] = set()
         size = 0
 
         def flush():
             grams = np.concatenate([h[0] for h in held])
-            lengths = [len(h[0]) for h in held]
-            keys = np.repeat(np.frombuffer(b"".join(h[1] for h in held), _KEY), lengths)
-            sizes = np.repeat(np.array([h[2] for h in held], np.int32), lengths)
-            places = np.concatenate([np.minimum(np.arange(1, n + 1), 65535) for n in lengths]).astype(np.uint16)
-            sketches = np.repeat(np.array([h[3] for h in held], np.uint64), lengths)
+            keys = np.repeat(np.frombuffer(b"".join(h[1] for h in held), _KEY), [len(h[0]) for h in held])
             to = (grams % np.uint64(blocks)).astype(np.int64)
             if len(ordered):
                 hot = ordered[np.minimum(np.searchsorted(ordered, grams), len(ordered) - 1)] == grams
                 # A frequent shingle's entries go to blocks by document too; those beyond `blocks` are kept whole.
                 to[hot] = blocks + ((grams[hot] ^ keys["a"][hot].astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
-            return _packed([grams, keys, sizes, places, sketches], to, ["grams", "keys", "sizes", "places", "sketches"])
+            return _packed([grams, keys], to, ["grams", "keys"])
 
         for _, values, bounds in _sets(batches, width):
             edges = bounds.tolist()
@@ -180,7 +177,7 @@ def _entries(docs: DataFrame, id_column: str, text: str, width: int, percent: in
                     continue
                 n = b - a
                 length = n - (percent * n + 99) // 100 + 1
-                grams, key, sketch = values[a:b], _set_key(values[a:b]), _sketch(values[a:b])
+                grams, key = values[a:b], _set_key(values[a:b])
                 if key in seen:
                     continue
                 seen.add(key)
@@ -188,7 +185,7 @@ def _entries(docs: DataFrame, id_column: str, text: str, width: int, percent: in
                     mask = is_often[a:b]
                     last = grams[mask][np.argsort(by_value[at[a:b][mask]])]
                     grams = np.concatenate([grams[~mask], last])
-                held.append((grams[:length], key, n, sketch))
+                held.append((grams[:length].copy(), key))
                 size += length
             if size >= FLUSH_ENTRIES:
                 yield flush()
@@ -196,24 +193,80 @@ def _entries(docs: DataFrame, id_column: str, text: str, width: int, percent: in
                 seen.clear()
         if size:
             yield flush()
+        pa.default_memory_pool().release_unused()
 
     def shared(table: pa.Table) -> pa.Table:
-        grams, keys, sizes = _joined(table["grams"], np.uint64), _joined(table["keys"], _KEY), _joined(table["sizes"], np.int32)
-        places, sketches = _joined(table["places"], np.uint16), _joined(table["sketches"], np.int64)
+        grams, keys = _joined(table["grams"], np.uint64), _joined(table["keys"], _KEY)
         order = np.lexsort((keys["b"], keys["a"], grams))
-        grams, keys, sizes, places, sketches = grams[order], keys[order], sizes[order], places[order], sketches[order]
+        grams, keys = grams[order], keys[order]
         fresh = np.r_[True, (grams[1:] != grams[:-1]) | (keys[1:] != keys[:-1])]
-        grams, keys, sizes, places, sketches = grams[fresh], keys[fresh], sizes[fresh], places[fresh], sketches[fresh]
+        grams, keys = grams[fresh], keys[fresh]
         if table["block"][0].as_py() < blocks:
             same = grams[1:] == grams[:-1]
             many = np.r_[same, False] | np.r_[False, same]
-            grams, keys, sizes, places, sketches = grams[many], keys[many], sizes[many], places[many], sketches[many]
+            grams, keys = grams[many], keys[many]
         packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(12), len(keys), [None, pa.py_buffer(keys.tobytes())])
-        columns = {"gram": grams.view(np.int64), "key": packed.cast(pa.binary()), "n": sizes.astype(np.int64)}
-        return pa.table(columns | {"place": places.astype(np.int64), "sketch": sketches})
-
-    dealt = narrow(docs, id_column, text).mapInArrow(prefixes, "block long, grams binary, keys binary, sizes binary, places binary, sketches binary")
-    return dealt.groupBy("block").applyInArrow(shared, "gram long, key binary, n long, place long, sketch long")
+        return pa.table({"gram": grams.view(np.int64), "key": packed.cast(pa.binary())})
+
+    dealt = narrow(docs, id_column, text).mapInArrow(prefixes, "block long, grams binary, keys binary")
+    return dealt.groupBy("block").applyInArrow(shared, "gram long, key binary")
+
+
+def _product(table: pa.Table, percent: int, full: bool) -> pa.Table:
+    """The pairs of one block's rows that may be linked, at most BEST for each row unless `full`.
+
+    table: key, grams (the row's columns in this block), n, label and bins."""
+    table = table.combine_chunks()
+    keys, n = table["key"].to_pylist(), table["n"].to_numpy()
+    label = table["label"].combine_chunks().dictionary_encode().indices.to_numpy() if len(keys) else np.empty(0, np.int32)
+    bins = table["bins"].to_pylist()
+    exact = np.array([bool(b) for b in bins])
+    counts = np.frombuffer(b"".join(b or bytes(BINS) for b in bins), np.uint8).reshape(len(keys), BINS)
+    lists = table["grams"].combine_chunks()
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(keys)), sizes)
+    _, column = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    members, firsts = row[order], np.searchsorted(column[order], np.arange(column.max() + 2 if len(column) else 1))
+    ends, found_u, found_v = np.cumsum(sizes), [], []
+    for i in range(len(keys)):
+        lists_of = [members[firsts[c] : firsts[c + 1]] for c in column[ends[i] - sizes[i] : ends[i]].tolist()]
+        others = np.concatenate(lists_of) if len(lists_of) > 1 else lists_of[0]
+        others = np.unique(others[others > i] if full else others[others < i])
+        others = others[(label[others] != label[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
+        if not len(others):
+            continue
+        if not full and len(others) > PARTNERS:  # the first ones, and others spread over the rest
+            spread = PARTNERS // 2 + (np.arange(PARTNERS // 2) * (len(others) - PARTNERS // 2)) // (PARTNERS // 2)
+            others = others[np.r_[0 : PARTNERS // 2, spread]]
+        most = np.minimum(counts[others], counts[i]).sum(axis=1, dtype=np.int64)
+        most = np.where(exact[others] & exact[i], most, n[i])
+        left = (100 + percent) * most - percent * (n[others] + n[i])
+        others, left = others[left >= 0], left[left >= 0]
+        if not full:
+            others = others[np.argsort(-left, kind="stable")[:BEST]]
+        found_u += [keys[i]] * len(others)
+        found_v += [keys[j] for j in others.tolist()]
+    pa.default_memory_pool().release_unused()
+    pairs = [(min(u, v), max(u, v)) for u, v in zip(found_u, found_v)]
+    return pa.table({"u": pa.array([u for u, _ in pairs], pa.binary()), "v": pa.array([v for _, v in pairs], pa.binary())})
+
+
+def _multiplied(entries: DataFrame, sets: DataFrame, percent: int, full: bool) -> DataFrame:
+    """(u, v), u before v: pairs of rows that share a column of `entries` and may be linked. sets: key, n, label, bins."""
+    blocks = max(1, entries.count() // PRODUCT_ENTRIES)
+    wide = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > GROUP_ROWS)
+    wide = keep(wide.select("gram", F.expr(f"rows div {GROUP_ROWS} + 1").alias("groups")), "wide")
+    dealt = entries.join(wide, "gram", "left").withColumn("own", F.pmod(F.xxhash64("key", "gram"), F.col("groups")))
+    # A group of rows meets itself and, in the full product, every other group of its column.
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1), lambda o: F.xxhash64("gram", F.least("own", o), F.greatest("own", o)))
+    alone = F.array(F.xxhash64("gram", "own", "own"))
+    one = F.array(F.pmod(F.xxhash64("gram"), F.lit(blocks)))
+    block = F.when(F.col("groups").isNull(), one).otherwise(cells if full else alone)
+    rows = dealt.select("gram", "key", F.explode(block).alias("block"))
+    rows = rows.groupBy("block", "key").agg(F.collect_list("gram").alias("grams")).join(sets, "key")
+    rows = rows.select("block", "key", "grams", "n", "label", "bins")
+    return rows.groupBy("block").applyInArrow(lambda table: _product(table, percent, full), "u binary, v binary").distinct()
 
 
 def _full_rows(docs: DataFrame, id_column: str, text: str, width: int, wanted: DataFrame, rows: DataFrame) -> DataFrame:
@@ -237,12 +290,11 @@ def _full_rows(docs: DataFrame, id_column: str, text: str, width: int, wanted: D
     return found.mapInArrow(run, "key binary, grams binary").dropDuplicates(["key"]).join(wanted, "key", "left_semi")
 
 
-def _links(pairs: DataFrame, full: DataFrame, sets: int, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, full: DataFrame, blocks: int, percent: int) -> DataFrame:
     """Of the pairs (u, v), those whose overlap, accumulated over the whole rows, reaches the bound.
 
     Rows are dealt into blocks. A task has the pairs between two blocks and each of their sets once, so that a set with very
-    many partners is not sent to each of them; sets: how many there are in `full`."""
-    blocks = sets // BLOCK_SETS + 1
+    many partners is not sent to each of them."""
     ends = [F.pmod(F.xxhash64(c), F.lit(blocks)).alias(f"block_{c}") for c in ("u", "v")]
     dealt = pairs.select(*ends, "u", "v")
     needed = [dealt.select("block_u", "block_v", F.col(c).alias("key")) for c in ("u", "v")]
@@ -269,36 +321,6 @@ def _links(pairs: DataFrame, full: DataFrame, sets: int, percent: int) -> DataFr
     return both.groupBy("block_u", "block_v").applyInArrow(count, "u binary, v binary")
 
 
-def _within(percent: int, a: str, b: str):
-    return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
-
-
-def _possible(met: DataFrame, percent: int) -> DataFrame:
-    """(u, v): of the pairs that meet in a column, those whose overlap can reach the bound.
-
-    met: one row per column, with key, n, place and key2, n2, place2. Let w be the lesser of the two prefixes' last
-    shingles. All common shingles up to w are counted. Beyond w, the set whose prefix ends there has what its prefix
-    leaves over, and the other at most what follows its last common shingle."""
-    one, other = F.struct("key", "n", "place"), F.struct(F.col("key2").alias("key"), F.col("n2").alias("n"), F.col("place2").alias("place"))
-    met = met.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b"))
-    met = met.groupBy(F.col("a.key").alias("u"), F.col("b.key").alias("v"), F.col("a.n").alias("nu"), F.col("b.n").alias("nv"))
-    met = met.agg(F.count(F.lit(1)).alias("c"), F.max("a.place").alias("pu"), F.max("b.place").alias("pv"))
-    left = "(({percent} * {n} + 99) div 100 - 1)"
-    first, second = left.format(percent=percent, n="nu"), left.format(percent=percent, n="nv")
-    most = f"c + greatest(least({first}, nv - pv), least({second}, nu - pu))"
-    return met.filter(F.expr(f"{100 + percent} * ({most}) >= {percent} * (nu + nv)")).select("u", "v")
-
-
-def _labelled(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Entries with their component so far, only of columns whose entries are not all in one."""
-    if roots is None:
-        return entries.withColumn("label", F.col("key"))
-    named = entries.join(roots.withColumnRenamed("node", "key"), "key", "left")
-    named = named.select("gram", "key", "n", "place", "sketch", F.coalesce("root", "key").alias("label"))
-    mixed = named.groupBy("gram").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b")
-    return named.join(mixed.select("gram"), "gram", "left_semi")
-
-
 def set_components(docs: DataFrame, rows: DataFrame, id_column: str = "doc_id", text: str = "text",
                    width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(node, root) over the keys of distinct sets that are linked; rows: what `shingled` returned, staged."""
@@ -307,48 +329,69 @@ def set_components(docs: DataFrame, rows: DataFrame, id_column: str = "doc_id",
     blocks = max(shuffle_partitions(spark), int(total * max(COUNTED, 1 - percent / 100) / BLOCK_ENTRIES) + 1)
     frequent = _frequent(docs, id_column, text, width, blocks)
     entries = keep(_entries(docs, id_column, text, width, percent, frequent, blocks), "entries")
-    roots, tried = None, None
+    named = rows.filter("set_key is not null").select(F.col("set_key").alias("key"), F.col("n_shingles").alias("n"), "bins")
+    met = named.join(entries.select("key").distinct(), "key", "left_semi")
+    sets = keep(met.groupBy("key").agg(F.first("n").alias("n"), F.first("bins").alias("bins")), "sets")
 
-    def add(pairs):
-        nonlocal roots, tried
-        pairs = keep(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+    def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        pairs = keep(pairs, "pairs")
         wanted = keep(pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct(), "keys")
-        full = _full_rows(docs, id_column, text, width, wanted, rows)
-        found = keep(_links(pairs, full, wanted.count(), percent), "overlaps")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if roots is not None:
-            found = found.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        roots = components(found)
-
-    def met(part, *on):
-        other = part.select(*on, *[F.col(c).alias(f"{c}2") for c in ("key", "n", "label", "place", "sketch")])
-        return part.join(other, list(on)).filter("label < label2").filter(_within(percent, "n", "n2"))
-
-    for turn in range(ROUNDS):
-        part = keep(_labelled(entries, roots), "labelled")
-        groups = part.groupBy("gram").agg(F.expr(f"(count(*) + {GROUP - 1}) div {GROUP}").alias("groups"))
-        dealt = part.join(groups, "gram").withColumn("group", F.pmod(F.xxhash64("key", "gram", F.lit(turn)), F.col("groups")))
-        like = met(dealt, "gram", "group").filter(F.bit_count(F.expr("sketch ^ sketch2")) <= BITS_APART)
-        add(like.select(F.least("key", "key2").alias("u"), F.greatest("key", "key2").alias("v")).distinct())
-    add(_possible(met(keep(_labelled(entries, roots), "labelled"), "gram"), percent))
-    return roots
+        size = sets.join(wanted, "key", "left_semi").agg(F.count(F.lit(1)), F.sum("n")).first()
+        parts = max(size[0] // BLOCK_SETS, (size[1] or 0) // BLOCK_SHINGLES) + 1
+        found = keep(_links(pairs, _full_rows(docs, id_column, text, width, wanted, rows), parts, percent), "overlaps")
+        forget(pairs)
+        forget(wanted)
+        return found
+
+    sample = entries.filter(F.pmod(F.xxhash64("gram", F.lit(SAMPLE)), F.lit(SAMPLE)) == 0)
+    roots = components(linked(_multiplied(sample, sets.withColumn("label", F.col("key")), percent, False), sets))
+    labels = sets.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("root", "key"))
+    labels = keep(labels.select("key", "n", "label", "bins"), "labels")
+    of = entries.join(labels.select("key", "label"), "key")
+    mixed = of.groupBy("gram").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("gram")
+    left = keep(entries.join(mixed, "gram", "left_semi"), "mixed")
+    forget(sets)
+    forget(entries)
+    rest = linked(_multiplied(left, labels, percent, True), labels)
+    forget(left)
+    return components(rest.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+
+
+def set_keys(width: int = WIDTH):
+    """An Arrow UDF from text to the key of its shingle set, null without words."""
+
+    @F.arrow_udf("binary")
+    def keys(texts: pa.Array) -> pa.Array:
+        found: list[bytes | None] = []
+        for _, values, bounds in shingle_sets(text_column(texts), width):
+            edges = bounds.tolist()
+            found += [_set_key(values[a:b]) if b > a else None for a, b in zip(edges, edges[1:])]
+        return pa.array(found, pa.binary())
 
+    return keys
 
-def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH,
-                       percent: int = PERCENT) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, the least id reachable over links, itself included.
 
-    Null or blank texts have no shingles and are linked with nothing. A row without an id has a result like any other;
-    its component is the least id of the others, null if there is none. Repeated rows each have a row.
-    Other columns of `docs` are not read.
-    """
+def jaccard_rows(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One row per document: id, n_shingles, set_key, root (one set of its component, the same for all of it) and component_id;
+    the two in the middle are null without shingles. See `jaccard_components`."""
     rows = keep(shingled(docs, id_column, text, width), "shingled")
     roots = set_components(docs, rows, id_column, text, width, percent)
     least = rows.filter("set_key is not null").groupBy("set_key").agg(F.min(id_column).alias("least"))
     named = least.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     named = keep(named, "classes")
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = keep(named.join(smallest, "root").select("set_key", "component_id"), "class_ids")
+    classes = keep(named.join(smallest, "root").select("set_key", "root", "component_id"), "class_ids")
     joined = rows.join(classes, "set_key", "left")
     own = F.when(F.col("set_key").isNull(), F.col(id_column)).otherwise(F.col("component_id"))
-    return joined.select(id_column, "n_shingles", own.alias("component_id"))
+    return joined.select(id_column, "n_shingles", "set_key", "root", own.alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH,
+                       percent: int = PERCENT) -> DataFrame:
+    """One row per document: id, n_shingles, component_id, the least id reachable over links, itself included.
+
+    Null or blank texts have no shingles and are linked with nothing. A row without an id has a result like any other;
+    its component is the least id of the others, null if there is none. Repeated rows each have a row.
+    Texts are taken whole, however long. An empty table gives an empty result. Other columns of `docs` are not read.
+    """
+    return jaccard_rows(docs, id_column, text, width, percent).select(id_column, "n_shingles", "component_id")
