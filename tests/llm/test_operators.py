@@ -4,6 +4,7 @@ import hashlib
 import html
 import json
 import re
+import time
 import wave
 import zlib
 from collections import defaultdict
@@ -14,6 +15,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from conftest import make
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -86,15 +88,53 @@ def test_jaccard_join(docs, no_docs):
     assert jaccard_join.jaccard_components(no_docs).count() == 0
 
 
-def test_jaccard_join_does_not_depend_on_what_counts_as_frequent(docs, monkeypatch):
+@pytest.mark.parametrize("limits", [{"FREQUENT": 2, "FLUSH_ENTRIES": 64}, {"SAMPLE": 10**6, "PRODUCT_ENTRIES": 40, "GROUP_ROWS": 3, "BLOCK_SETS": 2}, {"PARTNERS": 2, "BEST": 1, "BINS": 512, "COUNTED": 0.01}])
+def test_jaccard_join_does_not_depend_on_limits(docs, monkeypatch, limits):
+    """What counts as frequent, how columns are sampled and cut, and how many partners are kept decide the work only."""
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    monkeypatch.setattr(jaccard_join, "FREQUENT", 2)
-    monkeypatch.setattr(jaccard_join, "ROUNDS", 0)
-    monkeypatch.setattr(jaccard_join, "FLUSH_ENTRIES", 64)
+    for name, value in limits.items():
+        monkeypatch.setattr(jaccard_join, name, value)
     got = sorted((tuple(r) for r in jaccard_join.jaccard_components(docs).collect()), key=repr)
     assert got == brute_components(rows)
 
 
+def test_links_at_the_bound_are_kept(spark):
+    """Sets around 0.8 in every way: no pair whose overlap reaches the bound may be discarded before it is counted."""
+    words = [f"w{i}" for i in range(64)]
+    texts = [" ".join(words[:n] + [f"x{n}y{i}" for i in range(m)]) for n in range(8, 64, 3) for m in range(0, n // 3)]
+    docs_ = make(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    got = sorted((tuple(r) for r in jaccard_join.jaccard_components(docs_).collect()), key=repr)
+    assert got == brute_components(list(enumerate(texts)))
+
+
+def test_counts_of_ranges_bound_the_overlap():
+    pick = np.random.default_rng(3)
+    for n in (1, 30, 3000):
+        pool = pick.integers(0, 2**64, 2 * n, np.uint64)
+        a, b = np.unique(pick.choice(pool, n)), np.unique(pick.choice(pool, n))
+        u, v = (np.frombuffer(jaccard_join._bins(x), np.uint8) for x in (a, b))
+        assert np.minimum(u, v).sum() >= len(np.intersect1d(a, b))
+    assert jaccard_join._bins(np.arange(300, dtype=np.uint64)) == b""
+
+
+@pytest.mark.parametrize("alphabet", ["a@.-1", "0123.", "+0( 9-", "x@y.z a@b..c d@e-f.g ", "1.23 45-6@a.b+"])
+def test_rule_spans_equal_the_plain_patterns(alphabet):
+    pick = np.random.default_rng(len(alphabet))
+    for n in range(3000):
+        text = "".join(pick.choice(list(alphabet), n % 60))
+        plain = [(0, *m.span()) for m in pii_semicrf.EMAIL.finditer(text)]
+        plain += [(1, *m.span()) for m in pii_semicrf.IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        assert [s for s in pii_semicrf.rule_spans(text) if s[0] < 2] == plain, text
+
+
+def test_rules_are_linear_on_unbroken_runs():
+    texts = ["7" * 1_000_000, "a" * 1_000_000 + "@", "a" * 500_000 + "@" + "b" * 500_000, "1.2" * 300_000, "a@" * 400_000]
+    for text in texts:
+        began = time.perf_counter()
+        pii_semicrf.rule_spans(text)
+        assert time.perf_counter() - began < 2, text[:10]
+
+
 def test_byte_shards(docs, no_docs):
     rows = byte_shards.byte_shards(docs).collect()
     want = sorted(((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.collect()), key=repr)
