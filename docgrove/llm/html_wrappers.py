@@ -6,12 +6,13 @@ are then aligned one after another: what both have stays, what only one has beco
 bodies are one. The outcome is one regular expression over tokens for the host, with numbered text slots.
 
 Distinct streams are found by an aggregate, so a host with very many equal pages is folded once; the streams of a host
-are folded in several parts first, then the parts' wrappers with each other, since a wrapper aligns with a wrapper as
+are folded as a tree, some in each task and then their wrappers with each other, since a wrapper aligns with a wrapper as
 with a page. Extraction matches a page with its host's wrapper and takes the text of every slot of the article, or of
 all slots outside excluded parts where the page fills none of the article's, since a host may have pages of both kinds. Of the
-latter, the slots decide: a text that stands in a slot on every page of the host that fills it is the template's, and goes.
-Names of classes and ids only hint at excluded parts: where a page has no other text, texts under such names are taken
-if the host's pages show that they are no template. A page that its wrapper does not match (none that was
+latter, the slots decide: a text that stands in a slot on most pages of the host that fill it is the template's, and goes.
+Names of classes and ids only hint at excluded parts, and only if all of their words do: where a page has no other text, texts
+under such names are taken if the host's pages show that they are no template. Within an article they stand for adverts, menus and
+reader comments, not for headings. An article within an article is a comment or a teaser, and taken if there is nothing else. A page that its wrapper does not match (none that was
 there when it was inferred) is aligned with it once more.
 """
 
@@ -32,12 +33,14 @@ from pyspark.sql import functions as F
 
 from docgrove.llm.tables import keep
 
-#: Parts in which a host's distinct token streams are folded first.
-PARTS = 64
+#: Wrappers of a host that are folded into one at a time.
+FOLD = 32
 #: Longest group of tokens, and longest run, looked at for repetition in one page.
 GROUP_MAX = 16
 #: So many different pages of a host must fill a slot before a text they all have in it is the template's.
 LEAST_PAGES = 3
+#: Share of the pages that fill a slot from which on a text they have in it is the template's.
+TEMPLATE_SHARE = 0.8
 
 _RAW = {n: re.compile(rf"</{n}\b[^>]*>", re.I) for n in "script style noscript template textarea iframe svg select".split()}
 _INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -45,11 +48,19 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 #: Elements whose end tag may be left out.
 _LOOSE = frozenset("p li dt dd tr td th thead tbody tfoot option".split())
 _EXCLUDED = frozenset("nav header footer aside form menu button dialog head title".split())
-_EXCLUDED_WORDS = frozenset(
-    "nav navbar navigation menu header masthead footer sidebar ad ads advert adverts advertisement banner cookie cookies consent notice promo promoted "
-    "sponsor sponsored comment comments respond reply replies share sharing social related breadcrumb breadcrumbs popup modal overlay newsletter subscribe login signup search "
+#: Words that name parts beside the article, those that are no such part within an article, reader comments, and words
+#: that say nothing by themselves. A class or id counts if all of its words are among these.
+_BESIDE = frozenset(
+    "nav navbar navigation menu footer sidebar ad ads advert adverts advertisement cookie cookies consent notice promo promoted "
+    "sponsor sponsored share sharing social related breadcrumb breadcrumbs popup modal overlay newsletter subscribe login signup search "
     "widget pagination pager toolbar disclaimer copyright".split()
 )
+_HEADS = frozenset("header masthead banner".split())
+_COMMENTS = frozenset("comment comments respond reply replies".split())
+_PLAIN = frozenset(
+    "list box block wrapper wrap container area section bar site page main global top bottom left right inner outer links link posts articles "
+    "stories items item slot unit buttons panel group".split()
+)
 _MAIN = frozenset(["article", "main"])
 _EXCLUDED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form".split())
 
@@ -58,12 +69,16 @@ _ODD_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
-#: Words that make a class say what a page has or lacks, not what this element is.
-_ABOUT = frozenset("no not non has have with without hide hides hidden show shows".split())
+
+def _named(words: list[str]) -> str:
+    """What a class or id of these words says: c comments, s a part beside the article, w one unless it stands in an article."""
+    if not words or not all(w in _BESIDE or w in _HEADS or w in _COMMENTS or w in _PLAIN for w in words):
+        return ""
+    return "c" if not _COMMENTS.isdisjoint(words) else "w" if not _HEADS.isdisjoint(words) else "s" if not _BESIDE.isdisjoint(words) else ""
 
 
 def _attributes(source: str) -> tuple[str, str]:
-    """First word of the class, and whether this is no main text: x its role says so, w its class or id hints at it."""
+    """First word of the class, and whether this is no main text: x its role says so, else what its classes or id hint at."""
     first, excluded = "", ""
     for name, a, b, c in _NAMED.findall(source):
         value = a or b or c
@@ -72,9 +87,8 @@ def _attributes(source: str) -> tuple[str, str]:
             if any(w in _EXCLUDED_ROLES for w in words):
                 excluded = "x"
         else:
-            for own in ([w.lower() for w in _WORD.findall(part)] for part in value.split()):
-                if _ABOUT.isdisjoint(own) and not _EXCLUDED_WORDS.isdisjoint(own):
-                    excluded = excluded or "w"
+            for part in value.split():
+                excluded = excluded or _named([w.lower() for w in _WORD.findall(part)])
             if name.lower() == "class" and words:
                 first = words[0]
     return first, excluded
@@ -90,7 +104,8 @@ def _tag(closing: str, name: str, attributes: str) -> tuple[bool, str, bool, str
 
 
 class _Open:
-    """The elements that are open, and so the kind of a text: x excluded, w excluded by names, a article, o other."""
+    """The elements that are open, and so the kind of a text: x excluded, w excluded by names, c reader comments, a article, n an
+    article within one, o other."""
 
     def __init__(self):
         self.stack: list[tuple[str, str]] = []
@@ -100,17 +115,19 @@ class _Open:
 
     def push(self, name: str, excluded: str) -> None:
         kind = self.kind()
-        if name in _MAIN:
+        if name in _MAIN and (excluded == "c" or any(k == "c" for _, k in self.stack)):
+            kind = "c"
+        elif name in _MAIN:
             while self.stack and self.stack[-1][1] in "xw":  # an article stands in no menu: that was left open
                 self.stack.pop()
-            kind = "a"
+            kind = "n" if name == "article" and any(n == "article" for n, _ in self.stack) else "a"
         elif name == "body":  # all of the page: its names exclude nothing
             self.stack.clear()
             kind = "o"
-        elif excluded == "x" or name in _EXCLUDED and not (name == "header" and kind == "a"):
+        elif excluded == "x" or name in _EXCLUDED and not (name == "header" and kind in "an"):
             kind = "x"
-        elif excluded and kind != "x":
-            kind = "w"
+        elif kind not in "xc" and excluded and not (excluded == "w" and kind in "an"):
+            kind = "c" if excluded == "c" else "w"
         self.stack.append((name, kind))
 
     def pop(self, name: str) -> None:
@@ -249,7 +266,7 @@ class Wrapper:
             else:
                 parts.append(letter(key) + ("?" if optional else ""))
         self.pattern = regex.compile("".join(parts))
-        self.slots = {main: [i + 1 for i, kind in enumerate(kinds) if kind == main] for main in ("#a", "#o", "#w")}
+        self.slots = {main: [i + 1 for i, kind in enumerate(kinds) if kind == main] for main in ("#a", "#n", "#o", "#w")}
 
     def filled(self, stream: list[str]) -> dict[str, list[tuple[int, int]]] | None:
         """By kind, the texts' places and their slots; None if the page does not match."""
@@ -261,7 +278,7 @@ class Wrapper:
     def places(self, stream: list[str]) -> list[int] | None:
         """Which tokens are main text by their kinds alone; None if the page does not match."""
         filled = self.filled(stream)
-        return None if filled is None else [at for at, _ in filled["#a"] or filled["#o"]]
+        return None if filled is None else [at for at, _ in filled["#a"] or filled["#n"] or filled["#o"]]
 
 
 @lru_cache(256)
@@ -277,7 +294,7 @@ def slot_texts(source: str, wrapper: str) -> list[dict]:
     """Each slot outside articles that a page fills (code null), and the code of each different text in it."""
     stream, texts = tokens(source)
     filled = _loaded(wrapper).filled(stream)
-    if filled is None or filled["#a"]:
+    if filled is None or filled["#a"] or filled["#n"]:
         return []
     found = {(slot, code) for kind in ("#o", "#w") for at, slot in filled[kind] for code in (None, _code(slot, texts[at]))}
     return [{"slot": slot, "code": code} for slot, code in sorted(found, key=lambda x: (x[0], x[1] is not None, x[1] or 0))]
@@ -295,7 +312,7 @@ def main_text(source: str, wrapper: str | None, evidence: str | None = None) ->
     filled = _loaded(wrapper).filled(stream) if wrapper else None
     if filled is not None:
         template, slots = _known(evidence) if evidence else (frozenset(), frozenset())
-        at = [i for i, _ in filled["#a"]] or [i for i, slot in filled["#o"] if _code(slot, texts[i]) not in template]
+        at = [i for i, _ in filled["#a"] or filled["#n"]] or [i for i, slot in filled["#o"] if _code(slot, texts[i]) not in template]
         if not at:
             at = [i for i, slot in filled["#w"] if slot in slots and _code(slot, texts[i]) not in template]
     else:
@@ -309,8 +326,11 @@ def host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-def infer_wrappers(pages: DataFrame, url: str = "url", source: str = "html", parts: int = PARTS) -> DataFrame:
-    """(host, wrapper): the wrapper of each host over all its pages, as JSON. Null pages count for nothing."""
+def infer_wrappers(pages: DataFrame, url: str = "url", source: str = "html", fold_at_once: int = FOLD) -> DataFrame:
+    """(host, wrapper): the wrapper of each host over all its pages, as JSON. Null pages count for nothing.
+
+    The different streams of a host are folded as a tree: about `fold_at_once` in a task, the outcomes again, until one is
+    left. So no task has more of a host than that, however many streams there are."""
 
     @F.arrow_udf("string")
     def skeleton(column: pa.Array) -> pa.Array:
@@ -325,14 +345,20 @@ def infer_wrappers(pages: DataFrame, url: str = "url", source: str = "html", par
 
     own = pages.select(host(F.col(f"`{url}`")).alias("host"), skeleton(F.col(f"`{source}`")).alias("wrapper")).filter("wrapper is not null")
     distinct = own.groupBy("host", "wrapper").agg(F.count(F.lit(1)).alias("pages")).select("host", "wrapper")
-    part = F.pmod(F.xxhash64("wrapper"), F.lit(parts)).alias("part")
-    folded = distinct.select("host", "wrapper", part).groupBy("host", "part").applyInArrow(fold, "host string, wrapper string")
-    return folded.groupBy("host").applyInArrow(fold, "host string, wrapper string")
-
-
-def template_texts(pages: DataFrame, wrappers: DataFrame, url: str = "url", source: str = "html", least: int = LEAST_PAGES) -> DataFrame:
+    left = keep(distinct, "streams")
+    while True:
+        sizes = keep(left.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "stream_counts")
+        if sizes.filter("n > 1").isEmpty():
+            return left
+        part = F.pmod(F.xxhash64("wrapper"), F.expr(f"n div {fold_at_once} + 1")).alias("part")
+        dealt = left.join(sizes, "host").select("host", "wrapper", part)
+        left = keep(dealt.groupBy("host", "part").applyInArrow(fold, "host string, wrapper string"), "wrappers")
+
+
+def template_texts(pages: DataFrame, wrappers: DataFrame, url: str = "url", source: str = "html", least: int = LEAST_PAGES,
+                   share: float = TEMPLATE_SHARE) -> DataFrame:
     """(host, evidence): of each host, as JSON, the slots that at least `least` different pages without article text fill, and
-    the codes of the texts that all pages which fill a slot have in it. Pages with the same texts count once."""
+    the codes of the texts that at least `share` of the pages which fill a slot have in it. Pages with the same texts count once."""
 
     @F.arrow_udf("array<struct<slot:int,code:bigint>>")
     def filled(column: pa.Array, wrapper: pa.Array) -> pa.Array:
@@ -344,7 +370,8 @@ def template_texts(pages: DataFrame, wrappers: DataFrame, url: str = "url", sour
     each = found.distinct().select("host", F.explode("filled").alias("own")).groupBy("host", "own.slot", "own.code").agg(F.count(F.lit(1)).alias("n"))
     each = keep(each.filter(F.col("n") >= least), "slot_texts")
     slots = each.filter("code is null").select("host", "slot", "n")
-    same = each.filter("code is not null").join(slots, ["host", "slot", "n"]).select("host", "slot", "code")
+    filling = slots.withColumnRenamed("n", "pages")
+    same = each.filter("code is not null").join(filling, ["host", "slot"]).filter(F.col("n") >= share * F.col("pages")).select("host", "slot", "code")
     both = slots.select("host", "slot", F.lit(None).cast("long").alias("code")).unionByName(same)
     lists = both.groupBy("host").agg(F.collect_set("code").alias("template"), F.collect_set("slot").alias("slots"))
     return lists.select("host", F.to_json(F.struct("template", "slots")).alias("evidence"))
@@ -353,7 +380,8 @@ def template_texts(pages: DataFrame, wrappers: DataFrame, url: str = "url", sour
 def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """One row per row of `pages`: id, url, text, n_chars.
 
-    Null and empty pages, and pages without main text, have an empty text. Rows without a URL share the host "". Repeated
+    Null and empty pages, and pages without main text, have an empty text. Pages are read whole, however long. An empty table gives
+    an empty result. Rows without a URL share the host "". Repeated
     rows each have a row; other columns of `pages` are not read.
     """
     wrappers = keep(infer_wrappers(pages, url, source), "wrappers")
