@@ -547,3 +547,37 @@ def test_equals_duckdb(spark, sf, name):
     assert sorted(theirs) == columns
     want = sorted((tuple(row[theirs.index(c)] for c in columns) for row in result.fetchall()), key=repr)
     assert sorted((tuple(row[c] for c in columns) for row in df.collect()), key=repr) == want
+
+
+def page_texts(spark, sources, url="https://h.example/{}"):
+    rows = [(i, url.format(i), x) for i, x in enumerate(sources)]
+    found = html_wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r.text for r in sorted(found, key=lambda r: r.page_id)]
+
+
+def test_names_exclude_nothing_that_belongs_to_the_article(spark):
+    sources = [
+        '<article><div class="entry-header"><h2 class="section-header">Head</h2></div><p class="social-contract">One</p>'
+        '<div class="related-work">Two</div><header>Three</header><div class="ad">no</div><div id="comment-list">no</div><form>no</form></article>',
+        '<main><div class="cookie-recipe">Flour</div><div class="cookie-notice">no</div></main>',
+        '<article><p>Text</p><article class="comment">no</article><section id="comments"><article>no</article></section><article>teaser</article></article>',
+        '<section class="comments"><article>no</article></section><article><p>Main</p></article>',
+        '<article><article><p>Only one</p></article></article>',
+        '<div class="ad"><article><p>Left open</p></article>',
+        '<div class="site-header">no</div><div class="has-sidebar">Body</div><div class="sidebar">no</div>',
+    ]
+    assert page_texts(spark, sources) == ["Head\n\nOne\n\nTwo\n\nThree", "Flour", "Text", "Main", "Only one", "Left open", "Body"]
+
+
+def test_notice_that_differs_on_one_page_is_still_the_template(spark):
+    sources = [f"<div><h1>Title {i}</h1><p>Story {i}</p><div>We use biscuits{'.' if i else '!'}</div></div>" for i in range(10)]
+    found = page_texts(spark, sources)
+    assert found[1:] == [f"Title {i}\n\nStory {i}" for i in range(1, 10)]
+
+
+def test_host_of_many_different_streams(spark):
+    """Streams are folded as a tree, some in each task."""
+    pick = np.random.default_rng(5)
+    tags = ["p", "h2", "ul", "div", "pre", "blockquote"]
+    sources = ["<article>" + "".join(f"<{t}>x{i} {k}</{t}>" for k, t in enumerate(pick.choice(tags, 6))) + "</article><footer>no</footer>" for i in range(300)]
+    assert page_texts(spark, sources) == ["\n\n".join(f"x{i} {k}" for k in range(6)) for i in range(300)]
