@@ -8,22 +8,18 @@ the planner true statistics: it broadcasts a staged side only when it measures s
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only for a local master without any."""
+    """The cluster's checkpoint folder. There is no other: a folder of one machine is none that executors share."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="docgrove-"))
-    return context.getCheckpointDir()
+    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

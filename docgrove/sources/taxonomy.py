@@ -73,7 +73,10 @@ def from_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def from_json_text(tree: DataFrame) -> DataFrame:
-    """Like `from_json`, from a column `value` that holds the object."""
+    """Like `from_json`, from a column `value` that holds the object.
+
+    Each level is parsed as a map, which keeps keys in the order of the text. A variant would be parsed once, but sorts the
+    keys of an object, and the order of labels decides which of several matches is the first."""
 
     def children(value: Column) -> Column:
         def child(label: Column, below: Column, listed: bool) -> Column:

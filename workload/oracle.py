@@ -237,8 +237,23 @@ QUERIES = {
         WHEN i.obj_type = 'docx' THEN i.obj_token END AS document_id
         FROM tokens t LEFT JOIN infos i ON i.node_token = t.node_token""",
     "taxonomy_paths": "SELECT ord_path, path, parent_path, depth, is_leaf, listed FROM catalogue",
+    "taxonomy_json": """WITH brands AS (
+            SELECT p_brand, row_number() OVER (ORDER BY min(p_partkey)) - 1 AS b FROM part GROUP BY p_brand),
+        types AS (
+            SELECT p_brand, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY min(p_partkey)) - 1 AS t
+            FROM part GROUP BY p_brand, p_type),
+        sizes AS (
+            SELECT p_brand, p_type, p_size, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY min(p_partkey)) - 1 AS s
+            FROM part GROUP BY p_brand, p_type, p_size)
+        SELECT cast(b AS VARCHAR) AS ord_path, p_brand AS path, NULL AS parent_path, 1 AS depth, false AS is_leaf, false AS listed
+        FROM brands
+        UNION ALL SELECT b || '/' || t, p_brand || ' -> ' || p_type, p_brand, 2, false, false FROM types JOIN brands USING (p_brand)
+        UNION ALL SELECT b || '/' || t || '/' || s, p_brand || ' -> ' || p_type || ' -> size ' || p_size,
+            p_brand || ' -> ' || p_type, 3, true, true
+        FROM sizes JOIN types USING (p_brand, p_type) JOIN brands USING (p_brand)""",
     "tree_walk": _WALK.format(start="n.parent_node_token = 'R1'") + "SELECT" + _WALKED,
     "tree_walk_all": _WALK.format(start=_ALL) + "SELECT" + _WALKED,
+    "tree_walk_space": (_WALK.format(start=_ALL) + "SELECT" + _WALKED).replace("tree_nodes", "doc_nodes"),
     "bfs_order": """SELECT node_token, obj_token, title, depth, ord_path FROM leaves
         ORDER BY lang_ord, source_ord, ord""",
     "leaf_docs": "SELECT node_token, obj_token, title FROM tree_nodes WHERE obj_type = 'docx' AND NOT has_child",
@@ -281,6 +296,8 @@ QUERIES = {
     "read_contents": """SELECT obj_key, node_token, title, response_id, read_status, content_hash,
         CASE WHEN has_body THEN sha256(content) END AS body_hash, CASE WHEN has_body THEN length(content) END AS n_chars
         FROM status""",
+    "content_parts": """SELECT obj_key, node_token, response_id, sha256(content) AS body_hash FROM status
+        WHERE read_status = 'ok'""",
     "read_summary": """SELECT count(*) AS total, count(*) FILTER (coalesce(body, false)) AS ok,
             count(*) FILTER (NOT coalesce(body, false)) AS empty, count(*) FILTER (body IS NULL) AS missing
         FROM (SELECT CASE WHEN r1.doc_id IS NOT NULL THEN r1.has_body ELSE r2.has_body END AS body
@@ -331,6 +348,9 @@ QUERIES = {
         SELECT node_token, '{rules.DOCUMENT_ROOT}', '{rules.TARGET}', 2 FROM outcomes WHERE status = 'success'""",
     "ledger_load": f"""SELECT 'same root' AS choice, {rules.DOC_NODE} AS node_token FROM documents
         WHERE {rules.DONE_BEFORE}""",
+    "ledger_import": f"""SELECT {rules.DOC_NODE} AS node_token, '{rules.DOCUMENT_ROOT}' AS scan_root,
+            '{rules.TARGET}' AS target_root, CASE WHEN doc_id % 10 = 7 THEN 4 ELSE 3 END AS processed_month
+        FROM documents WHERE {rules.DONE_BEFORE}""",
     "classify_stats": """SELECT count(*) FILTER (read_status = 'ok') AS total,
         count(*) FILTER (read_status = 'ok' AND path IS NOT NULL) AS ok,
         count(*) FILTER (read_status = 'ok' AND path IS NULL) AS failed,

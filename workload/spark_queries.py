@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docgrove import schemas, scratch
 from docgrove.functions import labels, text
 from docgrove.operators import classify, reading, route, tree
-from docgrove.plans.run import Inputs, Settings, run
+from docgrove.plans.run import Inputs, Settings, commit_bodies, commit_parts, run
 from docgrove.sources import responses, tables, taxonomy
 from workload import rules, views
 from workload.stub import stub_provider
@@ -71,6 +71,13 @@ def taxonomy_paths(spark: SparkSession, sf: str) -> DataFrame:
     return tree_rows.select(_place(), "path", "parent_path", "depth", "is_leaf", "listed")
 
 
+@query
+def taxonomy_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The label tree from nested JSON, whose order of keys counts."""
+    rows = taxonomy.from_json_text(views.catalogue_json(spark, sf))
+    return rows.select(_place(), "path", "parent_path", "depth", "is_leaf", "listed")
+
+
 # Hierarchy
 
 
@@ -94,6 +101,13 @@ def tree_walk_all(spark: SparkSession, sf: str) -> DataFrame:
     return walked.rows.select("node_token", "parent_node_token", "title", "depth", _place())
 
 
+@query
+def tree_walk_space(spark: SparkSession, sf: str) -> DataFrame:
+    """One of two spaces, from the top."""
+    walked = tree.walk(views.two_spaces(spark, sf), space_id="documents")
+    return walked.rows.select("node_token", "parent_node_token", "title", "depth", _place())
+
+
 @query
 def bfs_order(spark: SparkSession, sf: str) -> DataFrame:
     return _leaves(spark, sf).orderBy(*tree.BFS_ORDER).select("node_token", "obj_token", "title", "depth", _place())
@@ -223,6 +237,19 @@ def read_contents(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def content_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Contents laid out in parts; the bodies of all documents as four commits read them, each from the files of its own parts."""
+    docs, bodies, infos = _read(spark, sf)
+    status = scratch.stage(reading.read_status(docs, bodies, infos), scratch.new_folder(spark, "status"))
+    folder = scratch.new_folder(spark, "content-parts")
+    tables.save_content_parts(bodies, folder, 8)
+    inputs = Inputs(docs, spark.read.parquet(folder), docs, stub_provider, content_parts=8)
+    read = status.filter(F.col("read_status") == reading.OK)
+    parts = [commit_bodies(inputs, read, some, 8, True) for some in commit_parts(inputs, Settings("", "", "", commits=4))]
+    return views._union(*parts).select("obj_key", "node_token", "response_id", F.sha2("content", 256).alias("body_hash"))
+
+
 @query
 def read_summary(spark: SparkSession, sf: str) -> DataFrame:
     listed = reading.listings(_pending(spark, sf))
@@ -448,6 +475,16 @@ def ledger_load(spark: SparkSession, sf: str) -> DataFrame:
     return views._union(*loaded)
 
 
+@query
+def ledger_import(spark: SparkSession, sf: str) -> DataFrame:
+    """Earlier progress files taken over as a ledger, beside a newer entry for some of their nodes."""
+    progress = views.progress(spark, sf).select(F.from_json("value", schemas.PROGRESS).alias("p")).select("p.*")
+    taken = tables.ledger_from_progress(progress, rules.TARGET)
+    newer = taken.filter("node_token LIKE '%7'").withColumn("processed_at", F.expr("timestamp'2024-04-01 00:00:00'"))
+    after = tables.newest_entries(taken.unionByName(newer))
+    return after.select("node_token", "scan_root", "target_root", F.month("processed_at").alias("processed_month"))
+
+
 @query
 def classify_stats(spark: SparkSession, sf: str) -> DataFrame:
     return classify.classify_stats(_outcomes(spark, sf))

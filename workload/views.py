@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgrove import scratch
@@ -245,6 +245,43 @@ def catalogue(spark: SparkSession, sf: str) -> DataFrame:
     return taxonomy.from_adjacency(rows)
 
 
+def catalogue_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The tree of `catalogue` as one JSON object, labels in the order of their first part."""
+
+    def quoted(text: str) -> Column:
+        return F.to_json(F.array(text)).substr(F.lit(2), F.length(text) + 2)
+
+    def listed(rows: DataFrame, item: Column, *by: str) -> DataFrame:
+        inner = F.sort_array(F.collect_list(F.struct("ord", item.alias("item"))))
+        joined = F.array_join(F.transform(inner, lambda x: x["item"]), ", ")
+        return rows.groupBy(*by).agg(joined.alias("items"), F.min("ord").alias("ord"))
+
+    parts = table(spark, sf, "part")
+    sizes = parts.groupBy("p_brand", "p_type", "p_size").agg(F.min("p_partkey").alias("ord"))
+    sizes = sizes.withColumn("label", F.concat(F.lit("size "), "p_size"))
+    types = listed(sizes, quoted("label"), "p_brand", "p_type")
+    brands = listed(types, F.concat(quoted("p_type"), F.lit(": ["), "items", F.lit("]")), "p_brand")
+    whole = listed(brands, F.concat(quoted("p_brand"), F.lit(": {"), "items", F.lit("}")))
+    return whole.select(F.concat(F.lit("{"), "items", F.lit("}")).alias("value"))
+
+
+def two_spaces(spark: SparkSession, sf: str) -> DataFrame:
+    """The trees of orders and of documents, as two spaces of one table."""
+    orders = tree_nodes(spark, sf).withColumn("space_id", F.lit("orders"))
+    return orders.unionByName(doc_nodes(spark, sf).withColumn("space_id", F.lit("documents")))
+
+
+def progress(spark: SparkSession, sf: str) -> DataFrame:
+    """Progress objects as JSON text, some hundred processed nodes in each."""
+    docs = table(spark, sf, "documents").filter(rules.DONE_BEFORE).select("doc_id", F.expr(rules.DOC_NODE).alias("node"))
+    files = docs.groupBy(F.expr("doc_id DIV 500").alias("file")).agg(F.collect_list("node").alias("processed_tokens"))
+    kept = F.struct(
+        "processed_tokens", F.size("processed_tokens").alias("total_processed"),
+        F.lit("2024-03-01T10:00:00.5").alias("last_update"), F.lit(rules.DOCUMENT_ROOT).alias("scan_root"),
+    )
+    return files.select(F.to_json(kept).alias("value"))
+
+
 def raw_responses(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "source")
     return docs.select(
