@@ -134,13 +134,18 @@ def cache_rows(labelled: DataFrame, version: Column | str, at: Column | None = N
     )
 
 
-def classify_stats(outcomes: DataFrame) -> DataFrame:
-    """One row of counts over documents with `read_status`, `path` and `cached_path`."""
+def classification_counts() -> list[Column]:
+    """Aggregates over documents with `read_status`, `path` and `cached_path`."""
     sent = F.col("read_status") == "ok"
-    return outcomes.agg(
+    return [
         F.count_if(sent).alias("total"),
         F.count_if(sent & F.col("path").isNotNull()).alias("ok"),
         F.count_if(sent & F.col("path").isNull()).alias("failed"),
         F.count_if(F.col("cached_path").isNotNull()).alias("cached"),
         F.count_if(~sent).alias("empty"),
-    )
+    ]
+
+
+def classify_stats(outcomes: DataFrame) -> DataFrame:
+    """One row of counts over documents with `read_status`, `path` and `cached_path`."""
+    return outcomes.agg(*classification_counts())

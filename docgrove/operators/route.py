@@ -110,19 +110,24 @@ def annotate(docs: DataFrame) -> DataFrame:
     return docs.withColumn("annotated_content", annotated_body(F.col("tag_line"), F.col("content")))
 
 
+def outcome_counts() -> list[Column]:
+    """Aggregates over outcomes with a `status`: documents that succeeded, failed, and had no body."""
+    return [F.count_if(F.col("status") == status).alias(status) for status in (SUCCESS, FAILED, EMPTY)]
+
+
 def run_stats(scan: DataFrame, found: DataFrame, pending: DataFrame, outcomes: DataFrame) -> DataFrame:
     """One row of run statistics. `scan` is a `scan_stats` row; `found` and `pending` are the leaf documents
     after the limit and after dropping processed ones; `outcomes` has a `status` per document."""
-    counts = one_row(
+    return run_statistics(one_row(
         scan.select("non_leaf_docx_skipped"),
         found.agg(F.count(F.lit(1)).alias("found")),
         pending.agg(F.count(F.lit(1)).alias("pending")),
-        outcomes.agg(
-            F.count_if(F.col("status") == SUCCESS).alias("success"),
-            F.count_if(F.col("status") == FAILED).alias("failed"),
-            F.count_if(F.col("status") == EMPTY).alias("empty"),
-        ),
-    )
+        outcomes.agg(*outcome_counts()),
+    ))
+
+
+def run_statistics(counts: DataFrame) -> DataFrame:
+    """Run statistics from one row of the counts they are made of, however these were taken."""
     tried = F.col("success") + F.col("failed")
     return counts.select(
         "found",

@@ -162,17 +162,21 @@ def leaf_documents(rows: DataFrame) -> DataFrame:
     return rows.filter((F.col("obj_type") == "docx") & ~F.coalesce("has_child", F.lit(False)))
 
 
-def scan_stats(walked: Walk) -> DataFrame:
-    """One row: documents found, inner documents skipped, nodes reached, nodes expanded."""
+def row_counts() -> list[Column]:
+    """Aggregates over the rows of a walk: documents found, inner documents skipped, nodes reached."""
     is_docx = F.col("obj_type") == "docx"
     has_child = F.coalesce("has_child", F.lit(False))
-    reached = walked.rows.agg(
+    return [
         F.count_if(is_docx & ~has_child).alias("documents_found"),
         F.count_if(is_docx & has_child).alias("non_leaf_docx_skipped"),
         F.count(F.lit(1)).alias("nodes_reached"),
-    )
+    ]
+
+
+def scan_stats(walked: Walk) -> DataFrame:
+    """One row: documents found, inner documents skipped, nodes reached, nodes expanded."""
     expanded = walked.expanded.agg(F.count(F.lit(1)).alias("nodes_expanded"))
-    return one_row(reached, expanded)
+    return one_row(walked.rows.agg(*row_counts()), expanded)
 
 
 def one_row(*counts: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from docgrove import schemas
 from docgrove.operators import classify, matching, reading, route, tree
-from docgrove.scratch import stage
+from docgrove.scratch import stage, stage_counted
 from docgrove.sources import tables, taxonomy
 
 
@@ -87,15 +87,19 @@ def run(inputs: Inputs, settings: Settings) -> Result:
     # Fingerprint and outline of the label tree: two small texts, the same for all documents.
     version, outline = spark.range(0, 1, 1, 1).select(taxonomy.taxonomy_version(labels), taxonomy.outline(labels)).first()
 
-    leaves, scan = _scan(spark, inputs.nodes, settings, scan_root, folder)
+    number = F.count(F.lit(1))
+    leaves, counts = _scan(spark, inputs.nodes, settings, scan_root, folder)
     found = leaves
     if settings.max_documents:
-        found = stage(tree.first_documents(leaves, settings.max_documents), f"{folder}/found")
+        first = tree.first_documents(leaves, settings.max_documents)
+        found, seen = stage_counted(first, f"{folder}/found", number.alias("found"))
+        counts |= seen
 
     # A repeated run does its documents again, since it replaces its output.
     ledger = tables.read_log(spark, f"{settings.state}/ledger", schemas.LEDGER, without_run=settings.run_id)
     done_before = tables.processed_nodes(ledger, scan_root, settings.use_ledger, settings.force)
-    pending = stage(reading.pending(found, done_before), f"{folder}/pending")
+    pending, seen = stage_counted(reading.pending(found, done_before), f"{folder}/pending", number.alias("pending"))
+    counts |= seen
 
     docs = reading.dedupe_objects(pending).select("obj_key", "node_token", "title", "obj_type", "obj_token")
     status = reading.read_status(docs, inputs.contents, inputs.infos)
@@ -103,7 +107,8 @@ def run(inputs: Inputs, settings: Settings) -> Result:
 
     repeated = reading.repeats(reads)
     labelled = _answers(inputs, settings, reads, index, version, outline, repeated, folder)
-    outcomes = _outcomes(reads, labelled, folder)
+    outcomes, seen = _outcomes(reads, labelled, folder)
+    counts |= seen
 
     routes = route.route_columns(outcomes.filter(F.col("status") == route.SUCCESS))
     folders = route.folder_plan(routes, inputs.nodes, target_root, f"{folder}/folders")
@@ -122,25 +127,28 @@ def run(inputs: Inputs, settings: Settings) -> Result:
         folders,
         route.annotate(tables.read_output(spark, f"{folder}/documents", tables.ROUTED)),
         tables.read_output(spark, f"{folder}/documents", tables.ANNOTATED),
-        route.run_stats(scan, found, pending, outcomes),
-        classify.classify_stats(outcomes),
+        route.run_statistics(_row(spark, counts, "found", "pending", "non_leaf_docx_skipped", "success", "failed", "empty")),
+        _row(spark, {k.removeprefix("model_"): n for k, n in counts.items() if k.startswith("model_")}, "total", "ok", "failed", "cached", "empty"),
     )
 
 
+def _row(spark, counts, *names):
+    return spark.range(0, 1, 1, 1).select(*[F.lit(counts[n]).cast("bigint").alias(n) for n in names])
+
+
 def _scan(spark, nodes, settings, scan_root, folder):
-    """Leaf documents and scan counts, from an earlier finished scan if that may be reused."""
+    """Leaf documents and counts of the scan, from an earlier finished scan if that may be reused."""
     sets = f"{settings.state}/leaf_sets"
     if settings.reuse_scan:
         stored = tables.load_leaf_set(spark, sets, settings.space_id, scan_root)
         if stored is not None:
-            return stored, spark.range(0, 1, 1, 1).select(F.lit(0).cast("bigint").alias("non_leaf_docx_skipped"))
-    walked = tree.walk(nodes, scan_root)
-    walked = tree.Walk(stage(walked.rows, f"{folder}/walked"), walked.expanded)
-    tables.save_leaf_set(tree.leaf_documents(walked.rows), sets, settings.space_id, scan_root)
+            return stored, {"found": stored.count(), "non_leaf_docx_skipped": 0}
+    rows, counts = stage_counted(tree.walk(nodes, scan_root).rows, f"{folder}/walked", *tree.row_counts())
+    tables.save_leaf_set(tree.leaf_documents(rows), sets, settings.space_id, scan_root)
     snapshot = f"{settings.state}/nodes"
     old = tables.read_current(spark, snapshot, schemas.NODE_SNAPSHOT)
-    tables.write_next(tables.upsert_nodes(old, walked.rows), snapshot)
-    return tree.leaf_documents(walked.rows), stage(tree.scan_stats(walked), f"{folder}/scan_stats")
+    tables.write_next(tables.upsert_nodes(old, rows), snapshot)
+    return tree.leaf_documents(rows), counts | {"found": counts["documents_found"]}
 
 
 def _with_cache(spark, settings, status, version, folder):
@@ -189,7 +197,8 @@ def _answers(inputs, settings, reads, index, version, outline, repeated, folder)
 def _outcomes(reads, labelled, folder):
     new = labelled.select("obj_key", "error", F.col("path").alias("new_path"), "match_tier")
     joined = reads.join(new, "obj_key", "left").withColumn("path", F.coalesce("cached_path", "new_path"))
-    return stage(route.copy_status(joined.drop("new_path")), f"{folder}/outcomes")
+    made = [c.alias(f"model_{n}") for c, n in zip(classify.classification_counts(), ("total", "ok", "failed", "cached", "empty"))]
+    return stage_counted(route.copy_status(joined.drop("new_path")), f"{folder}/outcomes", *route.outcome_counts(), *made)
 
 
 def _remember(settings, outcomes, scan_root, target_root):

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,3 +30,10 @@ def stage(df: DataFrame, folder: str) -> DataFrame:
     """Write `df` to a folder of its own and return the table read back from it."""
     df.write.mode("overwrite").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def stage_counted(df: DataFrame, folder: str, *counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """Like `stage`, with aggregates taken as the rows pass by: nothing is read again for them."""
+    seen = Observation()
+    staged = stage(df.observe(seen, *counts), folder)
+    return staged, seen.get
