@@ -55,8 +55,8 @@ def dedupe_objects(leaves: DataFrame) -> DataFrame:
     """One node per document, the last in queue order. An aggregate rather than a window: many nodes of
     one document are reduced before the shuffle."""
     keyed = with_obj_key(leaves)
-    carried = [c for c in keyed.columns if c not in ("obj_key", "depth", "ord_path")]
-    last = F.max(F.struct("depth", "ord_path", *carried))
+    carried = [c for c in keyed.columns if c not in ("obj_key", "parent_place", "ord")]
+    last = F.max(F.struct("parent_place", "ord", *carried))
     return keyed.groupBy("obj_key").agg(last.alias("last")).select("obj_key", "last.*")
 
 

@@ -10,13 +10,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgrove import scratch
 
-# Queue order of a walk: by level, then by sibling positions from the root down.
-BFS_ORDER = ["depth", "ord_path", "node_token"]
+# Queue order of a walk: by the place of the parent among all expanded nodes, then by position under it.
+BFS_ORDER = ["parent_place", "ord", "node_token"]
+
+#: Limits up to which the first rows are sought by one task; beyond, rows are numbered where they are sorted.
+SMALL_LIMIT = 10_000
 
 # Stands for "no parent": top-level nodes of a space.
 TOP = ""
@@ -24,8 +27,8 @@ TOP = ""
 
 @dataclass(frozen=True)
 class Walk:
-    """`rows`: reached nodes with `depth` and `ord_path`. `expanded`: `(parent_key, depth, ord_path)` of
-    the nodes whose children were listed, the start among them."""
+    """`rows`: reached nodes with `depth` and `parent_place`, the number of their parent in queue order. `expanded`:
+    `(parent_key, depth, place)` of the nodes whose children were listed, numbered in queue order from the start, which is 0."""
 
     rows: DataFrame
     expanded: DataFrame
@@ -74,10 +77,25 @@ def walk(nodes: DataFrame, root: str | None = None, space_id: str | None = None)
     else:
         fixed = _fixed_places(links.join(several, "node_token", "left_semi"), pointers, begin, base)
         expanded = fixed.unionByName(_below(pointers, fixed.withColumnRenamed("parent_key", "up"), "node_token"))
-    expanded = scratch.stage(expanded, f"{base}/expanded")
+    # Paths stand with inner nodes only, and only until these are numbered.
+    numbered = number_in_order(expanded, "place", ["depth", "ord_path", "parent_key"], f"{base}/in-order")
+    expanded = scratch.stage(numbered.select("parent_key", "depth", "place"), f"{base}/expanded")
     return Walk(_placed(nodes, expanded), expanded)
 
 
+def number_in_order(rows: DataFrame, name: str, order: list[str], folder: str) -> DataFrame:
+    """`rows` with their number in this order, from 0: sorted in ranges, and numbered within each range from the total of the
+    ranges before. No task has more than a range."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id())
+    ranged = scratch.stage(ranged, folder)
+    totals = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("total"))
+    before = F.sum("total").over(Window.orderBy("range")) - F.col("total")  # a row for each range
+    within = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
+    numbered = ranged.withColumn("within", within).join(totals.select("range", before.alias("before")), "range")
+    return numbered.select(*rows.columns, (F.col("before") + F.col("within")).alias(name))
+
+
 def _below(steps: DataFrame, places: DataFrame, node: str) -> DataFrame:
     """`(parent_key, depth, ord_path)` of `node`, which lies `depth` and `ord_path` below a place `up`."""
     above = places.select("up", F.col("depth").alias("depth_above"), F.col("ord_path").alias("path_above"))
@@ -145,15 +163,12 @@ def _fixed_places(links: DataFrame, pointers: DataFrame, begin: DataFrame, base:
 def _placed(nodes: DataFrame, expanded: DataFrame) -> DataFrame:
     """Nodes under expanded parents. A parent that holds much of the table makes one large key on the
     left and a single row on the right: adaptive execution splits such a partition."""
-    parents = expanded.select(
-        "parent_key", (F.col("depth") + 1).alias("depth"), F.col("ord_path").alias("parent_path")
-    )
+    parents = expanded.select("parent_key", (F.col("depth") + 1).alias("depth"), F.col("place").alias("parent_place"))
     return (
         nodes.filter("node_token <> ''")
         .withColumn("parent_key", parent_key())
         .join(parents, "parent_key")
-        .withColumn("ord_path", F.concat("parent_path", F.array(F.col("ord").cast("bigint"))))
-        .select(*nodes.columns, "depth", "ord_path")
+        .select(*nodes.columns, "depth", "parent_place")
     )
 
 
@@ -187,7 +202,12 @@ def one_row(*counts: DataFrame) -> DataFrame:
 
 def first_documents(leaves: DataFrame, limit: int = 0) -> DataFrame:
     """The first documents in queue order; all of them for 0. Applies before processed ones are dropped."""
-    return leaves.orderBy(*BFS_ORDER).limit(limit) if limit else leaves
+    if not limit:
+        return leaves
+    if limit <= SMALL_LIMIT:
+        return leaves.orderBy(*BFS_ORDER).limit(limit)
+    folder = scratch.new_folder(leaves.sparkSession, "first")
+    return number_in_order(leaves, "number", BFS_ORDER, folder).filter(F.col("number") < limit).drop("number")
 
 
 def find_by_title(nodes: DataFrame, title: str) -> DataFrame:

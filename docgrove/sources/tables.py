@@ -165,7 +165,7 @@ def upsert_nodes(old: DataFrame, walked: DataFrame, scan_time: Column | None = N
         F.coalesce("has_child", F.lit(False)).alias("has_child"),
         F.coalesce("node_type", F.lit("")).alias("node_type"),
         (F.current_timestamp() if scan_time is None else scan_time).alias("scan_time"),
-        F.struct("depth", "ord_path").alias("place"),
+        F.struct("parent_place", "ord").alias("place"),
     )
     return upsert(old, seen, "node_token", F.col("place"))
 

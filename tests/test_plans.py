@@ -74,7 +74,7 @@ def test_bodies_are_parsed_once(spark, tmp_path):
 def test_last_nodes_are_aggregated_before_the_shuffle(spark):
     leaves = spark.range(10).select(
         F.concat(F.lit("n"), "id").alias("node_token"), F.lit("D").alias("obj_token"), F.lit(1).alias("depth"),
-        F.array("id").alias("ord_path"),
+        F.col("id").alias("parent_place"), F.col("id").alias("ord"),
     )
     plan = _plan(reading.dedupe_objects(leaves))
     assert "partial_max" in plan and "Window" not in plan
@@ -88,7 +88,7 @@ def test_ledger_prunes_and_anti_joins(spark, sf):
 
 def test_limit_needs_no_full_sort(spark):
     leaves = spark.range(1000).select(
-        F.col("id").alias("node_token"), F.lit(1).alias("depth"), F.array("id").alias("ord_path")
+        F.col("id").alias("node_token"), F.col("id").alias("parent_place"), F.col("id").alias("ord")
     )
     assert "TakeOrderedAndProject" in _plan(tree.first_documents(leaves, 10))
 

@@ -6,7 +6,7 @@ from docgrove import schemas
 from docgrove.operators import reading
 from docgrove.sources import responses
 
-LEAF = "node_token string, obj_token string, title string, depth int, ord_path array<bigint>"
+LEAF = "node_token string, obj_token string, title string, depth int, parent_place bigint, ord bigint"
 
 CONTENTS = [
     ("D1", 0, "one"),
@@ -23,7 +23,7 @@ CONTENTS = [
 
 
 def _docs(spark):
-    rows = [(f"K{n}", None if n == 6 else f"D{n}", f"t{n}", 1, [n]) for n in range(1, 8)]
+    rows = [(f"K{n}", None if n == 6 else f"D{n}", f"t{n}", 1, 0, n) for n in range(1, 8)]
     return reading.with_obj_key(spark.createDataFrame(rows, LEAF)).select("obj_key", "node_token", "title")
 
 
@@ -64,20 +64,20 @@ def test_hash_stored_at_ingest_gives_the_same(spark):
 
 
 def test_summary_counts_every_listing(spark):
-    rows = [("K1", "D1", "t", 1, [0]), ("K1", "D1", "t", 2, [0, 1]), ("X1", "D1", "t", 1, [3]), ("K2", "D2", "t", 1, [1])]
-    leaves = spark.createDataFrame(rows + [("K5", "D5", "t", 1, [4])] * 3, LEAF)
+    rows = [("K1", "D1", "t", 1, 0, 0), ("K1", "D1", "t", 2, 1, 1), ("X1", "D1", "t", 1, 0, 3), ("K2", "D2", "t", 1, 0, 1)]
+    leaves = spark.createDataFrame(rows + [("K5", "D5", "t", 1, 0, 4)] * 3, LEAF)
     summary = reading.read_summary(reading.read_status(reading.listings(leaves), _contents(spark))).first()
     assert summary.asDict() == {"total": 7, "ok": 3, "empty": 4, "missing": 3}
 
 
 def test_last_node_of_an_object(spark):
     rows = [
-        ("a", "D1", "first", 1, [5]),
-        ("b", "D1", "deeper", 2, [0, 1]),
-        ("c", "D1", "same depth, later", 2, [0, 2]),
-        ("d", "D2", "only", 3, [0, 0, 0]),
-        ("e", "", "no object", 1, [1]),
-        ("f", None, "no object", 1, [2]),
+        ("a", "D1", "first", 1, 0, 5),
+        ("b", "D1", "deeper", 2, 1, 1),
+        ("c", "D1", "same depth, later", 2, 1, 2),
+        ("d", "D2", "only", 3, 2, 0),
+        ("e", "", "no object", 1, 0, 1),
+        ("f", None, "no object", 1, 0, 2),
     ]
     kept = {r["obj_key"]: r["node_token"] for r in reading.dedupe_objects(spark.createDataFrame(rows, LEAF)).collect()}
     assert kept == {"D1": "c", "D2": "d", "e": "e", "f": "f"}

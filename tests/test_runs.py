@@ -173,7 +173,7 @@ def test_repeated_run_replaces_its_output(spark, start, tmp_path):
 def test_scan_is_reused(start):
     first = start("1")
     again = start("2", reuse_scan=True, force=True)
-    columns = ["node_token", "depth", "ord_path"]
+    columns = ["node_token", "depth", "parent_place", "ord"]
     assert sorted(first.leaves.select(columns).collect()) == sorted(again.leaves.select(columns).collect())
     assert again.stats.first()["non_leaf_docx_skipped"] == 0
 

@@ -56,7 +56,7 @@ def test_walk_in_queue_order(spark, seed, root):
     rows = _random_graph(seed)
     walked = tree.walk(_nodes(spark, rows), root)
     expected, expanded = _queue_walk(rows, root)
-    got = walked.rows.orderBy("depth", "ord_path").select("node_token", "parent_node_token").collect()
+    got = walked.rows.orderBy(*tree.BFS_ORDER).select("node_token", "parent_node_token").collect()
     assert [tuple(r) for r in got] == [(r[0], r[1]) for r in expected]
     assert {r[0] or None for r in walked.expanded.select("parent_key").collect()} == expanded
     stats = tree.scan_stats(walked).first()
@@ -99,7 +99,7 @@ def test_cycles_and_missing_parents_beside_a_chain(spark):
     for root in (None, "n0", "n10", "c0", "nowhere"):
         walked = tree.walk(_nodes(spark, rows), root)
         expected, expanded = _queue_walk(rows, root)
-        got = walked.rows.orderBy("depth", "ord_path").select("node_token", "parent_node_token").collect()
+        got = walked.rows.orderBy(*tree.BFS_ORDER).select("node_token", "parent_node_token").collect()
         assert [tuple(r) for r in got] == [(r[0], r[1]) for r in expected]
 
 
@@ -129,6 +129,30 @@ def test_limit_comes_first_in_queue_order(spark):
     assert tree.first_documents(leaves, 0).count() == len(expected)
 
 
+def test_rows_of_a_walk_have_no_arrays_and_expanded_nodes_their_queue_numbers(spark):
+    rows = _random_graph(6)
+    walked = tree.walk(_nodes(spark, rows))
+    assert "array" not in " ".join(kind for _, kind in walked.rows.dtypes + walked.expanded.dtypes)
+    order, seen = [], set()
+    for row in [(None,) * 6, *_queue_walk(rows, None)[0]]:
+        token = row[0]
+        if (token is None or row[5]) and token not in seen:
+            seen.add(token)
+            order.append(token or "")
+    assert [r["parent_key"] for r in walked.expanded.orderBy("place").collect()] == order
+    assert sorted(r["place"] for r in walked.expanded.collect()) == list(range(len(order)))
+
+
+def test_large_limit_is_found_by_numbers(spark, monkeypatch):
+    rows = _random_graph(5)
+    leaves = tree.leaf_documents(tree.walk(_nodes(spark, rows)).rows)
+    expected = [r["node_token"] for r in leaves.orderBy(*tree.BFS_ORDER).collect()]
+    monkeypatch.setattr(tree, "SMALL_LIMIT", 5)
+    first = tree.first_documents(leaves, 33)
+    assert "TakeOrdered" not in first._jdf.queryExecution().executedPlan().toString()
+    assert [r["node_token"] for r in first.orderBy(*tree.BFS_ORDER).collect()] == expected[:33]
+
+
 def _flat(spark):
     rows = [
         ("x", None, "same", "docx", "ox", False, 7),
@@ -191,8 +215,8 @@ def test_hot_parent_is_split(spark):
         F.col("id").alias("ord"),
     )
     parents = spark.range(500).select(
-        F.concat(F.lit("p"), "id").alias("parent_key"), F.lit(1).alias("depth"), F.array(F.col("id")).alias("ord_path")
-    ).union(spark.sql("SELECT 'hot', 1, array(0L)"))
+        F.concat(F.lit("p"), "id").alias("parent_key"), F.lit(1).alias("depth"), F.col("id").alias("place")
+    ).union(spark.sql("SELECT 'hot', 1, 500L"))
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
@@ -206,7 +230,7 @@ def test_hot_parent_is_split(spark):
             spark.conf.set(key, value)
         placed = tree._placed(rows, parents)
         assert placed.count() == 200_000
-        placed = placed.select("node_token", "ord_path")
+        placed = placed.select("node_token", "parent_place")
         placed.collect()
         assert "skew=true" in placed._jdf.queryExecution().executedPlan().toString()
     finally:

@@ -56,7 +56,8 @@ VIEWS = {
         FROM docs d JOIN first_sources f ON f.lang = d.lang WHERE d.{rules.HAS_SECOND_NODE}""",
     "leaves": """
         SELECT *, coalesce(nullif(obj_token, ''), node_token) AS obj_key, 3 AS depth,
-               lang_ord || '/' || source_ord || '/' || ord AS ord_path FROM doc_places""",
+               (SELECT count(DISTINCT lang) FROM documents) + dense_rank() OVER (ORDER BY lang_ord, source_ord) AS parent_place
+        FROM doc_places""",
     "doc_nodes": f"""
         SELECT '{rules.DOCUMENT_ROOT}' AS node_token, NULL AS parent_node_token, 'Documents' AS title, 'docx' AS obj_type,
                'ODOCS' AS obj_token, true AS has_child, 'origin' AS node_type, 0::BIGINT AS ord
@@ -207,16 +208,17 @@ VIEWS = {
 
 _WALK = """
     WITH RECURSIVE walked AS (
-        SELECT n.node_token, n.parent_node_token, n.title, n.obj_type, n.obj_token, n.has_child, 1 AS depth,
-               cast(n.ord AS VARCHAR) AS ord_path
+        SELECT n.node_token, n.parent_node_token, n.title, n.ord, n.has_child, 1 AS depth, [n.ord] AS path
         FROM tree_nodes n WHERE {start}
         UNION ALL
-        SELECT n.node_token, n.parent_node_token, n.title, n.obj_type, n.obj_token, n.has_child, w.depth + 1,
-               w.ord_path || '/' || n.ord
+        SELECT n.node_token, n.parent_node_token, n.title, n.ord, n.has_child, w.depth + 1, list_append(w.path, n.ord)
         FROM tree_nodes n JOIN walked w ON n.parent_node_token = w.node_token WHERE w.has_child
+    ), expanded AS (
+        SELECT node_token, row_number() OVER (ORDER BY depth, path, node_token) AS place FROM walked WHERE has_child
     )
 """
-_WALKED = " node_token, parent_node_token, title, depth, ord_path FROM walked"
+_WALKED = """ w.node_token, w.parent_node_token, w.title, w.depth, coalesce(e.place, 0) AS parent_place, w.ord
+    FROM walked w LEFT JOIN expanded e ON e.node_token = w.parent_node_token"""
 _ALL = "n.parent_node_token IS NULL"
 
 QUERIES = {
@@ -254,7 +256,7 @@ QUERIES = {
     "tree_walk": _WALK.format(start="n.parent_node_token = 'R1'") + "SELECT" + _WALKED,
     "tree_walk_all": _WALK.format(start=_ALL) + "SELECT" + _WALKED,
     "tree_walk_space": (_WALK.format(start=_ALL) + "SELECT" + _WALKED).replace("tree_nodes", "doc_nodes"),
-    "bfs_order": """SELECT node_token, obj_token, title, depth, ord_path FROM leaves
+    "bfs_order": """SELECT node_token, obj_token, title, depth, parent_place, ord FROM leaves
         ORDER BY lang_ord, source_ord, ord""",
     "leaf_docs": "SELECT node_token, obj_token, title FROM tree_nodes WHERE obj_type = 'docx' AND NOT has_child",
     "scan_stats": """SELECT count(*) FILTER (obj_type = 'docx' AND NOT has_child) AS documents_found,
@@ -271,7 +273,7 @@ QUERIES = {
         has_child, CASE WHEN renewed THEN 2 ELSE 1 END AS scan_month
         FROM (SELECT *, coalesce(parent_node_token = 'Len' OR starts_with(parent_node_token, 'Sen/'), false) AS renewed
               FROM doc_nodes)""",
-    "scan_snapshot": """SELECT node_token, obj_token, title, 2 AS depth, source_ord || '/' || ord AS ord_path
+    "scan_snapshot": """SELECT node_token, obj_token, title, 2 AS depth, dense_rank() OVER (ORDER BY source_ord) AS parent_place, ord
         FROM leaves WHERE lang = 'en'""",
     "child_map": """SELECT coalesce(parent_node_token, '') AS parent_key, title, arg_max(node_token, ord) AS node_token
         FROM tree_nodes GROUP BY 1, 2""",
@@ -288,10 +290,10 @@ QUERIES = {
         FROM (SELECT parent_node_token, title FROM tree_nodes UNION ALL SELECT parent_node_token, title FROM doc_nodes)
         GROUP BY 1""",
     "nonblank_docs": f"SELECT doc_id, length(content) AS n_chars FROM contents WHERE {_has_body('content')}",
-    "limit_then_pending": f"""SELECT node_token, obj_token, depth, ord_path
+    "limit_then_pending": f"""SELECT node_token, obj_token, depth, parent_place, ord
         FROM (SELECT * FROM leaves ORDER BY lang_ord, source_ord, ord LIMIT 100)
         WHERE node_token NOT IN (SELECT {rules.DOC_NODE} FROM documents WHERE {rules.DONE_BEFORE})""",
-    "pending_docs": "SELECT node_token, obj_token, title, depth, ord_path FROM pending",
+    "pending_docs": "SELECT node_token, obj_token, title, depth, parent_place, ord FROM pending",
     "dedupe_obj": "SELECT obj_key, node_token, title FROM last_leaves",
     "read_contents": """SELECT obj_key, node_token, title, response_id, read_status, content_hash,
         CASE WHEN has_body THEN sha256(content) END AS body_hash, CASE WHEN has_body THEN length(content) END AS n_chars

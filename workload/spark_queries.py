@@ -92,25 +92,25 @@ def _leaves(spark: SparkSession, sf: str, walked: tree.Walk | None = None) -> Da
 @query
 def tree_walk(spark: SparkSession, sf: str) -> DataFrame:
     walked = tree.walk(views.tree_nodes(spark, sf), "R1")
-    return walked.rows.select("node_token", "parent_node_token", "title", "depth", _place())
+    return walked.rows.select("node_token", "parent_node_token", "title", "depth", "parent_place", "ord")
 
 
 @query
 def tree_walk_all(spark: SparkSession, sf: str) -> DataFrame:
     walked = tree.walk(views.tree_nodes(spark, sf))
-    return walked.rows.select("node_token", "parent_node_token", "title", "depth", _place())
+    return walked.rows.select("node_token", "parent_node_token", "title", "depth", "parent_place", "ord")
 
 
 @query
 def tree_walk_space(spark: SparkSession, sf: str) -> DataFrame:
     """One of two spaces, from the top."""
     walked = tree.walk(views.two_spaces(spark, sf), space_id="documents")
-    return walked.rows.select("node_token", "parent_node_token", "title", "depth", _place())
+    return walked.rows.select("node_token", "parent_node_token", "title", "depth", "parent_place", "ord")
 
 
 @query
 def bfs_order(spark: SparkSession, sf: str) -> DataFrame:
-    return _leaves(spark, sf).orderBy(*tree.BFS_ORDER).select("node_token", "obj_token", "title", "depth", _place())
+    return _leaves(spark, sf).orderBy(*tree.BFS_ORDER).select("node_token", "obj_token", "title", "depth", "parent_place", "ord")
 
 
 @query
@@ -164,7 +164,7 @@ def scan_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     for root in ("Len", rules.DOCUMENT_ROOT):
         tables.save_leaf_set(tree.leaf_documents(tree.walk(nodes, root).rows), folder, "007", root)
     stored = tables.load_leaf_set(spark, folder, "007", "Len")
-    return stored.select("node_token", "obj_token", "title", "depth", _place())
+    return stored.select("node_token", "obj_token", "title", "depth", "parent_place", "ord")
 
 
 @query
@@ -215,12 +215,12 @@ def nonblank_docs(spark: SparkSession, sf: str) -> DataFrame:
 def limit_then_pending(spark: SparkSession, sf: str) -> DataFrame:
     first = tree.first_documents(_leaves(spark, sf), 100)
     done = tables.processed_nodes(views.ledger(spark, sf), rules.DOCUMENT_ROOT)
-    return reading.pending(first, done).select("node_token", "obj_token", "depth", _place())
+    return reading.pending(first, done).select("node_token", "obj_token", "depth", "parent_place", "ord")
 
 
 @query
 def pending_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return _pending(spark, sf).select("node_token", "obj_token", "title", "depth", _place())
+    return _pending(spark, sf).select("node_token", "obj_token", "title", "depth", "parent_place", "ord")
 
 
 @query
