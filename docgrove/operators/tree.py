@@ -65,21 +65,21 @@ def walk(nodes: DataFrame, root: str | None = None, space_id: str | None = None)
         .groupBy("node_token", parent_key().alias("parent_key"))
         .agg(F.min(F.col("ord").cast("bigint")).alias("ord"))
     )
-    links = scratch.stage(links, f"{base}/links")
-    several = scratch.stage(links.groupBy("node_token").count().filter("count > 1").select("node_token"), f"{base}/several")
+    links = links.withColumn("parents", F.count(F.lit(1)).over(Window.partitionBy("node_token")))
+    links, seen = scratch.stage_counted(links, f"{base}/links", F.count_if(F.col("parents") > 1).alias("several"))
     begin = spark.range(0, 1, 1, 1).select(
         F.lit(start).alias("parent_key"), F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("ord_path")
     )
-    single = links.join(several, "node_token", "left_anti")
-    pointers = _to_fixed_points(single, several, start, base)
-    if several.isEmpty():
-        expanded = begin.unionByName(pointers.filter(F.col("up") == start).select(F.col("node_token").alias("parent_key"), "depth", "ord_path"))
-    else:
-        fixed = _fixed_places(links.join(several, "node_token", "left_semi"), pointers, begin, base)
+    several = links.filter("parents > 1")
+    pointers = _to_fixed_points(links.filter("parents = 1"), several.select("node_token").distinct(), start, base)
+    if seen["several"]:
+        fixed = _fixed_places(several, pointers, begin, base)
         expanded = fixed.unionByName(_below(pointers, fixed.withColumnRenamed("parent_key", "up"), "node_token"))
+    else:
+        expanded = begin.unionByName(pointers.filter(F.col("up") == start).select(F.col("node_token").alias("parent_key"), "depth", "ord_path"))
     # Paths stand with inner nodes only, and only until these are numbered.
     numbered = number_in_order(expanded, "place", ["depth", "ord_path", "parent_key"], f"{base}/in-order")
-    expanded = scratch.stage(numbered.select("parent_key", "depth", "place"), f"{base}/expanded")
+    expanded = numbered.select("parent_key", "depth", "place")
     return Walk(_placed(nodes, expanded), expanded)
 
 
@@ -120,14 +120,13 @@ def _to_fixed_points(single: DataFrame, several: DataFrame, start: str, base: st
     left = None
     while True:
         folders.append(f"{base}/pointers-{len(folders)}")
-        state = scratch.stage(state.select(*columns, F.col("end").isNotNull().alias("end")), folders[-1])
+        state = state.select(*columns, F.col("end").isNotNull().alias("end"))
+        state, seen = scratch.stage_counted(state, folders[-1], F.count_if(~F.col("end")).alias("waiting"))
         # Every node arrives in one round, and is in no later one.
         arrived = spark.read.schema(state.schema).parquet(*folders).filter("end")
-        waiting = state.filter("not end")
-        count = waiting.count()
-        if count == 0 or count == left:
+        if seen["waiting"] in (0, left):
             return arrived.select(columns)
-        left = count
+        waiting, left = state.filter("not end"), seen["waiting"]
         jumps = arrived.unionByName(waiting).select(
             F.col("node_token").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("ord_path").alias("path2"),
             F.when(F.col("end"), True).alias("end2"),

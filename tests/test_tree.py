@@ -70,6 +70,7 @@ def test_root_is_not_reached_and_cycles_end(spark):
     walked = tree.walk(_nodes(spark, rows), "a")
     assert sorted(tuple(r) for r in walked.rows.select("node_token", "depth").collect()) == [("a", 2), ("b", 1)]
     assert tree.walk(_nodes(spark, rows), "unknown").rows.count() == 0
+    assert tree.walk(_nodes(spark, [])).rows.count() == 0
 
 
 def test_one_of_several_spaces(spark):
