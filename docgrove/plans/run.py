@@ -145,9 +145,7 @@ def _scan(spark, nodes, settings, scan_root, folder):
             return stored, {"found": stored.count(), "non_leaf_docx_skipped": 0}
     rows, counts = stage_counted(tree.walk(nodes, scan_root).rows, f"{folder}/walked", *tree.row_counts())
     tables.save_leaf_set(tree.leaf_documents(rows), sets, settings.space_id, scan_root)
-    snapshot = f"{settings.state}/nodes"
-    old = tables.read_current(spark, snapshot, schemas.NODE_SNAPSHOT)
-    tables.write_next(tables.upsert_nodes(old, rows), snapshot)
+    tables.upsert_snapshot(tables.snapshot_rows(rows), f"{settings.state}/nodes")
     return tree.leaf_documents(rows), counts | {"found": counts["documents_found"]}
 
 

@@ -2,8 +2,8 @@
 
 Parquet has no merge. The cache and the ledger are logs: a run adds a part with its new rows only, and
 readers take the newest row of a key. From time to time a log is merged into a base part with one row per key, the next
-version of the base; parts added later are kept by the base they came after. The node snapshot, where most rows are renewed by each scan, is
-upserted into the next version of the table, in a folder of its own; so are leaf sets. A version counts once a row
+version of the base; parts added later are kept by the base they came after. The node snapshot lies in hash buckets, of which
+a scan writes those with changes as their next version; leaf sets are written as a next version as a whole. A version counts once a row
 in the table `finished` beside it names it, which is written after all of it. Either way nothing is overwritten
 while it is read, and an interrupted write leaves the earlier state in place.
 """
@@ -18,12 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgrove import schemas
+from docgrove.scratch import stage
 from docgrove.functions.labels import path_from_tags
 from docgrove.functions.text import annotated_body
 
 #: Column of the part in laid-out contents, folder of a log's merged rows, and the two tables of an output.
 PART = "content_part"
 BASE = "base"
+BUCKET, SNAPSHOT_BUCKETS = "bucket", 64
 ROUTED, ANNOTATED = "routed", "annotated"
 
 
@@ -155,9 +157,9 @@ def upsert(old: DataFrame, new: DataFrame, key: str, newest: Column) -> DataFram
     return old.join(fresh, key, "left_anti").unionByName(fresh)
 
 
-def upsert_nodes(old: DataFrame, walked: DataFrame, scan_time: Column | None = None) -> DataFrame:
-    """Node snapshot (`schemas.NODE_SNAPSHOT`) after a walk; of a node listed twice, the last place counts."""
-    seen = walked.select(
+def snapshot_rows(walked: DataFrame, scan_time: Column | None = None) -> DataFrame:
+    """Nodes of a walk as the snapshot keeps them (`schemas.NODE_SNAPSHOT`), with their place in it."""
+    return walked.select(
         "node_token",
         "parent_node_token",
         F.coalesce("title", F.lit("")).alias("title"),
@@ -167,7 +169,47 @@ def upsert_nodes(old: DataFrame, walked: DataFrame, scan_time: Column | None = N
         (F.current_timestamp() if scan_time is None else scan_time).alias("scan_time"),
         F.struct("parent_place", "ord").alias("place"),
     )
-    return upsert(old, seen, "node_token", F.col("place"))
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """All nodes of a snapshot: of each bucket the newest version that has its mark."""
+    marks = _bucket_marks(spark, path)
+    if not marks:
+        return spark.createDataFrame([], schemas.NODE_SNAPSHOT)
+    folders = [f"{path}/version={version:06d}/{BUCKET}={bucket}" for bucket, version in sorted(marks.items())]
+    return spark.read.schema(schemas.NODE_SNAPSHOT).parquet(*folders)
+
+
+def _bucket_marks(spark: SparkSession, path: str) -> dict[int, int]:
+    """Newest finished version of each bucket; at most SNAPSHOT_BUCKETS rows."""
+    marks = _read(spark, f"{path}/finished", "bucket INT, version INT")
+    return {} if marks is None else {r[0]: r[1] for r in marks.groupBy("bucket").agg(F.max("version")).collect()}
+
+
+def upsert_snapshot(rows: DataFrame, path: str) -> list[int]:
+    """Renew a snapshot by `snapshot_rows`; returns the buckets that were written.
+
+    Nodes lie in hash buckets. A node that is as it was keeps its row, `scan_time` included; only buckets with new or changed
+    nodes are written, as a next version, and switched together by one file of marks. Of a node listed twice, the last
+    place counts. An interrupted write leaves all buckets as they were."""
+    spark = rows.sparkSession
+    marks = _bucket_marks(spark, path)
+    version = max(marks.values(), default=0) + 1
+    old = read_snapshot(spark, path)
+    compared = [c for c in old.columns if c not in ("node_token", "scan_time")]
+    fresh = latest(rows, "node_token", F.col("place")).select(*old.columns)
+    known = old.select("node_token", F.struct(*compared).alias("known"))
+    changed = fresh.join(known, "node_token", "left").filter(~F.struct(*compared).eqNullSafe(F.col("known"))).drop("known")
+    bucket = F.pmod(F.xxhash64("node_token"), F.lit(SNAPSHOT_BUCKETS)).cast("int")
+    changed = stage(changed.withColumn(BUCKET, bucket), f"{path}/changed/version={version:06d}")
+    touched = sorted(r[0] for r in changed.select(BUCKET).distinct().collect())
+    if touched:
+        kept = old.withColumn(BUCKET, bucket).filter(F.col(BUCKET).isin(touched)).join(changed, "node_token", "left_anti")
+        after = kept.unionByName(changed).hint("rebalance", BUCKET)
+        after.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/version={version:06d}")
+        written = spark.range(0, 1, 1, 1).select(F.explode(F.array(*map(F.lit, touched))).alias("bucket"), F.lit(version).alias("version"))
+        written.write.mode("append").parquet(f"{path}/finished")
+    return touched
 
 
 def save_contents(contents: DataFrame, table: str, buckets: int) -> None:

@@ -231,12 +231,38 @@ def test_leaf_sets_by_space_and_root(spark, tmp_path):
     assert tables.load_leaf_set(spark, path, "1", "IN").count() == 0
 
 
-def test_snapshot_keeps_the_last_place(spark):
+def test_snapshot_keeps_the_last_place(spark, tmp_path):
     rows = [_node("a", "r", "first", "o", position=0), _node("b", "r", "b", "o", True, 1), _node("a", "b", "last", "o")]
     nodes = spark.createDataFrame(rows, NODE)
     old = spark.createDataFrame([("z", None, "kept", "docx", False, "origin", None)], schemas.NODE_SNAPSHOT)
-    after = tables.upsert_nodes(old, tree.walk(nodes, "r").rows)
-    assert {r["node_token"]: r["title"] for r in after.collect()} == {"z": "kept", "a": "last", "b": "b"}
+    path = f"{tmp_path}/nodes"
+    assert tables.read_snapshot(spark, path).count() == 0
+    tables.upsert_snapshot(old.withColumn("place", F.struct(F.lit(0))), path)
+    tables.upsert_snapshot(tables.snapshot_rows(tree.walk(nodes, "r").rows), path)
+    assert {r["node_token"]: r["title"] for r in tables.read_snapshot(spark, path).collect()} == {"z": "kept", "a": "last", "b": "b"}
+
+
+def test_snapshot_writes_buckets_with_changes_only(spark, tmp_path):
+    path, first, second = f"{tmp_path}/nodes", F.expr("timestamp'2024-01-01'"), F.expr("timestamp'2024-02-01'")
+
+    def scanned(changed, at):
+        rows = spark.range(1000).selectExpr(
+            "'n' || id node_token", "CASE WHEN id % 9 > 0 THEN 'p' END parent_node_token", f"CASE WHEN id IN ({changed}) THEN 'new' ELSE 't' END title",
+            "'docx' obj_type", "false has_child", "'origin' node_type", "0L parent_place", "id ord")
+        return tables.snapshot_rows(rows, at)
+
+    assert tables.upsert_snapshot(scanned("-1", first), path) == list(range(tables.SNAPSHOT_BUCKETS))
+    assert tables.upsert_snapshot(scanned("-1", second), path) == []
+    before = tables.read_snapshot(spark, path)
+    assert len(tables.upsert_snapshot(scanned("7", second), path)) == 1
+    after = {r["node_token"]: (r["title"], r["scan_time"].month) for r in tables.read_snapshot(spark, path).collect()}
+    assert after == {f"n{n}": ("new", 2) if n == 7 else ("t", 1) for n in range(1000)}
+    assert before.count() == 1000  # who reads the version before is not disturbed
+    # Broken off before the marks: all buckets stay as they were.
+    tables.read_snapshot(spark, path).limit(3).withColumn("bucket", F.lit(5)).write.partitionBy("bucket").parquet(f"{path}/version=000003")
+    assert {r["node_token"]: (r["title"], r["scan_time"].month) for r in tables.read_snapshot(spark, path).collect()} == after
+    assert len(tables.upsert_snapshot(scanned("7, 8", second), path)) == 1
+    assert tables.read_snapshot(spark, path).count() == 1000
 
 
 def test_state_of_the_reference_is_taken_over(spark, tmp_path):

@@ -152,8 +152,11 @@ def node_upsert(spark: SparkSession, sf: str) -> DataFrame:
         "node_token", "parent_node_token", F.concat(F.lit("old "), "title").alias("title"), "obj_type", "has_child",
         "node_type", F.expr("timestamp'2024-01-01 00:00:00'").alias("scan_time"),
     )
-    after = tables.upsert_nodes(before, tree.walk(nodes, "Len").rows, F.expr("timestamp'2024-02-01 00:00:00'"))
-    return after.select("node_token", "parent_node_token", "title", "has_child", F.month("scan_time").alias("scan_month"))
+    folder = scratch.new_folder(spark, "snapshot")
+    tables.upsert_snapshot(before.withColumn("place", F.struct(F.lit(0))), folder)
+    walked = tree.walk(nodes, "Len").rows
+    tables.upsert_snapshot(tables.snapshot_rows(walked, F.expr("timestamp'2024-02-01 00:00:00'")), folder)
+    return tables.read_snapshot(spark, folder).select("node_token", "parent_node_token", "title", "has_child", F.month("scan_time").alias("scan_month"))
 
 
 @query
