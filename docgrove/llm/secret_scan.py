@@ -242,8 +242,11 @@ def _found(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 def discovery_levels(found: DataFrame, rate: float = RATE) -> DataFrame:
     """(class, level): the grid value tokens of a length class must reach; classes without one are absent. At most
     len(LENGTHS) rows, from counts of at most len(LENGTHS) * (len(GRID) + 1)."""
-    cells = [F.transform(c, lambda x, own=own: F.struct(x["class"].alias("class"), x["level"].alias("level"), F.lit(own).alias("token"))) for c, own in (("tokens", 1), ("windows", 0))]
-    rows = found.select(F.explode(F.concat(*cells)).alias("x")).groupBy("x.class", "x.level")
+
+    def cells(column: str, token: int) -> Column:
+        return F.transform(column, lambda x: F.struct(x["class"].alias("class"), x["level"].alias("level"), F.lit(token).alias("token")))
+
+    rows = found.select(F.explode(F.concat(cells("tokens", 1), cells("windows", 0))).alias("x")).groupBy("x.class", "x.level")
     counts = rows.agg(F.sum("x.token").alias("tokens"), F.sum(1 - F.col("x.token")).alias("windows"))
     whole = Window.partitionBy("class")
     upward = whole.orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
