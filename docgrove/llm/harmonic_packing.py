@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from docgrove.llm.tables import narrow
-from docgrove.llm.words import text_column
+from docgrove.llm.words import release, text_column
 
 CAPACITY, SMALL, WASTE = 1024, 64, 0.03
 VOCABULARY = "byte_bpe_50k"
@@ -148,6 +148,12 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text: str = "text", capacit
                     rows += bins.add((doc, start, crc, len(ids), length))
                     start += length
             yield batch(rows)
+            rows = []
+            del table
         yield batch(bins.close())
+        # The vocabularies take more room in a worker than time to load.
+        _fast.cache_clear()
+        _exact.cache_clear()
+        release()
 
     return narrow(docs, id_column, text).mapInArrow(run, ", ".join(f"`{n}` long" for n in names))

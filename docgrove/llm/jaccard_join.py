@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from docgrove.llm.components import components
 from docgrove.llm.tables import forget, keep, narrow, shuffle_partitions
-from docgrove.llm.words import shingle_sets, text_column
+from docgrove.llm.words import release, shingle_sets, text_column
 
 WIDTH, PERCENT = 5, 80
 #: Entries of a column block while entries are gathered, about 25 bytes each.
@@ -73,6 +73,8 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int):
         texts = text_column(batch.column(1))
         for row, values, bounds in shingle_sets(texts, width):
             yield batch.column(0).slice(row, len(bounds) - 1), values, bounds
+        del batch, texts  # else it would be held while the next one is read
+    release()
 
 
 def shingled(docs: DataFrame, id_column: str = "doc_id", text_column_: str = "text", width: int = WIDTH) -> DataFrame:
@@ -127,6 +129,8 @@ def _frequent(docs: DataFrame, id_column: str, text: str, width: int, blocks: in
                 held, size = [], 0
         if size:
             yield flush()
+        held, size = [], 0
+        release()
 
     def total(table: pa.Table) -> pa.Table:
         values, counts = _joined(table["grams"], np.uint64), _joined(table["counts"], np.int64)
@@ -193,7 +197,9 @@ def _entries(docs: DataFrame, id_column: str, text: str, width: int, percent: in
                 seen.clear()
         if size:
             yield flush()
-        pa.default_memory_pool().release_unused()
+        held, size = [], 0
+        seen.clear()
+        release()
 
     def shared(table: pa.Table) -> pa.Table:
         grams, keys = _joined(table["grams"], np.uint64), _joined(table["keys"], _KEY)
@@ -212,6 +218,19 @@ def _entries(docs: DataFrame, id_column: str, text: str, width: int, percent: in
     return dealt.groupBy("block").applyInArrow(shared, "gram long, key binary")
 
 
+def _counts(bins: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows have counts, and the counts, a row of BINS each; read in place where all have them."""
+    held = pa.concat_arrays([pa.array([], pa.binary()), *bins.chunks])
+    offsets = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1]
+    data = np.frombuffer(held.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    exact = np.diff(offsets) > 0
+    if exact.all():
+        return exact, data.reshape(len(exact), BINS)
+    counts = np.zeros((len(exact), BINS), np.uint8)
+    counts[exact] = data.reshape(-1, BINS)
+    return exact, counts
+
+
 def _product(table: pa.Table, percent: int, full: bool) -> pa.Table:
     """The pairs of one block's rows that may be linked, at most BEST for each row unless `full`.
 
@@ -219,9 +238,7 @@ def _product(table: pa.Table, percent: int, full: bool) -> pa.Table:
     table = table.combine_chunks()
     keys, n = table["key"].to_pylist(), table["n"].to_numpy()
     label = table["label"].combine_chunks().dictionary_encode().indices.to_numpy() if len(keys) else np.empty(0, np.int32)
-    bins = table["bins"].to_pylist()
-    exact = np.array([bool(b) for b in bins])
-    counts = np.frombuffer(b"".join(b or bytes(BINS) for b in bins), np.uint8).reshape(len(keys), BINS)
+    exact, counts = _counts(table["bins"])
     lists = table["grams"].combine_chunks()
     sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     row = np.repeat(np.arange(len(keys)), sizes)
@@ -247,7 +264,8 @@ def _product(table: pa.Table, percent: int, full: bool) -> pa.Table:
             others = others[np.argsort(-left, kind="stable")[:BEST]]
         found_u += [keys[i]] * len(others)
         found_v += [keys[j] for j in others.tolist()]
-    pa.default_memory_pool().release_unused()
+    del table, lists, counts
+    release()
     pairs = [(min(u, v), max(u, v)) for u, v in zip(found_u, found_v)]
     return pa.table({"u": pa.array([u for u, _ in pairs], pa.binary()), "v": pa.array([v for _, v in pairs], pa.binary())})
 
@@ -316,6 +334,9 @@ def _links(pairs: DataFrame, full: DataFrame, blocks: int, percent: int) -> Data
             overlap = int(np.count_nonzero(joined[1:] == joined[:-1]))
             if 100 * overlap >= percent * (len(joined) - overlap):
                 linked.append((u, v))
+        sets.clear()
+        del table
+        release()
         return pa.table({"u": pa.array([u for u, _ in linked], pa.binary()), "v": pa.array([v for _, v in linked], pa.binary())})
 
     return both.groupBy("block_u", "block_v").applyInArrow(count, "u binary, v binary")
@@ -366,6 +387,7 @@ def set_keys(width: int = WIDTH):
         for _, values, bounds in shingle_sets(text_column(texts), width):
             edges = bounds.tolist()
             found += [_set_key(values[a:b]) if b > a else None for a, b in zip(edges, edges[1:])]
+        release()
         return pa.array(found, pa.binary())
 
     return keys

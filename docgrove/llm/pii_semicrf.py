@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from docgrove.llm.labels import least_hashes
 from docgrove.llm.tables import narrow
-from docgrove.llm.words import text_column
+from docgrove.llm.words import release, text_column
 
 KINDS = ("email", "ip", "card", "phone")
 NEAR, AROUND = 5, 2
@@ -415,8 +415,9 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text: str = "text", limit: i
     """Weights learnt from at most `limit` documents that hold digits or at signs; all 0 where there are none."""
 
     def run(table: pa.Table) -> pa.Table:
-        texts = sorted(table["text"].to_pylist())
-        return pa.table({"weights": pa.array([train(texts).tobytes()], pa.binary())})
+        weights = train(sorted(table["text"].to_pylist())).tobytes()
+        release()
+        return pa.table({"weights": pa.array([weights], pa.binary())})
 
     own = narrow(docs, id_column, text).select(F.col(text).alias("text"))
     some = least_hashes(own.filter(F.col("text").rlike("[0-9@]")), F.col("text"), limit)
@@ -472,7 +473,9 @@ def mask_column(weights: np.ndarray):
         parts = [pa.array([], pa.string())]
         for i in range(0, len(texts), MASK_ROWS):  # few texts at a time are Python strings as well
             parts.append(pa.array([None if t is None else masked(t) for t in texts.slice(i, MASK_ROWS).to_pylist()], pa.string()))
-        pa.default_memory_pool().release_unused()
-        return pa.concat_arrays(parts)
+        made = pa.concat_arrays(parts)
+        del parts, texts
+        release()
+        return made
 
     return mask

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from docgrove.llm.labels import LEARN_MAX, held_out, learning_sample
 from docgrove.llm.tables import narrow
-from docgrove.llm.words import slices, text_column, word_bounds
+from docgrove.llm.words import release, slices, text_column, word_bounds
 
 WINDOW_WORDS, STEP_WORDS, BASE_BYTES, PECULIAR_WORDS = 6, 3, 8192, 96
 #: A word is peculiar to toxic texts only if so many distinct ones have it, so many times as often as ordinary ones.
@@ -201,6 +201,7 @@ def fit(sample: DataFrame, id_column: str = "doc_id") -> Model:
         order = np.argsort(table[id_column].to_numpy(), kind="stable")
         table = table.take(pa.array(order))
         made = train(text_column(table["text"]), table["label"].to_pylist())
+        release()
         return pa.Table.from_pylist([vars(made) | {"evidence": list(made.evidence)}], schema=kinds)
 
     kinds = pa.schema([("toxic", pa.binary()), ("ordinary", pa.binary()), ("evidence", pa.list_(pa.float64())), ("slope", pa.float64()), ("start", pa.float64())])
@@ -222,7 +223,9 @@ def toxicity_column(model: Model):
 
     @F.arrow_udf("double")
     def toxicity(texts: pa.Array) -> pa.Array:
-        return pa.array(np.round(score(text_column(texts), model), 6), pa.float64())
+        scores = pa.array(np.round(score(text_column(texts), model), 6), pa.float64())
+        release()
+        return scores
 
     return toxicity
 

@@ -6,6 +6,7 @@ about half a megabyte, so memory does not grow with the batch; one text longer t
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,14 @@ def text_column(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.cast(pa.large_string()).fill_null("")
 
 
+def release() -> None:
+    """Give back to the system what is free: a worker stays for later tasks, and would hold it beside whatever they need."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)
+
+
 def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets from 0) of consecutive rows with about `size` bytes of text."""
     if not len(texts):
